@@ -1,0 +1,4 @@
+"""Registered queries over the memory tables."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}

@@ -35,7 +35,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, prototypes
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    learned = prototypes(docs.where(~F.coalesce(held_out, F.lit(True))))
+    found = identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """

@@ -110,7 +110,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     at = slim.withColumn("before", F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, -1)))
     by_part = slim.groupBy("source", "part").agg(F.sum("size").alias("n"))
     by_part = by_part.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    at = at.alias("a").join(by_part.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select("a.source", "a.key", "a.size", "a.h", (F.coalesce("before", F.lit(0)) + F.col("offset")).alias("start"))
+    at = at.hint("merge").alias("a").join(by_part.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select("a.source", "a.key", "a.size", "a.h", (F.coalesce("before", F.lit(0)) + F.col("offset")).alias("start"))
     at = at.alias("a").join(facts.alias("f"), F.col("a.source").eqNullSafe(F.col("f.source"))).select("sid", "a.source", "key", "size", "h", "start", "source_size", "target", "blocks")
 
     # block i of a source of n words in b blocks holds words [i * n div b, (i + 1) * n div b)
@@ -128,18 +128,18 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
             yield pd.DataFrame({"shard": f["shard"], "sid": f["sid"], "g": g, "block": permuted(g % n, n, keys)})
 
     slot = numbered.mapInPandas(place, "shard int, sid int, g long, block long")
-    taken = cut.join(slot, ["sid", "block"])
+    taken = cut.hint("merge").join(slot, ["sid", "block"])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
     whole = rows.where("size > 0").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("h").alias("h2"), "text").dropDuplicates(["s2", "k2", "h2"])
     pieces = (
-        taken.join(whole, F.col("source").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")))
+        taken.hint("merge").join(whole, F.col("source").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")))
         .select("shard", F.struct("sid", "g").alias("slot"), "source", F.col("key").alias(key), (F.col("lo") - F.col("start")).alias("from_word"), (F.col("hi") - F.col("lo")).alias("words"),
                 F.array_join(F.slice(words, (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text"))
     )
     times = slot.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = cut.join(times, ["sid", "block"]).groupBy("sid", "start", "size").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"))
+    got = cut.hint("merge").join(times, ["sid", "block"]).groupBy("sid", "start", "size").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"))
     documents = (
-        at.join(got, ["sid", "start", "size"], "left")
+        at.hint("merge").join(got, ["sid", "start", "size"], "left")
         .select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
     return pieces, documents

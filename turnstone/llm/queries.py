@@ -63,7 +63,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op8_decontamination)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op8_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """

@@ -89,8 +89,9 @@ class PreTokens:
 
 def frequent_pretokens(docs: DataFrame, model_file: str, sample_rows: int, size: int, text: str = "text") -> dict[str, int]:
     """Counts of the most frequent pre-tokens of a bounded sample; a cache's warm start, nothing else."""
+    rows = docs.count()  # from the files' footers
     words = (
-        docs.select(F.col(text).alias("t")).limit(sample_rows)
+        docs.select(F.col(text).alias("t")).sample(min(1.0, 2 * sample_rows / max(rows, 1)), 5).limit(sample_rows)
         .select(F.explode(F.split(F.regexp_replace("t", "\n", " \n"), " ")).alias("w"))
         .where((F.length("w") > 0) & (F.length("w") <= 40) & ~F.col("w").contains("▁"))
     )

@@ -72,7 +72,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op8_decontamination, op10_toxicity)}
+#: Rules of op6 (fixed values).
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import UrlFilter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page is labelled as the document whose number its path ends with: low quality is to be blocked
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:[^\d/]|/?$)", 1)
+    of = pages.where(number != "").select("url", number.cast("long").alias("doc_id"))
+    labelled = of.join(table(spark, sf_dir, "labels"), "doc_id").select("url", (F.col("quality") == 0).cast("int").alias("block"))
+    return UrlFilter(labelled).judge(pages, rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Key of the surrogates; a production run takes it from its secret store.
+PII_KEY = "turnstone"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY).drop("lang", "source", "n_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op8_decontamination, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """

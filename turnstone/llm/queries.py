@@ -97,7 +97,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"), PII_KEY).drop("lang", "source", "n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op8_decontamination, op9_pii, op10_toxicity)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import Similar, similar_components
+
+    found = similar_components(table(spark, sf_dir, "documents"), Similar(words=4, low=85, high=100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join, op8_decontamination, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """

@@ -104,7 +104,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join, op8_decontamination, op9_pii, op10_toxicity)}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages, words_in
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", words_in(F.col("repeated")).alias("n_repeated"), words_in(F.col("surplus")).alias("n_surplus"), "repeated", "surplus")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join, op8_decontamination, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """

@@ -1,13 +1,67 @@
-"""The corpus pipeline: five stages, each written and reread as the next one's documents."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, mixing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all documents its predecessor
+kept; run() applies them in turn, each result written to the shared folder and reread. All but the last return the
+columns of documents. Null and empty texts pass the first four stages unchanged; repeated rows
+(equal id and text) count as one group of copies in the second, so that one stays; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from turnstone.llm.decontamination import exact_hits, find_matches
+from turnstone.llm.jaccard_join import Similar, similar_components
+from turnstone.llm.mixing import mix_sources
+from turnstone.llm.pii import TYPES, replace_pii
+from turnstone.llm.queries import PII_KEY, table
+from turnstone.llm.scratch import written
+from turnstone.llm.toxicity import fit, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class models, learned from the labels of four fifths of the ids, don't call toxic."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked by five-word Jaccard similarity of 0.8 or more."""
+    found = similar_components(docs.select("doc_id", "text"), Similar(words=5, low=80, high=100))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # copies of one row under one id
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1 or doc_id is null").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in 13-word windows of benchmark items."""
+    found = find_matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = exact_hits(F.col("matches"))
+    gone = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("doc_id").alias("_k"), F.col("h").alias("_h")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_h")), "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by surrogates, and n_chars of the new text."""
+    new = replace_pii(docs, PII_KEY).drop(*(f"n_{t}" for t in TYPES))
+    return new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words that the mix takes of it) of every document."""
+    return mix_sources(docs)[1]
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

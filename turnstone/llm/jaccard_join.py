@@ -28,7 +28,7 @@ from .words import U, mix, shingle_set, texts, word_hashes
 BUCKETS, CHUNKS = 1 << 20, 64
 #: The longest prefix extension, and what verifying a pair costs in postings.
 MOST_MATCHES, VERIFY_COST = 6, 20.0
-FILTER_BITS = 1 << 20
+FILTER_BITS, TOKEN_BITS = 1 << 20, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -155,32 +155,68 @@ def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(lists.select("token", F.col("top.comp").alias("most")), "token")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by exact overlap of their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "key"), "cls")
-    ids = written(ids, "verify-ids")
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    # a map of fixed size tells which texts may be needed; others aren't taken apart again
-    words = ids.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():  # at most FILTER_BITS / 64 rows
-        bitmap[r.w] = r.bits
-    wanted = rows.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool))
+def _bitmap(hashed: DataFrame, bits: int) -> np.ndarray:
+    """A map of fixed size, true at every hash (column x, a long) modulo bits: a filter that lets some others pass."""
+    words = hashed.select(F.pmod("x", F.lit(bits)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    found = np.zeros(bits // 64, np.int64)
+    for r in words.collect():  # at most bits / 64 rows
+        found[r.w] = r.bits
+    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+
+
+def frequent_postings(reps: DataFrame) -> DataFrame:
+    """(token, cls, n, weight, matches, level) of the prefix n-grams that more than one class has.
+
+    The n-grams are counted first; a map of fixed size then keeps most of those that occur once out of the join.
+    """
+    often = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    often = written(often, "often")
+    known = reps.sparkSession.sparkContext.broadcast(_bitmap(often.select(F.col("token").alias("x")), TOKEN_BITS))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(5)
+            tokens = lists.flatten().to_numpy()
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            keep = known.value[np.mod(tokens, TOKEN_BITS)]
+            level = np.maximum(1, np.arange(len(tokens)) - ends[row] - batch.column(4).to_numpy()[row] + 2)[keep]
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *(batch.column(i).take(take) for i in range(4)), pa.array(level, pa.int32())], names=["token", "cls", "n", "weight", "matches", "level"])
+
+    rows = reps.select("cls", "n", "weight", "matches", "base", "prefix").mapInArrow(spread, "token long, cls long, n long, weight double, matches int, level int")
+    return written(rows.join(often, "token"), "postings")
+
+
+def class_sets(rows: DataFrame, reps: DataFrame, postings: DataFrame, rule: Similar) -> DataFrame:
+    """(cls, s): the whole sets of the classes that have postings, taken apart again from one text of each."""
+    ids = postings.select("cls").distinct().join(reps.select("cls", "key"), "cls")
+    wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("key").alias("x")), FILTER_BITS))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(wanted.value[batch.column(2).to_numpy()])
-            batch = batch.filter(keep)
+            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
             cls, sets = [], []
-            for k, s in _sets(*texts(batch.column(1)), rule.words):
+            for _, s in _sets(*texts(batch.column(1)), rule.words):
                 if len(s):
                     cls.append(_signature(s))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "s"])
 
-    sets = rows.select("key", "text", bit.alias("bit")).mapInArrow(again, "cls long, s binary")
-    sets = written(sets.join(ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s")), "verify-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("bit")
+    return written(rows.select("key", "text", bit).mapInArrow(again, "cls long, s binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, by exact overlap of their whole sets."""
+    wanted = pairs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("x")), FILTER_BITS))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value[np.mod(batch.column(0).to_numpy(), FILTER_BITS)]))
+
+    few = sets.mapInArrow(needed, "cls long, s binary")
+    both = pairs.join(few.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(few.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
 
     def overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -191,7 +227,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar)
                 keep.append(rule.high * common >= rule.low * (len(x) + len(y) - common))
             yield f.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(overlap, "a long, b long")
+    # a class may have been taken apart from several of its copies
+    return both.mapInPandas(overlap, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
@@ -208,9 +245,8 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     texts_, sketch = classes_and_sketch(rows, rule)
     reps = written(prefixes(rows.where(F.col("key").isNotNull()), sketch, rule), "prefixes")
-    spread = reps.select("cls", "n", "weight", "matches", "base", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "n", "weight", "matches", F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("level"))
-    often = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    postings = written(spread.join(often.select("token"), "token"), "postings")
+    postings = frequent_postings(reps)
+    sets = class_sets(rows, reps, postings, rule)
 
     links: list[DataFrame] = []
     roots = None
@@ -219,8 +255,10 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
         # the first leader is the most central text, later ones are drawn by lot from those not with the most
         rank = F.struct("weight", "cls", "n", "comp") if r == 0 else F.struct((F.col("comp") != F.col("most")).cast("double").alias("weight"), F.xxhash64("cls", F.lit(r)).alias("lot"), "cls", "n", "comp")
         leaders = rows_open.groupBy("token").agg(F.max(rank).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("n2"), F.col("l.comp").alias("comp2"))
-        pairs = rows_open.join(leaders, "token").where((F.col("comp") != F.col("comp2")) & _close(rule)).select(F.col("cls").alias("a"), "b").distinct()
-        found = written(_verified(written(pairs, "star-pairs"), rows, reps, rule), "links")
+        pairs = rows_open.join(leaders, "token").where((F.col("comp") != F.col("comp2")) & _close(rule)).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("shared"))
+        # of several leaders the one that it shares most n-grams with; the others' turn comes later
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+        found = written(_verified(written(pairs, "star-pairs"), sets, rule), "links")
         if found.isEmpty():
             break
         links.append(found)
@@ -236,7 +274,7 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
     pairs = pairs.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
     pairs = written(pairs, "rest-pairs")
     if not pairs.isEmpty():
-        found = written(_verified(pairs, rows, reps, rule), "links")
+        found = written(_verified(pairs, sets, rule), "links")
         if not found.isEmpty():
             roots = components(_all([found], roots))
     known = texts_.groupBy("cls").agg(F.min("key").alias("first")).where("cls <> 0")

@@ -125,6 +125,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     long_rows = rows.where(F.length("text") >= 2 * length - 1).select("rid", "key", "text")
     found = written(stretches(long_rows.hint("merge").join(candidates, "rid"), length, k), "stretches")
     shared = found.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("key").alias("owner")).where("a <> b").select("h", "owner")
+    shared = written(shared, "shared")  # a table of its own, so that Spark can split the join at frequent stretches
     own = found.hint("merge").join(shared, "h")
     surplus = F.when(~F.coalesce(F.col("owner") == F.col("key"), F.lit(False)), F.col("s"))
     per = own.groupBy("rid").agg(F.array_sort(F.collect_set("s")).alias("s"), F.array_sort(F.collect_set(surplus)).alias("t"))

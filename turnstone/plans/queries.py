@@ -380,11 +380,11 @@ def _searchable(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return queries, d.memories(spark, sf_dir).join(e.withColumnRenamed("vec_id", "id"), "id", "left")
 
 
-@query(_VECTOR + " SELECT qid, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ve WHERE rank <= 32")
+@query(_VECTOR + " SELECT qid, id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM ve WHERE rank <= 32")
 def vector_topk(spark, sf_dir):
     queries, rows = _searchable(spark, sf_dir)
     found = retrieve.vector_ranks(queries, rows.where("vec is not null"), 32, salts=4)
-    return found.select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
+    return found.select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
 def _sql_search(limit: int, where: str = "status = 'active'") -> str:
@@ -400,16 +400,16 @@ def _search(spark, sf_dir, limit: int) -> DataFrame:
     return retrieve.search(queries, rows, d.NOW, limit, salts=4)
 
 
-@query(_sql_search(8) + " SELECT qid, id, round(p, 6) AS rrf, round(dd, 6) AS distance FROM (SELECT qid, id, rrf AS p, distance AS dd FROM fu)")
+@query(_sql_search(8) + " SELECT qid, id, round(p, 6) AS rrf, round(dd, 6) + 0 AS distance FROM (SELECT qid, id, rrf AS p, distance AS dd FROM fu)")
 def rank_fusion(spark, sf_dir):
     queries, rows = _searchable(spark, sf_dir)
     both = retrieve.fused(retrieve.vector_ranks(queries, rows.where("vec is not null"), 32, 4), retrieve.keyword_ranks(queries, rows.select("id", "text"), 32))
-    return both.select("qid", "id", F.round("rrf", 6).alias("rrf"), F.round("distance", 6).alias("distance"))
+    return both.select("qid", "id", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(_sql_search(8) + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(distance, 6) AS distance FROM top")
+@query(_sql_search(8) + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(distance, 6) + 0 AS distance FROM top")
 def hybrid_search(spark, sf_dir):
-    return _search(spark, sf_dir, 8).select("qid", "id", "rank", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+    return _search(spark, sf_dir, 8).select("qid", "id", "rank", F.round("score", 6).alias("score"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 _LINE = "'- [' || kind || '] ' || text || ' (via ' || coalesce(tool, source) || ')' || CASE WHEN seen_count > 1 THEN ' x' || seen_count ELSE '' END"

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..schemas import CONTRADICTION, MEMORY
 
 #: What stands before encrypted texts (fixed value).
@@ -15,10 +16,14 @@ MARKER = "ttenc1"
 
 def encrypted(text: Column, key: bytes) -> Column:
     """marker:iv:tag:ciphertext of AES-256-GCM, the last three in base64."""
-    sealed = F.aes_encrypt(text, F.lit(bytearray(key)), F.lit("GCM"))
-    n = F.octet_length(sealed)
-    part = lambda at, size: F.base64(F.substring(sealed, at, size) if isinstance(at, int) and isinstance(size, int) else F.substr(sealed, at, size))
-    return F.when(text.isNotNull(), F.concat_ws(":", F.lit(MARKER), part(1, 12), part(n - 15, F.lit(16)), part(F.lit(13), n - 28)))
+
+    def parts(sealed: Column) -> Column:
+        n = F.octet_length(sealed)
+        of = lambda at, size: F.base64(F.substr(sealed, at, size))
+        return F.concat_ws(":", F.lit(MARKER), of(F.lit(1), F.lit(12)), of(n - 15, F.lit(16)), of(F.lit(13), n - 28))
+
+    # sealed once: every evaluation draws another iv
+    return F.when(text.isNotNull(), let(F.aes_encrypt(text, F.lit(bytearray(key)), F.lit("GCM")), parts))
 
 
 def decrypted(text: Column, key: bytes) -> Column:

@@ -3,7 +3,7 @@
 A text is the set of its word n-grams. In a fixed order of all n-grams, rare ones first, two sets
 that are similar enough share l n-grams among the first n - t + l of each, t being the least overlap
 that a set of n can be similar with. A longer prefix costs more postings but asks for more shared n-grams, so each text
-takes the l of least estimated cost. What shares enough is verified by exact overlap.
+takes the l of least estimated cost. For a pair the prefixes are cut again, to what the sizes of both allow. What shares enough is verified by exact overlap.
 
 Texts with equal sets form one class and only classes are joined. Inside large groups not
 every pair is looked at: classes found to be connected need no further links between them.
@@ -40,8 +40,13 @@ class Similar:
     high: int = 100
 
     def least_overlap(self, n: int) -> int:
+        """What a set of n shares at least with any similar set."""
         return -(-self.low * n // self.high)
 
+    def pair_overlap(self, n: str, n2: str) -> F.Column:
+        """What sets of n and n2 share at least if they are similar."""
+        return F.ceil((F.col(n) + F.col(n2)) * self.low / (self.low + self.high) - F.lit(1e-9))
+
 
 def _signature(s: np.ndarray) -> int:
     """A 64-bit fingerprint of a set."""
@@ -137,8 +142,14 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, rule: Similar) -> DataFrame:
     return ordered.groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("matches").alias("matches"), F.first("base").alias("base"), F.first("prefix").alias("prefix"))
 
 
-def _close(rule: Similar) -> F.Column:
-    return F.least("n", "n2") * rule.high >= F.greatest("n", "n2") * rule.low
+def _possible(rule: Similar, matches: F.Column | int) -> F.Column:
+    """Whether sets of n and n2 may be similar, and an n-gram at pos and pos2 of their orders counts towards so many shared ones.
+
+    Two sets that share o n-grams share l of them among the first n - o + l of each.
+    """
+    overlap = rule.pair_overlap("n", "n2")
+    first = (F.col("pos") <= F.col("n") - overlap + matches - 1) & (F.col("pos2") <= F.col("n2") - overlap + matches - 1)
+    return (F.least("n", "n2") * rule.high >= F.greatest("n", "n2") * rule.low) & first
 
 
 def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -165,7 +176,7 @@ def _bitmap(hashed: DataFrame, bits: int) -> np.ndarray:
 
 
 def frequent_postings(reps: DataFrame) -> DataFrame:
-    """(token, cls, n, weight, matches, level) of the prefix n-grams that more than one class has.
+    """(token, cls, n, weight, matches, pos) of the prefix n-grams that more than one class has.
 
     The n-grams are counted first; a map of fixed size then keeps most of those that occur once out of the join.
     """
@@ -175,22 +186,22 @@ def frequent_postings(reps: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(5)
+            lists = batch.column(4)
             tokens = lists.flatten().to_numpy()
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             keep = known.value[np.mod(tokens, TOKEN_BITS)]
-            level = np.maximum(1, np.arange(len(tokens)) - ends[row] - batch.column(4).to_numpy()[row] + 2)[keep]
+            pos = (np.arange(len(tokens)) - ends[row])[keep]
             take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *(batch.column(i).take(take) for i in range(4)), pa.array(level, pa.int32())], names=["token", "cls", "n", "weight", "matches", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *(batch.column(i).take(take) for i in range(4)), pa.array(pos, pa.int32())], names=["token", "cls", "n", "weight", "matches", "pos"])
 
-    rows = reps.select("cls", "n", "weight", "matches", "base", "prefix").mapInArrow(spread, "token long, cls long, n long, weight double, matches int, level int")
+    rows = reps.select("cls", "n", "weight", "matches", "prefix").mapInArrow(spread, "token long, cls long, n long, weight double, matches int, pos int")
     return written(rows.join(often, "token"), "postings")
 
 
-def class_sets(rows: DataFrame, reps: DataFrame, postings: DataFrame, rule: Similar) -> DataFrame:
-    """(cls, s): the whole sets of the classes that have postings, taken apart again from one text of each."""
-    ids = postings.select("cls").distinct().join(reps.select("cls", "key"), "cls")
+def class_sets(rows: DataFrame, reps: DataFrame, pairs: DataFrame, rule: Similar) -> DataFrame:
+    """(cls, s): the whole sets of the classes in pairs (a, b), taken apart again from one text of each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "key"), "cls")
     wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("key").alias("x")), FILTER_BITS))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +218,10 @@ def class_sets(rows: DataFrame, reps: DataFrame, postings: DataFrame, rule: Simi
     return written(rows.select("key", "text", bit).mapInArrow(again, "cls long, s binary"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar) -> DataFrame:
     """The pairs (a, b) of classes that are similar, by exact overlap of their whole sets."""
-    wanted = pairs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("x")), FILTER_BITS))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value[np.mod(batch.column(0).to_numpy(), FILTER_BITS)]))
-
-    few = sets.mapInArrow(needed, "cls long, s binary")
-    both = pairs.join(few.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(few.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    sets = class_sets(rows, reps, pairs, rule)
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
 
     def overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -231,7 +236,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Similar) -> DataFrame:
     return both.mapInPandas(overlap, "a long, b long").distinct()
 
 
-def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
+def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """key, n_shingles, cls (its set's fingerprint) and component_id (the smallest key reachable by links) of every row.
 
     Words are runs without ASCII white space, A-Z lower-cased. Texts with fewer words than an n-gram
@@ -246,19 +251,18 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
     texts_, sketch = classes_and_sketch(rows, rule)
     reps = written(prefixes(rows.where(F.col("key").isNotNull()), sketch, rule), "prefixes")
     postings = frequent_postings(reps)
-    sets = class_sets(rows, reps, postings, rule)
 
     links: list[DataFrame] = []
     roots = None
     for r in range(star_rounds):
         rows_open = _open(postings, roots)
         # the first leader is the most central text, later ones are drawn by lot from those not with the most
-        rank = F.struct("weight", "cls", "n", "comp") if r == 0 else F.struct((F.col("comp") != F.col("most")).cast("double").alias("weight"), F.xxhash64("cls", F.lit(r)).alias("lot"), "cls", "n", "comp")
-        leaders = rows_open.groupBy("token").agg(F.max(rank).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("n2"), F.col("l.comp").alias("comp2"))
-        pairs = rows_open.join(leaders, "token").where((F.col("comp") != F.col("comp2")) & _close(rule)).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("shared"))
+        rank = F.struct("weight", "cls", "n", "comp", "pos") if r == 0 else F.struct((F.col("comp") != F.col("most")).cast("double").alias("weight"), F.xxhash64("cls", F.lit(r)).alias("lot"), "cls", "n", "comp", "pos")
+        leaders = rows_open.groupBy("token").agg(F.max(rank).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("n2"), F.col("l.comp").alias("comp2"), F.col("l.pos").alias("pos2"))
+        pairs = rows_open.join(leaders, "token").where((F.col("comp") != F.col("comp2")) & _possible(rule, 1)).groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("shared"))
         # of several leaders the one that it shares most n-grams with; the others' turn comes later
         pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
-        found = written(_verified(written(pairs, "star-pairs"), sets, rule), "links")
+        found = written(_verified(written(pairs, "star-pairs"), rows, reps, rule), "links")
         if found.isEmpty():
             break
         links.append(found)
@@ -266,15 +270,15 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
         links = []
     # all that is left: pairs of different components that share enough of their prefixes
     rows_open = written(_open(postings, roots), "open")
-    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), F.col("matches").alias("m"), F.col("level").alias("lv"))
-    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("matches").alias("m2"), F.col("level").alias("lv2"))
+    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), F.col("matches").alias("m"), "pos")
+    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("matches").alias("m2"), F.col("pos").alias("pos2"))
     need = F.least("m", "m2")
-    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _close(rule) & (F.greatest("lv", "lv2") <= need))
+    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _possible(rule, need))
     # the same pair may come from either side, by different n-grams
     pairs = pairs.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
     pairs = written(pairs, "rest-pairs")
     if not pairs.isEmpty():
-        found = written(_verified(pairs, sets, rule), "links")
+        found = written(_verified(pairs, rows, reps, rule), "links")
         if not found.isEmpty():
             roots = components(_all([found], roots))
     known = texts_.groupBy("cls").agg(F.min("key").alias("first")).where("cls <> 0")

@@ -32,6 +32,13 @@ PATTERNS = (
     ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?"),
 )
 TYPES = ("secret", "email", "phone", "card", "ip", "name")
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out and planned once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 _ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Stands around entities while a text is cut; no text holds it but by design.
 _MARK = "﷐turnstone-5b1d2c9e7f﷐"
@@ -113,7 +120,10 @@ def _luhn_part(d: Column, i: Column) -> Column:
 
 def core(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normal form, before it takes the format of a mention. Equal cores are a collision."""
-    h = _hash(key, kind, norm, attempt)
+    return _let(F.struct(kind.alias("kind"), norm.alias("norm"), _hash(key, kind, norm, attempt).alias("h")), lambda x: _core(x["kind"], x["norm"], x["h"]))
+
+
+def _core(kind: Column, norm: Column, h: Column) -> Column:
     num = F.translate(h, "abcdef", "036925")
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
     syllables = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
@@ -132,9 +142,16 @@ def core(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     )
 
 
-def surrogate(key: str, kind: Column, piece: Column, attempt: Column) -> Column:
-    """The replacement for one mention of an entity, in the mention's format, script and gender."""
-    new = core(key, kind, normal(kind, piece), attempt)
+def surrogate(key: str, kind: Column, piece: Column, attempt) -> Column:
+    """The replacement for one mention of an entity, in the mention's format, script and gender; attempt(kind, norm): how often it was drawn again."""
+    def of(x: Column) -> Column:
+        return _let(core(key, x["kind"], x["norm"], attempt(x["kind"], x["norm"])), lambda new: _formatted(key, x["kind"], x["piece"], new))
+
+    with_norm = lambda k: F.struct(k.alias("kind"), piece.alias("piece"), normal(k, piece).alias("norm"))
+    return _let(_let(kind, with_norm), of)
+
+
+def _formatted(key: str, kind: Column, piece: Column, new: Column) -> Column:
     female = piece.rlike(rf"\A(?:{FEMALE_TITLES})\.? ")
     title, bare = F.regexp_extract(piece, rf"\A({_TITLE} )", 1), _bare(piece)
     given = F.regexp_extract(bare, r"\A(\p{L}+) ", 1)
@@ -151,7 +168,7 @@ def surrogate(key: str, kind: Column, piece: Column, attempt: Column) -> Column:
 def _entities(pieces: Column) -> Column:
     """The (kind, norm) of the entities among pieces, each once."""
     every = F.filter(pieces, lambda p, i: i % 2 == 1)
-    return F.array_distinct(F.transform(every, lambda p: F.struct(type_of(p).alias("kind"), normal(type_of(p), p).alias("norm"))))
+    return F.array_distinct(F.transform(every, lambda p: _let(type_of(p), lambda k: F.struct(k.alias("kind"), normal(k, p).alias("norm")))))
 
 
 def redrawn(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame | None:
@@ -181,21 +198,21 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     docs = docs.drop(*(f"n_{t}" for t in TYPES))
     columns = docs.columns
-    rows = docs.withColumn("_pieces", pieces_of(F.col(text)))
+    rows = docs.withColumn("__pieces", pieces_of(F.col(text)))
     found = docs.where(F.col(text).rlike(_ANY)).select(F.col(text).alias("t"))
     mentions = found.select(F.xxhash64("t").alias("h"), F.col("t"), F.explode(_entities(pieces_of(F.col("t")))).alias("e")).select("h", "e.kind", "e.norm")
     again = redrawn(mentions.select("kind", "norm"), key)
     if again is None:
-        attempt = lambda kind, piece: F.lit(0)
+        attempt = lambda kind, norm: F.lit(0)
     else:
         # only texts with such an entity get a map of theirs
-        maps = mentions.join(again, ["kind", "norm"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "norm").alias("k"), F.col("attempt").alias("v")))).alias("_again"))
-        rows = rows.withColumn("_h", F.xxhash64(text)).join(maps, F.col("_h") == F.col("h"), "left").drop("h")
-        attempt = lambda kind, piece: F.coalesce(F.try_element_at("_again", F.concat_ws(" ", kind, normal(kind, piece))), F.lit(0))
-    changed = F.transform("_pieces", lambda p, i: F.when(i % 2 == 0, p).otherwise(surrogate(key, type_of(p), p, attempt(type_of(p), p))))
-    kinds = F.transform(F.filter("_pieces", lambda p, i: i % 2 == 1), lambda p: type_of(p))
-    rows = rows.withColumn("_kinds", F.when(F.size("_pieces") > 1, kinds).otherwise(F.array().cast("array<string>")))
-    new = F.when(F.size("_pieces") > 1, F.array_join(changed, "")).otherwise(F.col(text))
-    mentioned = lambda t: F.size(F.filter("_kinds", lambda k: k == t)).cast("long")
+        maps = mentions.join(again, ["kind", "norm"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "norm").alias("k"), F.col("attempt").alias("v")))).alias("__again"))
+        rows = rows.withColumn("__h", F.xxhash64(text)).join(maps.withColumnRenamed("h", "__m"), F.col("__h") == F.col("__m"), "left")
+        attempt = lambda kind, norm: F.coalesce(F.try_element_at("__again", F.concat_ws(" ", kind, norm)), F.lit(0))
+    changed = F.transform("__pieces", lambda p, i: F.when(i % 2 == 0, p).otherwise(surrogate(key, type_of(p), p, attempt)))
+    kinds = F.transform(F.filter("__pieces", lambda p, i: i % 2 == 1), lambda p: type_of(p))
+    rows = rows.withColumn("__kinds", F.when(F.size("__pieces") > 1, kinds).otherwise(F.array().cast("array<string>")))
+    new = F.when(F.size("__pieces") > 1, F.array_join(changed, "")).otherwise(F.col(text))
+    mentioned = lambda t: F.size(F.filter("__kinds", lambda k: k == t)).cast("long")
     counts = {f"n_{t}": F.coalesce(mentioned(t), F.lit(0).cast("long")) for t in TYPES}
     return rows.withColumns(counts | {text: new}).select(*columns, *(f"n_{t}" for t in TYPES))

@@ -121,11 +121,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kept = written(kept_suffixes(rows, length, k), "suffixes")
     suffixes = kept.select("rid", F.explode(F.arrays_zip("at", "start")).alias("x")).select("rid", "x.at", "x.start")
     shared = suffixes.groupBy("start").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("start")
-    candidates = suffixes.join(shared, "start").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("candidates"))
+    shared = written(shared, "shared")  # a table of its own, so that Spark can split the join at frequent suffixes
+    candidates = suffixes.hint("merge").join(shared, "start").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("candidates"))
     long_rows = rows.where(F.length("text") >= 2 * length - 1).select("rid", "key", "text")
     found = written(stretches(long_rows.hint("merge").join(candidates, "rid"), length, k), "stretches")
     shared = found.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("key").alias("owner")).where("a <> b").select("h", "owner")
-    shared = written(shared, "shared")  # a table of its own, so that Spark can split the join at frequent stretches
+    shared = written(shared, "shared")
     own = found.hint("merge").join(shared, "h")
     surplus = F.when(~F.coalesce(F.col("owner") == F.col("key"), F.lit(False)), F.col("s"))
     per = own.groupBy("rid").agg(F.array_sort(F.collect_set("s")).alias("s"), F.array_sort(F.collect_set(surplus)).alias("t"))
@@ -141,7 +142,7 @@ def without_surplus(docs: DataFrame, found: DataFrame, key: str = "doc_id", text
     What is left of a changed text is joined by single spaces.
     """
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    gone = found.where(F.size("surplus") > 0).select(F.col(key).alias("_k"), "surplus")
-    rest = F.filter(words, lambda w, i: ~F.exists("surplus", lambda s: (i >= s["first"]) & (i < s["end"])))
-    both = docs.join(gone, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return both.withColumn(text, F.when(F.col("surplus").isNull(), F.col(text)).otherwise(F.array_join(rest, " "))).select(docs.columns)
+    gone = found.where(F.size("surplus") > 0).select(F.col(key).alias("__k"), F.col("surplus").alias("__s"))
+    rest = F.filter(words, lambda w, i: ~F.exists("__s", lambda s: (i >= s["first"]) & (i < s["end"])))
+    both = docs.join(gone, F.col(key).eqNullSafe(F.col("__k")), "left")
+    return both.withColumn(text, F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join(rest, " "))).select(docs.columns)

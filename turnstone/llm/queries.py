@@ -108,7 +108,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_passages, words_in
 
     found = repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", words_in(F.col("repeated")).alias("n_repeated"), words_in(F.col("surplus")).alias("n_surplus"), "repeated", "surplus")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return found.select("doc_id", "n_words", words_in(F.col("repeated")).alias("n_repeated"), words_in(F.col("surplus")).alias("n_surplus"), spans("repeated"), spans("surplus"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join, op8_decontamination, op9_pii, op10_toxicity)}
@@ -146,4 +147,27 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN its USING (r)""",
+    "op7_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+    "op1_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+        m AS (SELECT g, min(doc_id) AS owner FROM s GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+        r AS (SELECT 'r' AS kind, doc_id, i FROM s JOIN m USING (g) UNION ALL SELECT 's', doc_id, i FROM s JOIN m USING (g) WHERE doc_id <> owner),
+        b AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY kind, doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM r),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY kind, doc_id ORDER BY i) AS part FROM b),
+        p AS (SELECT kind, doc_id, min(i) AS a, max(i) + 50 AS e FROM k GROUP BY kind, doc_id, part),
+        o AS (SELECT kind, doc_id, CAST(sum(e - a) AS BIGINT) AS n, string_agg(a || '-' || e, ',' ORDER BY a) AS spans FROM p GROUP BY kind, doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_repeated, coalesce(s.n, 0) AS n_surplus, coalesce(r.spans, '') AS repeated, coalesce(s.spans, '') AS surplus
+        FROM d LEFT JOIN (FROM o WHERE kind = 'r') r USING (doc_id) LEFT JOIN (FROM o WHERE kind = 's') s USING (doc_id)""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import CANDIDATE
-from .text import EDGE, SPACE, alnum_length, collapse, emoji_count, length, let, trim, word_count
+from .text import EDGE, EMOJI, SPACE, alnum_length, collapse, length, let, trim, word_count
 
 #: Markers and fillers (fixed values), to be matched without regard to case; {b} is a word edge, {s} white space.
 DECISION = r"{b}(decided|decision|we (?:use|chose|picked|went with|will use|are using)|going with|let's use|switch(?:ed)? to|adopt(?:ed)?|standardi[sz]e on){b}"
@@ -35,14 +35,11 @@ def classify(s: Column) -> Column:
 
 
 def is_noise(text: Column) -> Column:
-    return let(trim(text), _is_noise)
-
-
-def _is_noise(s: Column) -> Column:
+    s = trim(text)
     n = length(s)
     return (
         F.when((s == "") | (alnum_length(s) < 6), True)
-        .when((emoji_count(s) > 0) & (word_count(s) <= 2), True)
+        .when(s.rlike(EMOJI) & (word_count(s) <= 2), True)
         .when(durable(s), False)
         .when(has(s, FILLER), True)
         .when((n < 80) & has(s, FILLER_PHRASE), True)

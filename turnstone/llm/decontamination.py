@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .words import texts
+from .words import slices, texts
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A-Z to a-z, and every other ASCII character that is no digit or letter to a space.
@@ -51,7 +51,7 @@ def term_counts(docs: DataFrame, text: str, terms: list[bytes]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         get = number.value.get
-        for batch in batches:
+        for batch in slices(batches):
             data, at = texts(batch.column(0))
             data = data.tobytes()
             for i in range(len(at) - 1):
@@ -146,7 +146,7 @@ def _postings(rows: DataFrame, terms: list[bytes], wanted: np.ndarray, window: i
         get = number.value.get
         none = len(terms)
         keep = np.append(wanted, False)
-        for batch in batches:
+        for batch in slices(batches):
             data, at = texts(batch.column(2))
             data = data.tobytes()
             n_words, term, pos, around, ends = [], [], [], [], [0]

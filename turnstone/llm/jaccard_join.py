@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import written
-from .words import U, mix, shingle_set, texts, word_hashes
+from .words import U, mix, shingle_set, slices, texts, word_hashes
 
 #: Buckets of the frequency sketch, in chunks; its size is the same for any corpus.
 BUCKETS, CHUNKS = 1 << 20, 64
@@ -68,7 +68,7 @@ def classes_and_sketch(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.nd
 
         sketch, key_type = np.zeros(BUCKETS, np.int64), None
         names = ["key", "n", "cls", "chunk", "salt", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             key_type = batch.column(0).type
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for k, s in _sets(*texts(batch.column(1)), rule.words):
@@ -115,7 +115,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, rule: Similar) -> DataFrame:
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for k, s in _sets(*texts(batch.column(1)), rule.words):
                 n = len(s)
@@ -185,7 +185,7 @@ def frequent_postings(reps: DataFrame) -> DataFrame:
     known = reps.sparkSession.sparkContext.broadcast(_bitmap(often.select(F.col("token").alias("x")), TOKEN_BITS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(4)
             tokens = lists.flatten().to_numpy()
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -205,7 +205,7 @@ def class_sets(rows: DataFrame, reps: DataFrame, pairs: DataFrame, rule: Similar
     wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("key").alias("x")), FILTER_BITS))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
             cls, sets = [], []
             for _, s in _sets(*texts(batch.column(1)), rule.words):
@@ -223,17 +223,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar)
     sets = class_sets(rows, reps, pairs, rule)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
 
-    def overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(f["sa"], f["sb"]):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(rule.high * common >= rule.low * (len(x) + len(y) - common))
-            yield f.loc[keep, ["a", "b"]]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     # a class may have been taken apart from several of its copies
-    return both.mapInPandas(overlap, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:

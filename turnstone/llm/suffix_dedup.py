@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .words import grams, texts, word_hashes
+from .words import grams, slices, texts, word_hashes
 
 
 def minimisers(runs: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def kept_suffixes(rows: DataFrame, length: int, k: int) -> DataFrame:
     """rid, n_words, at and start (lists: positions of the kept suffixes, hashes of their first k words)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, rows_, at, start = np.zeros(batch.num_rows, np.int64), [], [], []
             for i, words in _per_text(batch, 1):
                 n[i] = len(words)
@@ -71,7 +71,7 @@ def stretches(rows: DataFrame, length: int, k: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = length - k + 1
-        for batch in batches:
+        for batch in slices(batches):
             rows_, at, hashes = [], [], []
             known = batch.column(3)
             for i, words in _per_text(batch, 2):

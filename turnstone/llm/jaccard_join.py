@@ -152,6 +152,15 @@ def _possible(rule: Similar, matches: F.Column | int) -> F.Column:
     return (F.least("n", "n2") * rule.high >= F.greatest("n", "n2") * rule.low) & first
 
 
+def _enough(pairs: DataFrame, reps: DataFrame, rule: Similar) -> DataFrame:
+    """The pairs (a, b) that share as many n-grams of their longer prefixes as those ask for: the l of the text with fewer."""
+    side = lambda c, i: reps.select(F.col("cls").alias(c), F.col("n").alias(f"n{i}"), F.col("matches").alias(f"m{i}"), F.col("prefix").alias(f"p{i}"))
+    both = pairs.join(side("a", ""), "a").join(side("b", "2"), "b")
+    need, overlap = F.least("m", "m2"), rule.pair_overlap("n", "n2")
+    first = lambda p, n: F.slice(p, F.lit(1), (F.col(n) - overlap + need).cast("int"))
+    return both.where(F.size(F.array_intersect(first("p", "n"), first("p2", "n2"))) >= need).select("a", "b")
+
+
 def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("comp", F.col("cls"))
@@ -270,12 +279,11 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
         links = []
     # all that is left: pairs of different components that share enough of their prefixes
     rows_open = written(_open(postings, roots), "open")
-    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), F.col("matches").alias("m"), "pos")
-    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("matches").alias("m2"), F.col("pos").alias("pos2"))
-    need = F.least("m", "m2")
-    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _possible(rule, need))
+    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), "pos")
+    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("pos").alias("pos2"))
+    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _possible(rule, 1))
     # the same pair may come from either side, by different n-grams
-    pairs = pairs.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    pairs = _enough(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, rule)
     pairs = written(pairs, "rest-pairs")
     if not pairs.isEmpty():
         found = written(_verified(pairs, rows, reps, rule), "links")

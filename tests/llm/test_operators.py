@@ -337,6 +337,18 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert draw is not few
 
 
+def test_whole_entities(spark):
+    """Nothing of a long secret or of a name's later parts stays."""
+    long = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))
+    texts = [f"token={long} end", f"token={long[:200]}{long[:100]} end", "Herr Karl Heinz Müller kam", "Mrs Anna Smith-Jones, Mr O'Brien's car", "Mr John F. Kennedy and Herr Ludwig van Beethoven", f"Mr {'Ab' * 40}", "to a@b." + "cd." * 12 + "com now"]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame(rows_of(*texts), DOCS), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch("token=[a-z0-9]{300} end", got[0]) and long[200:] not in got[0] and got[0] != got[1]
+    assert re.fullmatch(r"Herr \w+ .*\w+ kam", got[2]) and not re.search("Karl|Heinz|Müller", got[2])
+    assert re.fullmatch(r"Mrs \w+ [\w-]+, Mr \w+'s car", got[3]) and not re.search("Anna|Smith|Jones|Brien", got[3])
+    assert re.match(r"Mr \w+ .*\w+ and Herr \w+ .*\w+", got[4]) and not re.search("John|Kennedy|Ludwig|Beethoven", got[4])
+    assert "AbAb" not in got[5] and ".cd" not in got[6] and got[6].endswith(".com now")
+
+
 # --- 10 ---
 def test_toxicity(spark, odd, empty):
     rng = random.Random(6)

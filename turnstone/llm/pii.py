@@ -20,16 +20,21 @@ MALE_NAMES = ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan",
 FEMALE_NAMES = ("Alma", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Petra")
 CYRILLIC_MALE = ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Марк", "Олег", "Павел")
 CYRILLIC_FEMALE = ("Алла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина")
+#: Words in lower case that join the parts of a name, and stay as they are.
+PARTICLES = ("van", "von", "vom", "zu", "zum", "zur", "der", "den", "de", "del", "della", "la", "du", "des", "di", "da", "do", "dos", "das", "ten", "ter", "bin", "ibn", "al", "el")
 #: (type, pattern), the first that matches decides. No pattern has groups of its own.
 _TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES})\.?"
+#: A capitalised word with its hyphenated and apostrophe parts (but for 's), whole; what may stand before one: particles and initials.
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-]\p{L})++"
+_LINK = rf"(?:(?:{'|'.join(PARTICLES)}) |\p{{Lu}}\.?(?:-?\p{{Lu}}\.)*+ )*+"
 PATTERNS = (
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i)(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_?key)(?-i)\s{0,3}[=:]\s{0,3}\"?[^\s\"'\]\[]{6,200}"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-])"),
+    ("secret", r"(?i)(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_?key)(?-i)\s{0,3}[=:]\s{0,3}\"?[^\s\"'\]\[]{6,}+"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,126}(?![A-Za-z0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_LINK}{_WORD}(?: {_LINK}{_WORD})*+"),
 )
 TYPES = ("secret", "email", "phone", "card", "ip", "name")
 
@@ -60,7 +65,7 @@ def pieces_of(text: Column) -> Column:
 _digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
 _value = lambda s: F.regexp_extract(s, r"(?s)\A(?:AKIA|[A-Za-z_]+\s*[=:]\s*\"?)(.*)\z", 1)
 _bare = lambda s: F.regexp_replace(s, rf"\A{_TITLE} ", "")
-_family = lambda s: F.regexp_extract(s, r"(\p{L}+)\z", 1)
+_family = lambda s: F.substring_index(_bare(s), " ", -1)
 
 
 def normal(kind: Column, piece: Column) -> Column:
@@ -154,7 +159,7 @@ def surrogate(key: str, kind: Column, piece: Column, attempt) -> Column:
 def _formatted(key: str, kind: Column, piece: Column, new: Column) -> Column:
     female = piece.rlike(rf"\A(?:{FEMALE_TITLES})\.? ")
     title, bare = F.regexp_extract(piece, rf"\A({_TITLE} )", 1), _bare(piece)
-    given = F.regexp_extract(bare, r"\A(\p{L}+) ", 1)
+    given = F.regexp_extract(bare, r"\A(.+) ", 1)
     n = _number(_hash(key, F.lit("given"), F.lower(given), F.lit(0)), 0)
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
     first = F.when(given.rlike(r"\p{IsCyrillic}"), F.when(female, pick(CYRILLIC_FEMALE)).otherwise(pick(CYRILLIC_MALE))).otherwise(F.when(female, pick(FEMALE_NAMES)).otherwise(pick(MALE_NAMES)))
@@ -195,6 +200,8 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Types: secret, email, phone, card, ip, name (after a title). Whole texts count. A null text stays null
     and an empty one empty, both with counts 0; repeated rows get equal results; all other columns are kept, and existing
     columns n_<type> replaced; an empty table gives an empty table. The same key gives the same surrogates.
+    A secret runs to the next blank, quote or square bracket, however long; a name takes all capitalised, hyphenated and apostrophe
+    parts, initials and particles that follow its title, each after one blank.
     """
     docs = docs.drop(*(f"n_{t}" for t in TYPES))
     columns = docs.columns

@@ -349,6 +349,23 @@ def test_whole_entities(spark):
     assert "AbAb" not in got[5] and ".cd" not in got[6] and got[6].endswith(".com now")
 
 
+def test_names_are_distinct(spark):
+    """More names than the first draw has; names and surrogates that are real names in another case; a secret that no draw by place changes."""
+    given = [f"G{a}{b}" for a in "aeiou" for b in "bcdfghklmn"]
+    texts = [f"Mr {g} Smith, Mrs {g} Smith" for g in [*given, *pii.MALE_NAMES]] + ["password=******** x", "password=******* x"]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for title, n in (("Mr", len(given) + 16), ("Mrs", len(given) + 16)):
+        new = [re.search(rf"\b{title} (\w+) \w+", t)[1] for t in out[:n]]
+        assert len(set(new)) == n and not set(new) & {*given, *pii.MALE_NAMES}
+    assert len({re.search(r"Mr \w+ (\w+)", t)[1] for t in out[: len(given)]}) == 1 and len({*texts[-2:], *out[-2:]}) == 4
+    first = spark.range(1).select(pii.core("k", F.lit("name"), F.lit("smith"), F.lit(0))).first()[0]
+    real = pii.replace_pii(spark.createDataFrame([(f"Mr Smith, Mr {first.upper()}",)], "text string"), "k").first().text
+    assert f"mr {first.lower()}" not in real.lower()
+    families = spark.range(60_000).select(F.lit("name").alias("kind"), F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("norm"))
+    again = families.join(pii.redrawn(families, "k"), ["kind", "norm"], "left").select(pii.core("k", F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0))).alias("core"))
+    assert again.distinct().count() == 60_000
+
+
 # --- 10 ---
 def test_toxicity(spark, odd, empty):
     rng = random.Random(6)

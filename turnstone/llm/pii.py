@@ -3,7 +3,9 @@
 Every detected entity gets a replacement derived from a secret key and the entity's normal form: the
 same entity always gets the same surrogate, in the format it was written in. Distinct
 entities keep distinct surrogates: the dictionary of entities is checked for surrogates that two
-entities share, or that occur in the corpus as real entities, and those are drawn again until none is left.
+entities share, or that occur in the corpus as real entities, and those are drawn again until none is left;
+names, emails and secrets grow with the draws, so that there are always enough. The parts of a name are
+entities of their own, family names ("name") and given names of one gender ("given"), so that distinct names stay distinct.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ MALE_NAMES = ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan",
 FEMALE_NAMES = ("Alma", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Petra")
 CYRILLIC_MALE = ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Марк", "Олег", "Павел")
 CYRILLIC_FEMALE = ("Алла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина")
+SYLLABLES = ("ba", "den", "for", "gal", "hol", "kin", "lor", "mar", "nel", "ros", "san", "ter", "vin", "wes", "zel", "tal")
+CYRILLIC_SYLLABLES = ("ба", "дем", "фор", "гал", "хол", "кин", "лор", "мар", "нел", "рос", "сан", "тер")
 #: Words in lower case that join the parts of a name, and stay as they are.
 PARTICLES = ("van", "von", "vom", "zu", "zum", "zur", "der", "den", "de", "del", "della", "la", "du", "des", "di", "da", "do", "dos", "das", "ten", "ter", "bin", "ibn", "al", "el")
 #: (type, pattern), the first that matches decides. No pattern has groups of its own.
@@ -65,17 +69,28 @@ def pieces_of(text: Column) -> Column:
 _digits = lambda s: F.regexp_replace(s, "[^0-9]", "")
 _value = lambda s: F.regexp_extract(s, r"(?s)\A(?:AKIA|[A-Za-z_]+\s*[=:]\s*\"?)(.*)\z", 1)
 _bare = lambda s: F.regexp_replace(s, rf"\A{_TITLE} ", "")
-_family = lambda s: F.substring_index(_bare(s), " ", -1)
 
 
 def normal(kind: Column, piece: Column) -> Column:
-    """What an entity's surrogate depends on: not case, punctuation, country code or title."""
+    """What an entity's surrogate depends on: not case, punctuation, country code. Names: see _parts."""
     return (
         F.when(kind == "email", F.lower(piece)).when(kind == "phone", F.substring(_digits(piece), -10, 10)).when(kind == "card", _digits(piece))
-        .when(kind == "secret", _value(piece)).when(kind == "name", F.lower(_family(piece))).otherwise(piece)
+        .when(kind == "secret", _value(piece)).otherwise(piece)
     )
 
 
+def _parts(piece: Column) -> Column:
+    """The words of a name and their hyphenated parts: (kind, norm, part), norm null for particles. A given name's norm starts with the gender."""
+    gender = F.when(piece.rlike(rf"\A(?:{FEMALE_TITLES})\.? "), "f ").otherwise("m ")
+    def of(words: Column) -> Column:
+        last = F.size(words) - 1
+        norm = lambda p, i: F.when(p.isin(*PARTICLES), None).otherwise(F.concat(F.when(i == last, "").otherwise(gender), F.translate(F.lower(p), "’.", "'")))
+        part = lambda i: lambda p: F.struct(F.when(i == last, "name").otherwise("given").alias("kind"), norm(p, i).alias("norm"), p.alias("part"))
+        return F.transform(words, lambda w, i: F.transform(F.split(w, "-", -1), part(i)))
+
+    return _let(F.split(_bare(piece), " ", -1), of)
+
+
 def _hash(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), norm), 256)
 
@@ -125,73 +140,83 @@ def _luhn_part(d: Column, i: Column) -> Column:
 
 def core(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normal form, before it takes the format of a mention. Equal cores are a collision."""
-    return _let(F.struct(kind.alias("kind"), norm.alias("norm"), _hash(key, kind, norm, attempt).alias("h")), lambda x: _core(x["kind"], x["norm"], x["h"]))
+    drawn = F.struct(kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), _hash(key, kind, norm, attempt).alias("h"))
+    return _let(drawn, lambda x: _core(x["kind"], x["norm"], x["attempt"], x["h"]))
 
 
-def _core(kind: Column, norm: Column, h: Column) -> Column:
+def _core(kind: Column, norm: Column, attempt: Column, h: Column) -> Column:
     num = F.translate(h, "abcdef", "036925")
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
-    syllables = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
-    latin = F.initcap(F.concat(*(syllables(("ba", "den", "for", "gal", "hol", "kin", "lor", "mar", "nel", "ros", "san", "ter", "vin", "wes", "zel", "tal"), _number(h, i * 4)) for i in range(4))))
-    slavic = F.initcap(F.concat(*(syllables(("ба", "дем", "фор", "гал", "хол", "кин", "лор", "мар", "нел", "рос", "сан", "тер"), _number(h, i * 4)) for i in range(4)), F.lit("ов")))
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    def syllables(n: Column) -> Column:
+        at = F.slice(F.sequence(F.lit(0), F.lit(15)), 1, F.least(n, F.lit(16)))
+        return F.array_join(F.transform(at, lambda i: F.when(cyrillic, pick(CYRILLIC_SYLLABLES, _number(h, i * 4))).otherwise(pick(SYLLABLES, _number(h, i * 4)))), "")
+
+    female = norm.startswith("f ")
+    first = F.when(cyrillic, F.when(female, pick(CYRILLIC_FEMALE, _number(h, 60))).otherwise(pick(CYRILLIC_MALE, _number(h, 60)))).otherwise(F.when(female, pick(FEMALE_NAMES, _number(h, 60))).otherwise(pick(MALE_NAMES, _number(h, 60))))
+    # the formats of the other types have more values than any corpus has entities
+    more = F.substring(F.translate(h, "0123456789", "ghijklmnop"), 1, F.greatest(attempt - 1, F.lit(0)))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     zone = F.substring_index(domain, ".", -1)
     site = F.length(domain) - F.length(zone)
     return (
-        F.when(kind == "email", F.concat(_like(local, h), F.lit("@"), _like(F.substr(domain, F.lit(1), site), F.reverse(h)), zone))
+        F.when(kind == "email", F.concat(_like(local, h), more, F.lit("@"), _like(F.substr(domain, F.lit(1), site), F.reverse(h)), zone))
         .when(kind == "phone", F.concat(F.translate(F.substring(num, 1, 1), "01", "28"), F.substring(num, 2, 9)))
         .when(kind == "card", _luhn(F.concat(F.substring(norm, 1, 1), F.substring(num, 1, 14))))
         .when(kind == "ip", F.concat_ws(".", *((_number(h, i * 6, 6) % 254 + 1).cast("string") for i in range(4))))
-        .when(kind == "name", F.when(cyrillic, slavic).otherwise(latin))
-        .otherwise(_like(norm, h))
+        .when(kind == "name", F.concat(syllables(4 + attempt), F.when(cyrillic, "ов").otherwise("")))
+        .when(kind == "given", F.concat(F.substring(norm, 1, 2), F.lower(first), syllables(2 * attempt)))
+        .otherwise(F.concat(_like(norm, h), more))
     )
 
 
 def surrogate(key: str, kind: Column, piece: Column, attempt) -> Column:
     """The replacement for one mention of an entity, in the mention's format, script and gender; attempt(kind, norm): how often it was drawn again."""
     def of(x: Column) -> Column:
-        return _let(core(key, x["kind"], x["norm"], attempt(x["kind"], x["norm"])), lambda new: _formatted(key, x["kind"], x["piece"], new))
+        other = _let(core(key, x["kind"], x["norm"], attempt(x["kind"], x["norm"])), lambda new: _formatted(x["kind"], x["piece"], new))
+        return F.when(x["kind"] == "name", _renamed(key, x["piece"], attempt)).otherwise(other)
 
     with_norm = lambda k: F.struct(k.alias("kind"), piece.alias("piece"), normal(k, piece).alias("norm"))
     return _let(_let(kind, with_norm), of)
 
 
-def _formatted(key: str, kind: Column, piece: Column, new: Column) -> Column:
-    female = piece.rlike(rf"\A(?:{FEMALE_TITLES})\.? ")
-    title, bare = F.regexp_extract(piece, rf"\A({_TITLE} )", 1), _bare(piece)
-    given = F.regexp_extract(bare, r"\A(.+) ", 1)
-    n = _number(_hash(key, F.lit("given"), F.lower(given), F.lit(0)), 0)
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
-    first = F.when(given.rlike(r"\p{IsCyrillic}"), F.when(female, pick(CYRILLIC_FEMALE)).otherwise(pick(CYRILLIC_MALE))).otherwise(F.when(female, pick(FEMALE_NAMES)).otherwise(pick(MALE_NAMES)))
+def _renamed(key: str, piece: Column, attempt) -> Column:
+    new = lambda p: F.initcap(F.substring_index(core(key, p["kind"], p["norm"], attempt(p["kind"], p["norm"])), " ", -1))
+    words = F.transform(_parts(piece), lambda word: F.array_join(F.transform(word, lambda p: F.when(p["norm"].isNull(), p["part"]).otherwise(new(p))), "-"))
+    return F.concat(F.regexp_extract(piece, rf"\A({_TITLE} )", 1), F.array_join(words, " "))
+
+
+def _formatted(kind: Column, piece: Column, new: Column) -> Column:
     return (
         F.when(kind == "phone", _filled(piece, new, F.length(_digits(piece)) - 10)).when(kind == "card", _filled(piece, new, F.lit(0)))
         .when(kind == "secret", F.concat(F.substr(piece, F.lit(1), F.length(piece) - F.length(_value(piece))), new))
-        .when(kind == "name", F.concat(title, F.when(given == "", F.lit("")).otherwise(F.concat(first, F.lit(" "))), new)).otherwise(new)
+        .otherwise(new)
     )
 
 
 def _entities(pieces: Column) -> Column:
     """The (kind, norm) of the entities among pieces, each once."""
     every = F.filter(pieces, lambda p, i: i % 2 == 1)
-    return F.array_distinct(F.transform(every, lambda p: _let(type_of(p), lambda k: F.struct(k.alias("kind"), normal(k, p).alias("norm")))))
+    named = lambda p: F.transform(F.filter(F.flatten(_parts(p)), lambda x: x["norm"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm")))
+    of = lambda p: lambda k: F.when(k == "name", named(p)).otherwise(F.array(F.struct(k.alias("kind"), normal(k, p).alias("norm"))))
+    return F.array_distinct(F.flatten(F.transform(every, lambda p: _let(type_of(p), of(p)))))
 
 
-def redrawn(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame | None:
+def redrawn(entities: DataFrame, key: str) -> DataFrame | None:
     """(kind, norm, attempt) of the entities whose first surrogate is not theirs alone; None if there are none."""
     words = written(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
     own = words.select("kind", F.col("norm").alias("core"))
     changed = False
-    for _ in range(rounds):
+    while True:
         drawn = words.withColumn("core", core(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-        # of those that share a surrogate, one keeps it: the one drawn first, then the smallest
-        shared = drawn.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("keeps")).where("n > 1")
-        clash = drawn.join(shared, ["kind", "core"]).where(F.struct("attempt", "norm") != F.col("keeps")).select("kind", "norm")
-        clash = written(clash.unionByName(drawn.join(own, ["kind", "core"], "left_semi").select("kind", "norm")).distinct().withColumn("again", F.lit(1)), "clashes")
-        if clash.isEmpty():
+        # of those that share a surrogate, one keeps it, unless it's real: the one drawn first, then the smallest
+        keeps = drawn.groupBy("kind", "core").agg(F.min(F.struct("attempt", "norm")).alias("first")).join(own, ["kind", "core"], "left_anti")
+        keeps = keeps.select("kind", F.col("first.norm").alias("norm"), F.lit(0).alias("again"))
+        judged = written(words.join(keeps, ["kind", "norm"], "left").select("kind", "norm", "attempt", F.coalesce("again", F.lit(1)).alias("again")), "entities")
+        if judged.where("again > 0").isEmpty():
             return words.where("attempt > 0") if changed else None
         changed = True
-        words = written(words.join(clash, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "entities")
-    raise ValueError(f"surrogates still collide after {rounds} draws; an entity's format leaves too few")
+        words = judged.select("kind", "norm", (F.col("attempt") + F.col("again")).alias("attempt"))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

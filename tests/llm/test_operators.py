@@ -390,6 +390,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(empty.withColumn("toxic", F.lit(1)), empty.withColumn("toxic", F.lit(1))).gram == {}
 
 
+def test_all_trigrams_count(spark, monkeypatch):
+    """More distinct trigrams than any cap: rare ones keep their counts, contexts their full totals; words are read to their ends."""
+    rng, seen, made = random.Random(8), [], toxicity.kneser_ney
+    monkeypatch.setattr(toxicity, "kneser_ney", lambda counts, *rest: seen.append((counts, *rest)) or made(counts, *rest))
+    filler = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(520_000))
+    rows = spark.createDataFrame([(filler,)], "text string").crossJoin(spark.range(12).select((F.col("id") + 1000).alias("doc_id")))
+    rare, long = "\ud7a1\ud7a2\ud7a3", "b" * 100 + "k" * 950 + "endings"
+    labelled = spark.createDataFrame([(i, f"good {rare if i % 4 == 0 else ''} w{i}" + f" {long}" * (i % 2), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    toxicity.fit(rows.select("doc_id", "text").unionByName(labelled.select("doc_id", "text")), labelled, class_rows=40, clear=0.0)
+    counts, trigrams = dict(seen[0][0]), seen[0][1]
+    assert trigrams[rare] == 10 and "endings"[1:] + " " in counts
+    assert trigrams["goo"] == 40 and seen[0][2]["go"] == 40
+
+
 # --- pipeline ---
 def test_pipeline(spark, odd, empty, tmp_path):
     import corpus_pipeline

@@ -23,12 +23,14 @@ from .words import slices
 
 #: What is taken off each count above the shared trigrams; the longest n-gram; the edge of a word.
 DISCOUNT, ORDER, EDGE = 1.5, 8, " "
-#: Counts of the classes that differ by fewer standard deviations are shared evenly.
+#: Counts of the classes that differ by fewer standard deviations are shared evenly (fit's default).
 CLEAR = 3.0
 #: The curve takes asinh(SPREAD * difference), so that a few extreme texts don't set its slope.
 SPREAD = 100.0
 WORD = r"[\p{L}\p{N}]+"
 _SHIFT = 21
+#: Characters of a long word that are cut into n-grams at a time.
+PIECE = 1000
 
 
 def words_of(text: str) -> list[str]:
@@ -94,8 +96,12 @@ def _differences(rows: DataFrame, text: str, model: Model, name: str) -> DataFra
     return rows.mapInArrow(score, schema)
 
 
-def corpus_trigrams(docs: DataFrame, text: str) -> dict[str, int]:
-    """Counts of the character trigrams of all texts' words, edges included. They are as many as alphabets allow."""
+def _code(gram: str) -> int:
+    return sum(ord(c) << _SHIFT * i for i, c in enumerate(reversed(gram)))
+
+
+def corpus_trigrams(docs: DataFrame, text: str, needed: set[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of the needed character trigrams in all texts' words, edges included, and the totals of their first two characters' trigrams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -114,11 +120,19 @@ def corpus_trigrams(docs: DataFrame, text: str) -> dict[str, int]:
                 k, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["g", "n"])
 
-    mask = (1 << _SHIFT) - 1
-    found = docs.select(text).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    found = found.orderBy(F.desc("n"), "g").limit(500_000)  # the rest of what alphabets allow counts as unseen
-    found = found.toArrow()
-    return {chr(g >> 2 * _SHIFT) + chr(g >> _SHIFT & mask) + chr(g & mask): n for g, n in zip(found["g"].to_pylist(), found["n"].to_pylist())}
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(pa.table({"g": pa.array(sorted(map(_code, needed)), pa.int64())}))
+    contexts = spark.createDataFrame(pa.table({"c": pa.array(sorted({_code(g[:2]) for g in needed}), pa.int64())}))
+    # every trigram that starts like a needed one counts: by itself if needed, else (g null) towards its context
+    found = docs.select(text).mapInArrow(count, "g long, n long").withColumn("c", F.shiftright("g", _SHIFT)).join(contexts, "c")
+    found = found.join(wanted.select(F.col("g").alias("w")), F.col("g") == F.col("w"), "left").groupBy("c", "w").agg(F.sum("n").alias("n")).toArrow()
+    mask, pairs, trigrams = (1 << _SHIFT) - 1, defaultdict(int), {}
+    for c, g, n in zip(found["c"].to_pylist(), found["w"].to_pylist(), found["n"].to_pylist()):
+        pair = chr(c >> _SHIFT) + chr(c & mask)
+        pairs[pair] += n
+        if g is not None:
+            trigrams[pair + chr(g & mask)] = n
+    return trigrams, dict(pairs)
 
 
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
@@ -126,13 +140,15 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return labels.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", class_rows: int = 4000, curve_rows: int = 6000, least: int = 4, most_grams: int = 250_000) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", class_rows: int = 4000, curve_rows: int = 6000, least: int = 4, most_grams: int = 250_000, clear: float = CLEAR) -> Model:
     """The model of labelled (key, label 0/1) over docs.
 
     The class models learn from class_rows labelled rows of each class (the same number of each),
     the curve from curve_rows others (a quarter of all ids, by hash); the shared trigrams are counted over every
     text of docs. A text counts each of its words once. An n-gram in fewer than `least` texts of the sample backs
-    off, and most_grams bounds the model. Rows with a null key or label teach nothing; a key labelled more
+    off; most_grams bounds the model, the n-grams in the fewest texts go first; the counts of an n-gram that differ by
+    `clear` standard deviations (roots of their sum) or less are shared evenly, so that it says nothing for either class
+    (at 3, an n-gram of one class alone speaks from 10 texts on). Rows with a null key or label teach nothing; a key labelled more
     than once is toxic if any of its labels is. Without both classes nothing is learned and every score is near 0.
     """
     labels = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
@@ -147,8 +163,11 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     learning = rows.join(F.broadcast(ids), "id").where(F.col("text").isNotNull()).dropDuplicates(["text", "y"])
     words = learning.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w"))
     words = words.groupBy("w").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
-    spelled = words.select("n0", "n1", F.concat(F.lit(EDGE), F.substring("w", 1, 60), F.lit(EDGE)).alias("s"))
-    all_grams = F.flatten(F.transform(F.sequence(F.lit(4), F.lit(ORDER + 1)), lambda n: F.when(F.length("s") >= n, F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring(F.col("s"), i, n))).otherwise(F.array().cast("array<string>"))))
+    spelled = words.select("n0", "n1", F.concat(F.lit(EDGE), "w", F.lit(EDGE)).alias("s"))
+    # long words in pieces that overlap; an n-gram belongs to the piece it starts in
+    starts = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / PIECE).cast("int"))
+    spelled = spelled.select("n0", "n1", F.explode(F.transform(starts, lambda k: F.substring(F.col("s"), k * PIECE + 1, F.lit(PIECE + ORDER)))).alias("s"))
+    all_grams = F.flatten(F.transform(F.sequence(F.lit(4), F.lit(ORDER + 1)), lambda n: F.when(F.length("s") >= n, F.transform(F.sequence(F.lit(1), F.least(F.length("s") - n + 1, F.lit(PIECE))), lambda i: F.substring(F.col("s"), i, n))).otherwise(F.array().cast("array<string>"))))
     grams = spelled.select("n0", "n1", F.explode(all_grams).alias("g")).groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # below the longest, an n-gram inside words counts by the characters before it
     tails = F.explode(F.array(F.struct(F.col("g").alias("g"), F.lit(False).alias("tail")), F.struct(F.expr("substring(g, 2)").alias("g"), F.lit(True).alias("tail"))))
@@ -160,24 +179,21 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     kept = counted.where((F.length("g") >= 4) & (F.length("g") <= ORDER) & (F.col("n0") + F.col("n1") >= least))
     kept = kept.orderBy(F.desc(F.col("n0") + F.col("n1")), "g").limit(most_grams).select("g", F.when((F.length("g") == ORDER) | F.col("g").startswith(EDGE), F.struct(F.col("n0").alias("a"), F.col("n1").alias("b"))).otherwise(F.struct(F.col("k0").alias("a"), F.col("k1").alias("b"))).alias("n")).select("g", "n.a", "n.b").toArrow()
     counts = list(zip(kept["g"].to_pylist(), zip(kept["a"].to_pylist(), kept["b"].to_pylist())))
-    model = kneser_ney(counts, corpus_trigrams(docs, text))
+    model = kneser_ney(counts, *corpus_trigrams(docs, text, {g[-3:] for g, _ in counts}), clear)
     sample = _sample(labels.where(for_curve), curve_rows)
     seen = _differences(rows.join(F.broadcast(sample), "id").select("y", "text"), "text", model, "x").select("y", "x").collect()  # at most curve_rows (and repeats of their ids)
     model.slope, model.bias = _curve(np.array([r.x for r in seen]), np.array([float(r.y) for r in seen]))
     return model
 
 
-def _shared(n0: float, n1: float) -> tuple[float, float]:
+def _shared(n0: float, n1: float, clear: float) -> tuple[float, float]:
     """The counts, or their mean for both classes unless the difference is clear."""
-    return (n0, n1) if abs(n1 - n0) > CLEAR * math.sqrt(n0 + n1) else ((n0 + n1) / 2,) * 2
+    return (n0, n1) if abs(n1 - n0) > clear * math.sqrt(n0 + n1) else ((n0 + n1) / 2,) * 2
 
 
-def kneser_ney(counts: list[tuple[str, tuple[int, int]]], trigrams: dict[str, int]) -> Model:
-    """Differences of n-grams of 4 characters and more with counts (ordinary, toxic), over shared trigrams."""
-    counts = [(g, _shared(*n)) for g, n in counts]
-    pairs: dict[str, int] = defaultdict(int)
-    for g, n in trigrams.items():
-        pairs[g[:2]] += n
+def kneser_ney(counts: list[tuple[str, tuple[int, int]]], trigrams: dict[str, int], pairs: dict[str, int], clear: float = CLEAR) -> Model:
+    """Differences of n-grams of 4 characters and more with counts (ordinary, toxic), over shared trigrams and their contexts' totals."""
+    counts = [(g, _shared(*n, clear)) for g, n in counts]
     total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])  # of a context: both classes' discounted counts, the shared mass
     for g, (n0, n1) in counts:
         t = total[g[:-1]]

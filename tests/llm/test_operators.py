@@ -115,6 +115,16 @@ def test_topk(spark, big):
     assert topk_search.top_k(table.where("false"), table.where("false")).count() == 0
 
 
+def test_topk_negative():
+    """Best scores far below zero, in so few dimensions that the bounds are tight."""
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(4000, 5000, (60, 8)), -rng.integers(4000, 5000, (4, 8))
+    at, ids, scores = topk_search.search_block(q, np.arange(1000, 1004), x, np.arange(60), 5, (4, 8, 16))
+    for i, v in enumerate(q):
+        best = sorted(((int(w @ v), j) for j, w in enumerate(x)), key=lambda s: (-s[0], s[1]))[:5]
+        assert sorted(zip(scores[at == 1000 + i], ids[at == 1000 + i]), key=lambda s: (-s[0], s[1]))[:5] == best
+
+
 def test_bounds():
     rng = np.random.default_rng(2)
     q, x = rng.normal(size=(20, 64)), rng.normal(size=(50, 64))

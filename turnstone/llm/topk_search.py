@@ -56,11 +56,13 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
         if len(np.unique(x_ids[: len(seen)])) < len(seen):
             floor = np.full(len(q), -np.inf)  # repeated ids may count once, so they set no floor
         alive = q_ids[:, None] != x_ids[None, :]
+        # rounding is in proportion to the lengths, whatever the bound's sign
+        slack = np.outer(np.linalg.norm(qe, axis=1), np.linalg.norm(xe, axis=1)) * 1e-9 + 1e-3
         for s in steps:
             if alive.mean() < 0.02 and s != steps[0]:
                 break
             bound = segment_features(qe, s) @ segment_features(xe, s).T
-            alive &= bound * (1 + 1e-9) + 1e-3 >= floor[:, None]
+            alive &= bound + slack >= floor[:, None]
     alive &= q_ids[:, None] != x_ids[None, :]
     dense = alive.mean() > 0.05
     scores = qe @ xe.T if dense else None

@@ -409,9 +409,85 @@ def test_all_trigrams_count(spark, monkeypatch):
     rare, long = "\ud7a1\ud7a2\ud7a3", "b" * 100 + "k" * 950 + "endings"
     labelled = spark.createDataFrame([(i, f"good {rare if i % 4 == 0 else ''} w{i}" + f" {long}" * (i % 2), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
     toxicity.fit(rows.select("doc_id", "text").unionByName(labelled.select("doc_id", "text")), labelled, class_rows=40, clear=0.0)
-    counts, trigrams = dict(seen[0][0]), seen[0][1]
-    assert trigrams[rare] == 10 and "endings"[1:] + " " in counts
-    assert trigrams["goo"] == 40 and seen[0][2]["go"] == 40
+    grams = {"".join(map(chr, g)) for codes, _, _ in seen[0][0].values() for g in codes.tolist()}
+    trigrams, totals = ({"".join(chr(k >> s & (1 << 21) - 1) for s in range(21 * (n - 1), -1, -21)): int(v) for k, v in zip(t.keys.tolist(), t.values)} for t, n in ((seen[0][1].counts, 3), (seen[0][1].totals, 2)))
+    assert trigrams[rare] == 10 and "endings"[1:] + " " in grams
+    assert trigrams["goo"] == 40 and totals["go"] == 40
+
+
+class PlainKneserNey:
+    """The same models with dictionaries, character by character."""
+
+    def __init__(self, texts, corpus, least, clear):
+        grams, spelled = collections.Counter(), collections.defaultdict(lambda: [0, 0])
+        for y, words in texts:
+            for w in set(words):
+                spelled[w][y] += 1
+        own, before = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+        every = collections.defaultdict(lambda: [0, 0])
+        for w, n in spelled.items():
+            s = f" {w} "
+            for k in range(4, 10):
+                for i in range(len(s) - k + 1):
+                    for y in (0, 1):
+                        every[s[i : i + k]][y] += n[y]
+        for g, n in every.items():
+            own[g] = n
+            for y in (0, 1):
+                before[g[1:]][y] += n[y] > 0
+        self.n = {g: (n if len(g) == 8 or g[0] == " " else before[g]) for g, n in own.items() if 4 <= len(g) <= 8 and sum(n) >= least}
+        self.n = {g: tuple(n) if abs(n[1] - n[0]) > clear * sum(n) ** 0.5 else (sum(n) / 2,) * 2 for g, n in self.n.items()}
+        for words in corpus:
+            s = " " + " ".join(words) + " "
+            grams.update(s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " ")
+        self.tri = grams
+        self.pair = collections.Counter()
+        for g, n in grams.items():
+            self.pair[g[:2]] += n
+
+    def chance(self, g, y):
+        if len(g) == 3:
+            return (self.tri[g] + 0.1) / (self.pair[g[:2]] + 10)
+        mine = {h: n for h, n in self.n.items() if h[:-1] == g[:-1]}
+        if not mine:
+            return self.chance(g[1:], y)
+        taken, left = sum(max(n[y] - 1.5, 0) for n in mine.values()), 1.5 * len(mine)
+        return (max(mine[g][y] - 1.5, 0) * (g in mine) if g in mine else 0) / (taken + left) + left / (taken + left) * self.chance(g[1:], y)
+
+    def difference(self, words):
+        total = 0.0
+        for w in words:
+            s = f" {w} "
+            for end in range(4, len(s) + 1):
+                g = s[max(0, end - 8) : end]
+                total += float(np.log(self.chance(g, 1) / self.chance(g, 0)))
+        return total / len(words) if words else 0.0
+
+
+@pytest.mark.parametrize("block", [16, 1 << 17])
+def test_plain_kneser_ney(spark, monkeypatch, block):
+    """Differences equal those of the plain models, whatever the size of the pieces."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = random.Random(3)
+    texts = [(rng.randrange(2), [rng.choice("ab") * rng.randint(1, 3) + rng.choice(["idio", "gut", "ж漢"]) + rng.choice("xyz") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    table = spark.createDataFrame([(i, " ".join(w), y) for i, (y, w) in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(table, table, class_rows=1000, clear=0.5)
+    curve = {r.doc_id for r in table.where("pmod(xxhash64(doc_id, 'curve'), 4) = 0").collect()}
+    sizes = [sum(y == c and i not in curve for i, (y, _) in enumerate(texts)) for c in (0, 1)]
+    each = {c: [r.doc_id for r in table.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id not in curve][: min(sizes)] for c in (0, 1)}
+    learned = {(y, tuple(texts[i][1])) for y, ids in each.items() for i in ids}
+    plain = PlainKneserNey(learned, [w for _, w in texts], 4, 0.5)
+    for words, got in zip([w for _, w in texts], model.texts([" ".join(w) for _, w in texts], {})):
+        assert got == pytest.approx(plain.difference(words), abs=1e-9)
+
+
+def test_toxicity_query(spark):
+    """The query on whole tables: folds, and held-out toxic documents caught."""
+    rows = {r.doc_id: r for r in queries.op10_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for k, r in rows.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.toxic is not None and r.doc_id in rows}
+    held = [k for k in labels if rows[k].held_out]
+    assert sum(rows[k].predicted == labels[k] for k in held) >= 0.93 * len(held) and any(labels[k] and rows[k].predicted for k in held)
 
 
 # --- pipeline ---
@@ -441,6 +517,24 @@ def test_pipeline(spark, odd, empty, tmp_path):
         assert stage(spark, odd.select(names), DATA).count() > 0
 
 
+def test_pipeline_odd_columns(spark):
+    """Columns named as the stages' own, one id with two texts, null ids, and repeated rows."""
+    import corpus_pipeline
+
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "x"), (2, one, "x"), (2, two, "x"), (2, two, "x"), (2, two, "a"), (None, one, "x"), (None, "c d e f g h", "y"), (None, "c d e f g h", "z"), (None, None, "x"), (None, None, "x"), (3, "", "x")]
+    table = spark.createDataFrame([(*r, None, 7, i, i, i, i, i, i, i, i, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string, n_chars long, _n int, _k int, _h int, h int, rest int, __pieces int, times int, other int, m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, table, DATA)
+        assert out.columns == table.columns
+        got = sorted(((r.doc_id, r.text, r._n) for r in out.collect()), key=str)
+        if name != "near_duplicates":
+            assert [x[2] for x in got] == [x[2] for x in sorted(((*r[:2], i) for i, r in enumerate(rows)), key=str)]
+        else:
+            assert collections.Counter(x[:2] for x in got) == {(1, one): 1, (2, two): 1, (None, "c d e f g h"): 1, (None, None): 2, (3, ""): 1}
+            assert (2, two, 4) in got
+
+
 def test_top_level_import():
     import __spark_entry__ as entry
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import small_batches, written
 from .words import U, mix, shingle_set, slices, texts, word_hashes
 
 #: Buckets of the frequency sketch, in chunks; its size is the same for any corpus.
@@ -60,33 +60,31 @@ def _sets(data: np.ndarray, at: np.ndarray, words: int) -> Iterator[tuple[int, n
 
 
 def classes_and_sketch(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.ndarray]:
-    """((key, n, cls) of every row, how many n-grams of all texts fell into each bucket)."""
+    """((key, h, n, cls) of every row, how many n-grams of all texts fell into each bucket); h: hash of the text."""
     size = BUCKETS // CHUNKS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sketch, key_type = np.zeros(BUCKETS, np.int64), None
-        names = ["key", "n", "cls", "chunk", "salt", "counts"]
+        names = ["key", "h", "n", "cls", "chunk", "salt", "counts"]
         for batch in slices(batches):
             key_type = batch.column(0).type
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for k, s in _sets(*texts(batch.column(1)), rule.words):
+            for k, s in _sets(*texts(batch.column(2)), rule.words):
                 n[k] = len(s)
                 if len(s):
                     cls[k] = _signature(s)
-                    sketch += 0 if len(s) < 5000 else np.bincount((s >> U(44)).astype(np.int64), minlength=BUCKETS)
-                    if len(s) < 5000:
-                        np.add.at(sketch, (s >> U(44)).astype(np.int64), 1)
+                    np.add.at(sketch, (s >> U(44)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), none, none, pa.nulls(batch.num_rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls), none, none, pa.nulls(batch.num_rows, pa.binary())], names=names)
         if key_type is not None:
             salt = TaskContext.get().partitionId() % 64
             parts = sketch.astype(np.uint32).reshape(CHUNKS, size)
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, key_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, key_type), *(pa.nulls(CHUNKS, pa.int64()) for _ in range(3)), pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     kind = dict(rows.dtypes)["key"]
-    scanned = written(rows.select("key", "text").mapInArrow(scan, f"key {kind}, n long, cls long, chunk int, salt int, counts binary"), "classes")
+    scanned = written(rows.select("key", F.xxhash64("text").alias("h"), "text").mapInArrow(scan, f"key {kind}, h long, n long, cls long, chunk int, salt int, counts binary"), "classes")
 
     def add(width: int):
         def summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +100,7 @@ def classes_and_sketch(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.nd
     sketch = np.zeros(BUCKETS, np.int64)
     for r in parts.collect():  # CHUNKS rows
         sketch[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.counts, np.int64)
-    return scanned.where("chunk is null").select("key", "n", "cls"), sketch
+    return scanned.where("chunk is null").select("key", "h", "n", "cls"), sketch
 
 
 def prefixes(rows: DataFrame, sketch: np.ndarray, rule: Similar) -> DataFrame:
@@ -246,7 +244,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar)
 
 
 def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
-    """key, n_shingles, cls (its set's fingerprint) and component_id (the smallest key reachable by links) of every row.
+    """key, h (hash of its text), n_shingles, cls (its set's fingerprint), comp and component_id (the smallest key reachable by links) of every row.
+
+    comp is the component's own number, one of its classes; null without n-grams.
 
     Words are runs without ASCII white space, A-Z lower-cased. Texts with fewer words than an n-gram
     are one n-gram; those without words, and null texts, have none, link with nothing and are their own component.
@@ -256,6 +256,7 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
     star_rounds: how often each n-gram's texts are compared with one leader before what is then
     still unconnected is compared in full.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     texts_, sketch = classes_and_sketch(rows, rule)
     reps = written(prefixes(rows.where(F.col("key").isNotNull()), sketch, rule), "prefixes")
@@ -292,9 +293,9 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
     known = texts_.groupBy("cls").agg(F.min("key").alias("first")).where("cls <> 0")
     groups = _with_components(known, roots)
     smallest = groups.groupBy("comp").agg(F.min("first").alias("component"))
-    labels = groups.join(smallest, "comp").select("cls", "component")
+    labels = groups.join(smallest, "comp").select("cls", "comp", "component")
     out = texts_.join(labels, "cls", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "cls", F.coalesce("component", "key").alias("component_id"))
+    return out.select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), "cls", "comp", F.coalesce("component", "key").alias("component_id"))
 
 
 def _all(links: list[DataFrame], roots: DataFrame | None) -> DataFrame:

@@ -16,11 +16,12 @@ U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=U)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows, so that what a task makes of them stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, and about so many bytes, so that what a task makes of them stays small."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        few = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, few):
+            yield batch.slice(i, few)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

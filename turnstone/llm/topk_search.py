@@ -30,60 +30,80 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([means * root, spread * root], axis=1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query: highest score, then smallest id; equal pairs count once."""
-    order = np.lexsort((ids, -scores))
-    scores, ids = scores[order], ids[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (scores[1:] != scores[:-1]) | (ids[1:] != ids[:-1])
-    return scores[new][:k], ids[new][:k]
-
-
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best in the block."""
-    dim = x.shape[1]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(dim, 1) < 2.0**53
-    kind = np.float64 if exact else np.int64
-    qe, xe = q.astype(kind), x.astype(kind)
-    if not exact:  # products beyond a double's integers: whole-number arithmetic, no bounds
-        alive = np.ones((len(q), len(x)), dtype=bool)
-    else:
-        steps = sorted({min(s, dim) for s in levels if dim})
-        seen = xe[: max(k + 1, min(len(x), 256))]  # exact scores of a few rows give each query its first floor
-        same = q_ids[:, None] == x_ids[None, : len(seen)]
-        first = np.where(same, -np.inf, qe @ seen.T)
-        floor = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(q), -np.inf)
-        if len(np.unique(x_ids[: len(seen)])) < len(seen):
-            floor = np.full(len(q), -np.inf)  # repeated ids may count once, so they set no floor
-        alive = q_ids[:, None] != x_ids[None, :]
+def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row: highest score, then smallest id; what is equal in id and score counts once."""
+    order = np.lexsort((ids, ~scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    row, ids, scores = row[new], ids[new], scores[new]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], scores[keep]
+
+
+class Search:
+    """The k best of some queries (rows of q) among candidates that come block by block.
+
+    A query's floor is its k-th best score so far, so it rises from block to block. Pairs whose bound lies below
+    the floor go, level by level; exact scores are worked out for what survives the last level.
+    """
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, k: int, levels: tuple[int, ...]):
+        self.q, self.q_ids, self.k = q, q_ids, k
+        self.levels = sorted({min(s, q.shape[1]) for s in levels if q.shape[1]})
+        self.features = [segment_features(q.astype(float), s) for s in self.levels]
+        self.length = np.linalg.norm(q.astype(float), axis=1)
+        self.best = (np.zeros(0, np.int64),) * 3
+        #: pairs seen, and how many were left after each level
+        self.survivors = np.zeros(len(self.levels) + 1, np.int64)
+
+    def floor(self) -> np.ndarray:
+        row, _, scores = self.best
+        out, n = np.full(len(self.q), -np.inf), np.bincount(row, minlength=len(self.q))
+        last = np.cumsum(n) - 1
+        out[n == self.k] = scores[last[n == self.k]]
+        return out
+
+    def add(self, x: np.ndarray, x_ids: np.ndarray) -> None:
+        """One block. The first few rows are looked at by themselves, to have a floor for the others."""
+        few = 0 if len(self.best[0]) else max(self.k + 1, 128)
+        for part in (slice(0, few), slice(few, None)):
+            if len(x[part]):
+                self._add(x[part], x_ids[part])
+
+    def _add(self, x: np.ndarray, x_ids: np.ndarray) -> None:
+        xf, floor = x.astype(float), self.floor()
         # rounding is in proportion to the lengths, whatever the bound's sign
-        slack = np.outer(np.linalg.norm(qe, axis=1), np.linalg.norm(xe, axis=1)) * 1e-9 + 1e-3
-        for s in steps:
-            if alive.mean() < 0.02 and s != steps[0]:
-                break
-            bound = segment_features(qe, s) @ segment_features(xe, s).T
-            alive &= bound + slack >= floor[:, None]
-    alive &= q_ids[:, None] != x_ids[None, :]
-    dense = alive.mean() > 0.05
-    scores = qe @ xe.T if dense else None
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(alive[i])
-        if not len(at):
-            continue
-        s = scores[i, at] if dense else xe[at] @ qe[i]
-        if len(s) > 4 * k:
-            # everything that ties with the k-th best stays, and more while repeats could count once
-            cut = np.partition(s, -min(len(s), 4 * k))[-min(len(s), 4 * k)]
-            keep = s >= cut
-            few = _best(s[keep], x_ids[at[keep]], k)
-            s, ids = few if len(few[0]) == k else _best(s, x_ids[at], k)
-        else:
-            s, ids = _best(s, x_ids[at], k)
-        out.append((np.full(len(s), q_ids[i]), ids, s.astype(np.int64)))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*out))
+        slack = 1e-9 * np.linalg.norm(xf, axis=1)
+        row, at = np.nonzero(self.q_ids[:, None] != x_ids[None, :])
+        self.survivors[0] += len(row)
+        for level, (s, mine) in enumerate(zip(self.levels, self.features)):
+            others = segment_features(xf, s)
+            if level == 0:  # all pairs, so one product
+                bound = (mine @ others.T)[row, at]
+            else:
+                bound = _products(mine, others, row, at)
+            alive = bound + slack[at] * self.length[row] + 1e-3 >= floor[row]
+            row, at = row[alive], at[alive]
+            self.survivors[level + 1] += len(row)
+        # a double holds whole numbers up to 2^53; longer products are worked out in whole numbers
+        whole = float(np.abs(self.q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(x.shape[1], 1) >= 2.0**53
+        scores = _products(self.q, x, row, at) if whole else _products(self.q.astype(float), xf, row, at).astype(np.int64)
+        good = scores >= floor[row]
+        found = row[good], x_ids[at[good]], scores[good]
+        self.best = _best(*(np.concatenate(c) for c in zip(self.best, found)), self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the best so far."""
+        row, ids, scores = self.best
+        return self.q_ids[row], ids, scores
+
+
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Inner products of rows i of a with rows j of b, a bounded number at a time."""
+    step = max(1, most // max(1, a.shape[1]))
+    parts = [np.einsum("ij,ij->i", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, a.dtype)
 
 
 def packed(rows: DataFrame, block_rows: int) -> DataFrame:
@@ -110,7 +130,7 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
     return rows.mapInPandas(pack, BLOCK)
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, levels: tuple[int, ...] = (4, 8, 16), query_block: int = 16_384, row_block: int = 4096) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, levels: tuple[int, ...] = (4, 8, 16, 32), query_block: int = 16_384, row_block: int = 2048) -> DataFrame:
     """Each query's k best candidates: query_id, rank, vec_id, score (inner product of whole numbers).
 
     Both tables have id long and vec array<long>. A candidate with the query's id is the query's
@@ -118,26 +138,34 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, levels: tuple[i
     null vectors and vectors holding nulls take no part; vectors of other lengths than the query's
     are not compared; a query without any candidate returns no row, and an empty table none at all.
 
-    Candidates are packed into blocks where they lie and never shuffled. Queries go to all tasks in
-    blocks of about query_block rows, whatever their number: more queries are more passes.
+    Candidates are packed into blocks where they lie and never shuffled; a task passes on k rows for each query. Queries are
+    packed by one task and go to all tasks in blocks of about query_block rows and 8 MB, whatever their
+    number: more queries are more passes over the candidates.
     """
     ok = F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
     rows = queries.where(ok).select("id", "vec")
-    blocks = -(-rows.count() // query_block)
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-size.n // query_block), -(-size.numbers // (1 << 20)))
     c = packed(candidates.where(ok).select("id", "vec"), row_block)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches: dict[tuple[int, bytes], list[Search]] = {}
         for frame in frames:
             for dim, xi, xv, qi, qv in zip(frame["dim"], frame["ids"], frame["vecs"], frame["q_ids"], frame["q_vecs"]):
-                x, q = (np.frombuffer(v, np.int64).reshape(len(i) // 8, dim) for v, i in ((xv, xi), (qv, qi)))
-                ids, q_ids = np.frombuffer(xi, np.int64), np.frombuffer(qi, np.int64)
-                for at in range(0, len(q), 256):
-                    found = search_block(q[at : at + 256], q_ids[at : at + 256], x, ids, k, levels)
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+                x, ids = np.frombuffer(xv, np.int64).reshape(len(xi) // 8, dim), np.frombuffer(xi, np.int64)
+                mine = searches.get((dim, qi))
+                if mine is None:
+                    q, q_ids = np.frombuffer(qv, np.int64).reshape(len(qi) // 8, dim), np.frombuffer(qi, np.int64)
+                    mine = searches[dim, qi] = [Search(q[i : i + 128], q_ids[i : i + 128], k, levels) for i in range(0, len(q), 128)]
+                for one in mine:
+                    one.add(x, ids)
+        for mine in searches.values():
+            for one in mine:
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), one.found())))
 
     parts = []
-    for b in range(max(1, blocks)):
-        mine = rows if blocks <= 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+    for b in range(blocks):
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         q = packed(mine.repartition(1), 4096).select("dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
         parts.append(c.join(F.broadcast(q), "dim").drop("n").mapInPandas(search, "query_id long, vec_id long, score long"))
     found = reduce(DataFrame.unionAll, parts).distinct()

@@ -119,10 +119,48 @@ def test_topk_negative():
     """Best scores far below zero, in so few dimensions that the bounds are tight."""
     rng = np.random.default_rng(9)
     x, q = rng.integers(4000, 5000, (60, 8)), -rng.integers(4000, 5000, (4, 8))
-    at, ids, scores = topk_search.search_block(q, np.arange(1000, 1004), x, np.arange(60), 5, (4, 8, 16))
+    search = topk_search.Search(q, np.arange(1000, 1004), 5, (4, 8, 16))
+    for i in range(0, 60, 7):
+        search.add(x[i : i + 7], np.arange(i, min(60, i + 7)))
+    at, ids, scores = search.found()
     for i, v in enumerate(q):
         best = sorted(((int(w @ v), j) for j, w in enumerate(x)), key=lambda s: (-s[0], s[1]))[:5]
-        assert sorted(zip(scores[at == 1000 + i], ids[at == 1000 + i]), key=lambda s: (-s[0], s[1]))[:5] == best
+        assert list(zip(scores[at == 1000 + i], ids[at == 1000 + i])) == best
+
+
+def test_topk_survivors():
+    """Every level leaves fewer pairs than the one before, and only those get exact scores; clustered vectors leave very few."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(50, 64)) * 3
+    smooth = np.repeat(rng.normal(size=(2000, 16)), 4, axis=1) + rng.normal(size=(2000, 64)) * 0.2
+    for name, x, most in (("given", None, 0.6), ("clustered", centres[rng.integers(0, 50, 2000)] + rng.normal(size=(2000, 64)), 0.1), ("smooth", smooth, 0.05)):
+        if x is None:
+            import pyarrow.parquet as pq
+
+            x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist())
+        x = np.floor(x * 256).astype(np.int64)
+        search = topk_search.Search(x[::50], np.arange(0, len(x), 50), 5, (4, 8, 16, 32))
+        for i in range(0, len(x), 200):
+            search.add(x[i : i + 200], np.arange(i, min(len(x), i + 200)))
+        share = search.survivors / search.survivors[0]
+        assert (np.diff(share) <= 0).all() and share[-1] < most + 128 / len(x) * (1 - most), (name, share)
+        want = x[::50] @ x.T
+        want[np.arange(len(want)), np.arange(0, len(x), 50)] = -(2**60)
+        assert (search.found()[2].reshape(-1, 5) == -np.sort(-want, axis=1)[:, :5]).all()
+
+
+def test_topk_query_odd(spark, tmp_path):
+    """Vectors with null, NaN or infinite components, null ids and vectors, empty ones, repeated rows."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [i * 0.01 - 0.3, 0.5, -0.25]) for i in range(101)] + [(150, [nan, 0.0, 1.0]), (151, [inf, 1.0, 1.0]), (152, [None, 1.0, 1.0]), (153, None), (None, [9.0, 9.0, 9.0]), (50, [0.2, 0.5, -0.25]), (200, []), (250, [-inf, 0.0, 0.0]), (154, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in queries.op2_exact_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    vecs = {(i, tuple(int(np.floor(256 * float(np.float32(v)))) for v in e)) for i, e in rows[:101] + rows[106:107]}
+    want = []
+    for q in (0, 50, 100):
+        scores = {(sum(a * b for a, b in zip(v, w)), j) for i, v in vecs if i == q for j, w in vecs if j != q}
+        want += [(q, n + 1, j, s) for n, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5])]
+    assert got == want
 
 
 def test_bounds():
@@ -192,6 +230,38 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix_sources(empty)[1].count() == 0 and mixing.mix_sources(empty)[0].count() == 0
 
 
+def test_mixing_settings(spark):
+    """The mix is the same whatever the session's partitions, and shards grow in number, not in size."""
+    table = docs(spark)
+    want = sorted(map(tuple, queries.op5_mixing(spark, DATA).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert sorted(map(tuple, mixing.mix_sources(table)[1].collect())) == want
+        shards = mixing.mix_sources(table, shard_slots=16)[0].groupBy("shard").agg(F.count_distinct("slot").alias("n")).collect()
+        assert max(r.n for r in shards) == 16 and len(shards) > 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = list(mixing.draws([100_000, 30_000, 1], 13, [4]))
+    assert len(got) == 10_001 and sum(n.sum() for _, _, n in got) == 130_001
+    assert all((a[1] + a[2] == b[1]).all() and a[2].sum() == 13 for a, b in zip(got, got[1:]))
+    assert 8 < np.mean([n[0] for _, _, n in got]) < 12 and np.std([n[0] for _, _, n in got]) > 1
+    assert [int(n.sum()) for _, _, n in mixing.draws([3 * 10**11, 5 * 10**10], 10**11, [1])] == [10**11] * 3 + [5 * 10**10]
+
+
+def test_targets_against_levels():
+    """Targets are weight * level, cut at twice the size, with the one level that fills the whole; found here by bisection."""
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [rng.choice([0, rng.randrange(1, 50), rng.randrange(1, 5000)]) for _ in range(rng.randint(1, 8))]
+        goal, lo, hi = 1.5 * sum(sizes), 0.0, 4.0 * sum(sizes) + 1
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            full = sum(min(2 * n, (5, 2, 1)[i % 3] * mid) for i, n in enumerate(sizes))
+            lo, hi = (mid, hi) if full < goal else (lo, mid)
+        assert mixing.targets(sizes) == pytest.approx([min(2 * n, (5, 2, 1)[i % 3] * hi) for i, n in enumerate(sizes)], rel=1e-6, abs=1e-6)
+
+
 def test_targets_and_permutation():
     assert mixing.targets([10, 10, 10]) == pytest.approx([20, 50 / 3, 25 / 3]) and mixing.targets([0, 4]) == [0.0, 6.0] and mixing.targets([]) == []
     for n in (1, 2, 3, 10, 1000):

@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 5).
 
 Each source's texts are one stream of words, cut into blocks of nearly equal length. Output shards
-have slots; how many of a shard's slots a source gets is a multinomial draw, held to the source's total. A source's
+have slots; how many of a shard's slots a source gets is a multinomial draw, held to the source's total. The driver draws
+for groups of shards, tasks for the shards of a group. A source's
 slots are numbered through all shards, and slot number g takes the block that a pseudorandom
 permutation of the source's block numbers gives for g; a second round through the blocks has a
 permutation of its own. Slots and blocks meet in a join by (source, block).
@@ -17,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import tasks, written
+from .scratch import small_batches, tasks, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Parts of each source that are ordered apart from each other; groups of shards at most; words of a chunk of a text.
+PARTS, GROUPS, CHUNK = 4096, 4096, 4096
+
+
 def targets(sizes: Sequence[int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> list[float]:
     """Each source's share of share * sum(sizes), by weights that repeat, at most most * its size.
 
@@ -61,20 +66,26 @@ def permuted(g: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
     return x.astype(np.int64)
 
 
-def shard_draws(slots: Sequence[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot number, slots): multinomial counts for each shard, given each source's total."""
-    rng, left, out = np.random.default_rng(seed), np.array(slots, np.int64), []
-    shard = 0
-    while left.sum():
-        take = int(min(shard_slots, left.sum()))
-        drawn = rng.multivariate_hypergeometric(left, take, method="marginals")
-        out += [(shard, s, int(slots[s] - left[s]), int(c)) for s, c in enumerate(drawn) if c]
-        left -= drawn
-        shard += 1
+def drawn(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` slots each source gets: multinomial by what is left of it, and no more than that."""
+    out = np.zeros(len(left), np.int64)
+    while take:
+        now = np.minimum(rng.multinomial(take, left / left.sum()), left)
+        out, left, take = out + now, left - now, take - int(now.sum())
     return out
 
 
-def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 128, max_shards: int = 64, least_shard: int = 1024, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def draws(slots: Sequence[int], part_slots: int, seed: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, first slot numbers, numbers of slots) of the sources in each part of part_slots slots."""
+    rng, slots = np.random.default_rng(seed), np.array(slots, np.int64)
+    left, part = slots.copy(), 0
+    while left.sum():
+        now = drawn(rng, left, int(min(part_slots, left.sum())))
+        yield part, slots - left, now
+        left, part = left - now, part + 1
+
+
+def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(pieces, documents) of the mix.
 
     pieces: shard, slot (unique in the mix), source, key, from_word and words, and text: the words
@@ -85,15 +96,16 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     source of its own, after all others by code point. No document gives more than most times its
     size. Rows are ordered in their source by hash, key and text; wholly equal rows are
     interchangeable, a null key is a key like any other, and columns other than source, text and key are ignored. An empty table
-    gives two empty tables. The same table gives the same mix, however it is partitioned.
-    Sources are expected to be few (their totals, and max_shards draws for each, pass through the driver).
+    gives two empty tables. The same table gives the same mix, however it is partitioned and whatever the session's settings.
+    A shard has shard_slots slots; shards are as many as the mix needs. Sources are expected to be few (their totals, and
+    at most GROUPS draws for each, pass through the driver).
     """
     spark = docs.sparkSession
-    parts = 8 * tasks(spark)
+    small_batches(spark)
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), 0)), F.lit(0)).cast("long")
     size = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(size)
     rows = docs.select(F.col(source).alias("source"), F.col(key).alias("key"), F.col(text).alias("text"), size.alias("size"), F.xxhash64(text).alias("h"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "h"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "h"), F.lit(PARTS)))
     slim = written(rows.select("source", "key", "size", "h", "part"), "mix-sizes")
     totals = slim.groupBy("source").agg(F.sum("size").alias("n")).collect()
     names = sorted((r.source for r in totals if r.source is not None), key=lambda s: s.encode("utf-8")) + [None] * any(r.source is None for r in totals)
@@ -102,7 +114,8 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     goal = targets(sizes, weights, share, most)
     blocks = [-(-n // block_words) for n in sizes]
     slots = [min(int(most) * b, round(t / (n / b))) if n else 0 for n, b, t in zip(sizes, blocks, goal)]
-    draws = shard_draws(slots, max(least_shard, -(-sum(slots) // max_shards)), seed)
+    per_group = -(-sum(slots) // (shard_slots * GROUPS))  # shards of a group
+    groups = [(g, g * per_group, first.tolist(), n.tolist(), blocks) for g, first, n in draws(slots, shard_slots * max(1, per_group), [seed])]
     facts = spark.createDataFrame([(i, s, n, t, b) for i, (s, n, t, b) in enumerate(zip(names, sizes, goal, blocks))], "sid int, source string, source_size long, target double, blocks long")
 
     # where each document starts in its source's stream: sums inside (source, part), then over parts
@@ -118,23 +131,31 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     cut = at.where("size > 0").withColumn("block", F.explode(F.sequence(block_of("start"), block_of("start + size - 1"))))
     cut = cut.withColumn("lo", F.greatest("start", F.expr("block * source_size div blocks"))).withColumn("hi", F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div blocks"))).where("hi > lo")
 
-    dealt = spark.createDataFrame([(sh, s, g, c, blocks[s]) for sh, s, g, c in draws], "shard int, sid int, first long, n long, blocks long").repartition(max(1, min(len(draws), tasks(spark))))
-    numbered = dealt.select("shard", "sid", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("g"))
+    dealt = spark.createDataFrame(groups, "grp int, shard long, first array<long>, n array<long>, blocks array<long>")
+    dealt = dealt.repartition(max(1, min(len(groups), tasks(spark))))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            g, n = f["g"].to_numpy(), f["blocks"].to_numpy()
-            keys = (f["sid"].to_numpy() * 1_000_003 + g // n * 7919 + seed).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            yield pd.DataFrame({"shard": f["shard"], "sid": f["sid"], "g": g, "block": permuted(g % n, n, keys)})
-
-    slot = numbered.mapInPandas(place, "shard int, sid int, g long, block long")
+            for grp, shard, first, n, blocks in zip(f["grp"], f["shard"], f["first"], f["n"], f["blocks"]):
+                for k, begun, now in draws(n, shard_slots, [seed, int(grp)]):
+                    sid = np.repeat(np.arange(len(now)), now)
+                    g = np.arange(len(sid)) - np.repeat(np.cumsum(now) - now, now) + np.repeat(np.array(first) + begun, now)
+                    of = np.array(blocks)[sid]
+                    keys = (sid * 1_000_003 + g // of * 7919 + seed).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                    yield pd.DataFrame({"shard": shard + k, "sid": sid.astype(np.int32), "g": g, "block": permuted(g % of, of, keys)})
+
+    slot = dealt.mapInPandas(place, "shard long, sid int, g long, block long")
     taken = cut.hint("merge").join(slot, ["sid", "block"])
+    # texts in chunks of CHUNK words and what a piece that starts in one may reach beyond it
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
-    whole = rows.where("size > 0").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("h").alias("h2"), "text").dropDuplicates(["s2", "k2", "h2"])
+    whole = rows.where("size > 0").select(F.col("source").alias("s2"), F.col("key").alias("k2"), F.col("h").alias("h2"), "text", "size").dropDuplicates(["s2", "k2", "h2"])
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {CHUNK} as int)")), lambda c: F.slice("words", c * CHUNK + 1, F.lit(CHUNK + block_words + 1)))
+    whole = whole.withColumn("words", words).select("s2", "k2", "h2", F.posexplode(chunks).alias("chunk", "part"))
+    taken = taken.withColumn("from_word", F.col("lo") - F.col("start")).withColumn("c2", F.expr(f"cast(from_word div {CHUNK} as int)"))
     pieces = (
-        taken.hint("merge").join(whole, F.col("source").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")))
-        .select("shard", F.struct("sid", "g").alias("slot"), "source", F.col("key").alias(key), (F.col("lo") - F.col("start")).alias("from_word"), (F.col("hi") - F.col("lo")).alias("words"),
-                F.array_join(F.slice(words, (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text"))
+        taken.hint("merge").join(whole, F.col("source").eqNullSafe(F.col("s2")) & F.col("key").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")) & (F.col("c2") == F.col("chunk")))
+        .select("shard", F.struct("sid", "g").alias("slot"), "source", F.col("key").alias(key), "from_word", (F.col("hi") - F.col("lo")).alias("words"),
+                F.array_join(F.slice("part", F.expr(f"cast(from_word % {CHUNK} as int)") + 1, (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text"))
     )
     times = slot.groupBy("sid", "block").agg(F.count("*").alias("times"))
     got = cut.hint("merge").join(times, ["sid", "block"]).groupBy("sid", "start", "size").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"))

@@ -6,6 +6,7 @@ a bounded sample of labelled urls says of its host's suffix.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,8 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SUFFIX = ("suffix_n", "suffix_blocked", "site_n", "site_blocked")
+#: Parts of the labelled urls; each learns suffix statistics from the others.
+FOLDS = 5
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "hyphens", "entropy", "params", *SUFFIX)
 
 
@@ -67,6 +72,10 @@ def with_features(rows: DataFrame, url: str) -> DataFrame:
     })
 
 
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
+
+
 class UrlFilter:
     """Trees fitted on labelled urls; without both labels in the sample, that one label or allow."""
 
@@ -74,25 +83,31 @@ class UrlFilter:
         """labelled: url, and block, 1 for urls to block and 0 for others. At most sample_rows of them, chosen by
         hash, are learned from; rows with a null url or label teach nothing."""
         spark = labelled.sparkSession
-        sample = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.col(url).alias("url"), (F.col(block) > 0).cast("double").alias("label"))
-        sample = with_features(sample.orderBy(F.xxhash64("url"), "url", "label").limit(sample_rows), "url")
-        # the sample bounds both tables of suffix statistics, so that they can be sent to all tasks
-        stats = lambda key: sample.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
-        self.tables = {
-            key: spark.createDataFrame([(r[key], float(r.n), (r.blocked + 1) / (r.n + 2)) for r in stats(key)], f"{key} string, {key}_n double, {key}_blocked double")
-            for key in ("suffix", "site")
-        }
+        sample = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.col(url).alias("u"), (F.col(block) > 0).cast("double").alias("label"))
+        sample = with_features(written(sample.orderBy(F.xxhash64("u"), "u", "label").limit(sample_rows), "labelled-urls"), "u")
+        sample = sample.withColumn("fold", F.pmod(F.xxhash64("u"), F.lit(FOLDS)))
+        # the sample bounds the tables of suffix statistics, so that they can be sent to all tasks
+        self.tables, training = {}, sample
+        for key in ("suffix", "site"):
+            own, total = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+            for r in sample.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect():
+                own[r[key], r.fold] = [r.n, int(r.blocked)]
+                total[r[key]] = [total[r[key]][0] + r.n, total[r[key]][1] + int(r.blocked)]
+            share = lambda n, blocked: (float(n), (blocked + 1) / (n + 2))
+            columns = f"{key}_n double, {key}_blocked double"
+            self.tables[key] = spark.createDataFrame([(name, *share(*t)) for name, t in total.items()], f"{key} string, {columns}")
+            # a labelled url learns from what the other folds say of its suffix, not from its own label
+            others = [(name, fold, *share(total[name][0] - n, total[name][1] - blocked)) for (name, fold), (n, blocked) in own.items()]
+            training = training.join(F.broadcast(spark.createDataFrame(others, f"{key} string, fold long, {columns}")), [key, "fold"])
         labels = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
         self.only = 1.0 if set(labels) == {1.0} else 0.0
         self.model: GBTClassificationModel | None = None
         if len(labels) == 2:
-            train = self._assembled(sample)
-            self.model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(train.select("x", "label"))
+            self.model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(_assembled(training).select("x", "label"))
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
+    def _with_suffixes(self, rows: DataFrame) -> DataFrame:
         rows = reduce(lambda d, key: d.join(F.broadcast(self.tables[key]), key, "left"), self.tables, rows)
-        rows = rows.fillna({"suffix_n": 0.0, "suffix_blocked": 0.5, "site_n": 0.0, "site_blocked": 0.5})
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
+        return rows.fillna({"suffix_n": 0.0, "suffix_blocked": 0.5, "site_n": 0.0, "site_blocked": 0.5})
 
     def judge(self, pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str]] = (), threshold: float = 0.5) -> DataFrame:
         """key, host, path, rule (or null), block_score (the trees' chance of block) and verdict of every row.
@@ -106,7 +121,7 @@ class UrlFilter:
         if self.model is None:
             rows = rows.withColumn("block_score", F.lit(self.only))
         else:
-            rows = self.model.transform(self._assembled(rows)).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
+            rows = self.model.transform(_assembled(self._with_suffixes(rows))).withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
         rule, action = rule_of(F.col("host"), F.col("path"), rules)
         by_trees = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
         return rows.select(F.col("key").alias(key), "host", "path", rule.alias("rule"), F.round("block_score", 6).alias("block_score"), F.coalesce(action, by_trees).alias("verdict"))

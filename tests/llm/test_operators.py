@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import ipaddress
 import os
 import random
 import re
@@ -296,6 +297,55 @@ def test_url_trees(spark):
     assert sum((r.verdict == "block") == (r.page_id < 150) for r in held) >= 0.97 * len(held)
 
 
+def plain_url(u):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+    host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+    fits = [(a, r) for a, r in queries.URL_RULES if (host == (d := r.partition("/"))[0] or host.endswith("." + d[0])) and path.startswith("/" + d[2])]
+    action, rule = max(fits, key=lambda f: len(f[1]), default=(None, None))
+    return host, path, rule, action
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_url_query(spark, tmp_path, made):
+    """The query on the given pages and on very long urls, repeated rows, null and odd urls, null ids: one row each, rules and verdicts as by hand."""
+    at = "/root/testdata/sf0.01"
+    if made:
+        at = str(tmp_path)
+        rng = random.Random(8)
+        urls = ["http://a.net/" + "x" * 200_000, "http://" + "h" * 70_000 + ".org/fr/", "http://a.example.net/en/" + "?q=1&" * 20_000, None, "", "://", "a://b://c.net/", "http://ÄB.net/ä", "http://B.NET"]
+        urls += [f"http://{rng.choice(['p', 'q'])}.site{rng.randrange(5)}.com/{rng.choice(['de', 'x'])}/{i}" for i in range(60)]
+        rows = [(i if u else None, u, "r") for i, u in enumerate(urls)] + [(1, urls[1], "r")] * 2
+        spark.createDataFrame(rows, "page_id long, url string, rule string").write.parquet(f"{at}/pages.parquet")
+        spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(69)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    rows = spark.read.parquet(f"{at}/pages.parquet").collect()
+    got = queries.op6_url_filter(spark, at).collect()
+    want = collections.Counter((r.page_id, *plain_url(r.url)) for r in rows)
+    assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got) == want
+    assert {r.verdict for r in got} <= {"allow", "block"}
+
+
+def test_url_features(spark):
+    urls = ["http://a-b.c.example/x/y9?p=1&q=2&r#f", "https://Q.net", "", "x://1.2.3.4//?"]
+    rows = url_filter.with_features(spark.createDataFrame([(u,) for u in urls], "u string"), "u").collect()
+    for u, r in zip(urls, rows):
+        host, path = plain_url(u)[:2]
+        n = len(u)
+        query = (re.search(r"\?([^#]*)", u) or ["", ""])[1]
+        entropy = -sum(k / n * np.log2(k / n) for k in collections.Counter(u).values())
+        assert (r.url_len, r.host_len, r.path_len, r.depth, r.labels, r.hyphens) == (n, len(host), len(path), path.count("/"), host.count("."), host.count("-"))
+        assert r.entropy == pytest.approx(entropy, abs=1e-9) and r.digits == pytest.approx(sum(c.isdigit() for c in u) / max(n, 1)) and r.params == (query.count("&") + 1 if query else 0)
+        assert (r.suffix, r.site) == (host.rpartition(".")[2], ".".join(host.split(".")[-2:]))
+
+
+def test_url_folds(spark):
+    """Every site has one url, so a site's statistics would give the label away; learned out of fold, they don't."""
+    rng = random.Random(5)
+    table = spark.createDataFrame([(f"http://site{rng.randrange(10**9)}.com/page", rng.randrange(2)) for _ in range(400)], "url string, block int")
+    model = url_filter.UrlFilter(table)
+    used = dict(zip(url_filter.FEATURES, model.model.featureImportances.toArray()))
+    assert used["site_blocked"] + used["site_n"] < 0.05
+
+
 # --- 7 ---
 def brute_components(texts, k, low, high):
     sets = {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset() for i, w in texts.items()}
@@ -446,6 +496,58 @@ def test_names_are_distinct(spark):
     assert again.distinct().count() == 60_000
 
 
+def test_more_formats(spark):
+    """Phones abroad, IBAN, IPv6, names without titles; and texts with what used to be a marker."""
+    iban = "DE89370400440532013000"
+    texts = [f"IBAN DE89 3704 0044 0532 0130 00, {iban}.", "call +44 20 7946 0958 or +442079460958 or +49 (0)30/901820", "+1 505 555 2408 is 505-555-2408", "at 2001:db8::1 and 2001:0db8:0:0:0:0:0:1 or fe80::1ff:fe23:4567:890a", "John Smith lives in Berlin, Mr John Smith too, Anna-Lena de la Cruz", "token=" + "aB3" * 3334 + " end", "x" * 100 + ".y@mail.example.com now", "\ufdd0turnstone-5b1d2c9e7f\ufdd0 a \ufdd0turnstone-5b1d2c9e7f\ufdd0 1.2.3.4", "std::vector a::b 12:30:45 AB12 X1"]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows_of(*texts), DOCS), "k").collect()}
+    a, b = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d), (DE\d{20})\.", got[0].text).groups()
+    assert a.replace(" ", "") == b != iban and int(b[4:] + "1314" + b[2:4]) % 97 == 1 and got[0].n_iban == 2
+    p, q, r = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}) or (\+44\d{10}) or (\+49 \(\d\)\d\d/\d{6})", got[1].text).groups()
+    assert p.replace(" ", "") == q != "+442079460958" and "901820" not in r
+    assert re.sub(r"\D", "", got[2].text.split(" is ")[0])[1:] == re.sub(r"\D", "", got[2].text.split(" is ")[1]) != "5055552408"
+    u, v, w = re.fullmatch(r"at ([0-9a-f]+:[0-9a-f]+::[0-9a-f]+) and ([0-9a-f:]+) or ([0-9a-f]+::[0-9a-f:]+)", got[3].text).groups()
+    assert ipaddress.ip_address(u) == ipaddress.ip_address(v) and u != "2001:db8::1" and ipaddress.ip_address(w) and "fe80" not in w and got[3].n_ipv6 == 3
+    m = re.fullmatch(r"(\w+) (\w+) lives in Berlin, Mr (\w+) (\w+) too, (\w+-\w+) de la (\w+)", got[4].text)
+    assert m[1] == m[3] in pii.MALE_NAMES and m[2] == m[4] != "Smith" and m[5].split("-")[0] in pii.FEMALE_NAMES and got[4].n_name == 3
+    assert re.fullmatch("token=[A-Za-z0-9]{10002} end", got[5].text) and "aB3aB3" not in got[5].text
+    assert "xxxxx" not in got[6].text and got[6].n_email == 1
+    assert re.fullmatch("\ufdd0turnstone-5b1d2c9e7f\ufdd0 a \ufdd0turnstone-5b1d2c9e7f\ufdd0 [0-9.]+", got[7].text) and got[8].text == texts[8]
+
+
+def test_formats_get_longer(spark, monkeypatch):
+    """Formats that are used up: each of 300 entities still has a surrogate of its own."""
+    monkeypatch.setattr(pii, "_hash", lambda key, kind, norm, attempt: F.concat(F.repeat(F.substring(F.md5(F.concat_ws(" ", norm, attempt)), 1, 1), 16), F.md5(F.concat_ws(" ", norm, attempt)), F.repeat(F.lit("0"), 16)))
+    monkeypatch.setattr(pii, "TAIL_AFTER", 1)
+    for make in (lambda i: f"5.6.{i // 200}.{i % 200}", lambda i: f"505-555-{i:04}", lambda i: f"+44 20 7946 {i:04}", lambda i: f"4000-0000-0000-{i:04}", lambda i: f"2001:db8::{i + 1:x}"):
+        texts = [f"x {make(i)}" for i in range(300)]
+        out = [r.text for r in pii.replace_pii(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+        assert len({*out, *texts}) == 600 and any(len(t) > len(texts[0]) + 1 for t in out)
+
+
+PLAIN_ENTITIES = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?:\+1 )?\(\d{3}\) \d{3}-\d{4}|(?<=password=)\S+|AKIA[0-9A-Z]{16}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])|(?<!\d)(?:[3-6]\d|2[2-7])\d\d(?:-?\d{4}){3}(?!\d)")
+
+
+def test_pii_query(spark):
+    """On all given documents: one surrogate for each entity, one entity for each surrogate, no entity left, nothing else changed."""
+    at = "/root/testdata/sf0.01"
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    norm = lambda e: e.lower() if "@" in e else re.sub(r"\D", "", e)[-10:] if "(" in e else e.replace("-", "") if re.fullmatch(r"[\d-]{16,19}", e) else e
+    new, old, n = {}, {}, 0
+    for r in queries.op9_pii(spark, at).collect():
+        was, now = before.pop(r.doc_id), r.text
+        a, b = PLAIN_ENTITIES.findall(was or ""), PLAIN_ENTITIES.findall(now or "")
+        assert len(a) == len(b)
+        for x, y in zip(map(norm, a), map(norm, b)):
+            assert new.setdefault(x, y) == y and old.setdefault(y, x) == x and x != y
+            n += 1
+        if not sum(r[f"n_{t}"] for t in pii.TYPES):
+            assert was == now
+        elif not r.n_secret:
+            assert PLAIN_ENTITIES.split(was) == PLAIN_ENTITIES.split(now)
+    assert not before and n > 30 and not set(new) & set(old)
+
+
 # --- 10 ---
 def test_toxicity(spark, odd, empty):
     rng = random.Random(6)

@@ -559,7 +559,7 @@ def test_toxicity(spark, odd, empty):
 
     rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(800)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(table, table.where("doc_id % 5 <> 0"))
+    model = toxicity.fit(table, table.where("doc_id % 5 <> 0"), least=4)
     held = toxicity.score_toxicity(table.where("doc_id % 5 = 0"), model).collect()
     assert sum(r.predicted == r.toxic for r in held) >= 0.95 * len(held)
     assert toxicity.score_toxicity(spark.createDataFrame([("the grumblez",)], "text string"), model).first().llr > toxicity.score_toxicity(spark.createDataFrame([("the granblez",)], "text string"), model).first().llr  # by its stem
@@ -580,7 +580,7 @@ def test_all_trigrams_count(spark, monkeypatch):
     rows = spark.createDataFrame([(filler,)], "text string").crossJoin(spark.range(12).select((F.col("id") + 1000).alias("doc_id")))
     rare, long = "\ud7a1\ud7a2\ud7a3", "b" * 100 + "k" * 950 + "endings"
     labelled = spark.createDataFrame([(i, f"good {rare if i % 4 == 0 else ''} w{i}" + f" {long}" * (i % 2), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
-    toxicity.fit(rows.select("doc_id", "text").unionByName(labelled.select("doc_id", "text")), labelled, class_rows=40, clear=0.0)
+    toxicity.fit(rows.select("doc_id", "text").unionByName(labelled.select("doc_id", "text")), labelled, class_rows=40, least=4, clear=0.0)
     grams = {"".join(map(chr, g)) for codes, _, _ in seen[0][0].values() for g in codes.tolist()}
     trigrams, totals = ({"".join(chr(k >> s & (1 << 21) - 1) for s in range(21 * (n - 1), -1, -21)): int(v) for k, v in zip(t.keys.tolist(), t.values)} for t, n in ((seen[0][1].counts, 3), (seen[0][1].totals, 2)))
     assert trigrams[rare] == 10 and "endings"[1:] + " " in grams
@@ -643,7 +643,7 @@ def test_plain_kneser_ney(spark, monkeypatch, block):
     rng = random.Random(3)
     texts = [(rng.randrange(2), [rng.choice("ab") * rng.randint(1, 3) + rng.choice(["idio", "gut", "ж漢"]) + rng.choice("xyz") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
     table = spark.createDataFrame([(i, " ".join(w), y) for i, (y, w) in enumerate(texts)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(table, table, class_rows=1000, clear=0.5)
+    model = toxicity.fit(table, table, class_rows=1000, least=4, clear=0.5)
     curve = {r.doc_id for r in table.where("pmod(xxhash64(doc_id, 'curve'), 4) = 0").collect()}
     sizes = [sum(y == c and i not in curve for i, (y, _) in enumerate(texts)) for c in (0, 1)]
     each = {c: [r.doc_id for r in table.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id not in curve][: min(sizes)] for c in (0, 1)}

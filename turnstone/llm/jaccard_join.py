@@ -100,7 +100,7 @@ def classes_and_sketch(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.nd
     sketch = np.zeros(BUCKETS, np.int64)
     for r in parts.collect():  # CHUNKS rows
         sketch[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.counts, np.int64)
-    return scanned.where("chunk is null").select("key", "h", "n", "cls"), sketch
+    return scanned.where("chunk is null").select("key", "h", "n", "cls"), sketch.astype(np.float32)
 
 
 def prefixes(rows: DataFrame, sketch: np.ndarray, rule: Similar) -> DataFrame:
@@ -109,7 +109,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, rule: Similar) -> DataFrame:
     weight is how common the first n-grams are; texts at the centre of a group have high weights.
     """
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    floor = float(sketch.sum()) / BUCKETS  # what a bucket holds of unrelated n-grams
+    floor = float(sketch.sum(dtype=float)) / BUCKETS  # what a bucket holds of unrelated n-grams
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -173,13 +173,18 @@ def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(lists.select("token", F.col("top.comp").alias("most")), "token")
 
 
-def _bitmap(hashed: DataFrame, bits: int) -> np.ndarray:
-    """A map of fixed size, true at every hash (column x, a long) modulo bits: a filter that lets some others pass."""
-    words = hashed.select(F.pmod("x", F.lit(bits)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    found = np.zeros(bits // 64, np.int64)
-    for r in words.collect():  # at most bits / 64 rows
-        found[r.w] = r.bits
-    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+class Bits:
+    """A map of fixed size, true at every hash (column x, a long) modulo its bits: a filter that lets some others pass."""
+
+    def __init__(self, hashed: DataFrame, bits: int):
+        words = hashed.select(F.pmod("x", F.lit(bits)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+        found = np.zeros(bits // 64, np.int64)
+        rows = words.toArrow()  # at most bits / 64 rows
+        found[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+        self.packed = found.view(np.uint8)
+
+    def __getitem__(self, x: np.ndarray) -> np.ndarray:
+        return (self.packed[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def frequent_postings(reps: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def frequent_postings(reps: DataFrame) -> DataFrame:
     """
     often = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     often = written(often, "often")
-    known = reps.sparkSession.sparkContext.broadcast(_bitmap(often.select(F.col("token").alias("x")), TOKEN_BITS))
+    known = reps.sparkSession.sparkContext.broadcast(Bits(often.select(F.col("token").alias("x")), TOKEN_BITS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -209,7 +214,7 @@ def frequent_postings(reps: DataFrame) -> DataFrame:
 def class_sets(rows: DataFrame, reps: DataFrame, pairs: DataFrame, rule: Similar) -> DataFrame:
     """(cls, s): the whole sets of the classes in pairs (a, b), taken apart again from one text of each."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "key"), "cls")
-    wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("key").alias("x")), FILTER_BITS))
+    wanted = rows.sparkSession.sparkContext.broadcast(Bits(ids.select(F.xxhash64("key").alias("x")), FILTER_BITS))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

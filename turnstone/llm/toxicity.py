@@ -52,7 +52,7 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     """A hash of every row of codes (n-grams of one length)."""
     h = np.zeros(len(codes), np.uint64)
     for column in codes.T:
-        h = h * _MULTIPLIER + column + np.uint64(1)
+        h = h * _MULTIPLIER + column.astype(np.uint64) + np.uint64(1)
     return h
 
 
@@ -165,7 +165,7 @@ def _packed(codes: np.ndarray) -> np.ndarray:
     """Rows of up to three characters as one number each."""
     out = np.zeros(len(codes), np.uint64)
     for column in codes.T:
-        out = (out << np.uint64(_SHIFT)) | column
+        out = (out << np.uint64(_SHIFT)) | column.astype(np.uint64)
     return out
 
 
@@ -217,13 +217,13 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return labels.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", class_rows: int = 4000, curve_rows: int = 6000, least: int = 4, clear: float = CLEAR) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", class_rows: int = 4000, curve_rows: int = 6000, least: int = 10, clear: float = CLEAR) -> Model:
     """The model of labelled (key, label 0/1) over docs.
 
     The class models learn from class_rows labelled rows of each class (the same number of each),
     the curve from curve_rows others (a quarter of all ids, by hash); the shared trigrams are counted over every
     text of docs. A text counts each of its words once. An n-gram in fewer than `least` texts of the sample backs
-    off; the counts of an n-gram that differ by `clear` standard deviations (roots of their sum) or less are shared evenly, so
+    off (below 10 none could speak for a class, see clear); the counts of an n-gram that differ by `clear` standard deviations (roots of their sum) or less are shared evenly, so
     that it says nothing for either class (at 3, an n-gram of one class alone speaks from 10 texts on): with some thousand texts of a class,
     hundreds of thousands of n-grams differ by chance, and long ordinary texts would add those differences up. Rows with a null key or label teach nothing; a key labelled more
     than once is toxic if any of its labels is. Without both classes nothing is learned and every score is near 0.
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     lengths = pc.utf8_length(kept["g"])
     for n in range(SHORTEST, ORDER + 1):
         mine = kept.filter(pc.equal(lengths, n))
-        counts[n] = (_codes("".join(mine["g"].to_pylist())).reshape(-1, n), mine["a"].to_numpy().astype(float), mine["b"].to_numpy().astype(float))
+        counts[n] = (_codes("".join(mine["g"].to_pylist())).astype(np.uint32).reshape(-1, n), mine["a"].to_numpy().astype(float), mine["b"].to_numpy().astype(float))
     needed = np.unique(np.concatenate([_packed(c[:, -3:]) for c, _, _ in counts.values()]))
     model = kneser_ney(counts, corpus_trigrams(docs, text, needed), clear)
     sample = _sample(labels.where(for_curve), curve_rows)

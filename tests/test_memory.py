@@ -157,6 +157,30 @@ def test_exports(spark):
         exports.parse_exports(exports.conversations(spark.createDataFrame([("c", '[{"foo": "bar"}]')], "file string, value string")), NOW)
 
 
+def test_export_folder(spark, tmp_path):
+    """Files of a folder: an array, a wrapped list, one conversation alone, and what is none."""
+    tree = {"title": "T", "create_time": 5, "current_node": "b", "mapping": {"b": {"id": "b", "parent": None, "children": [], "message": {"author": {"role": "user"}, "content": {"parts": ["from a folder"]}}}}}
+    flat = {"name": "N", "chat_messages": [{"sender": "human", "text": "in a list"}]}
+    for name, value in (("a.json", [tree, tree]), ("b.json", {"conversations": [flat, 3]}), ("c.json", flat), ("d.json", 7)):
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+    (tmp_path / "e.json").write_text("{no json")
+    convos = exports.read_exports(spark, str(tmp_path))
+    assert sorted((r.file[-6:], r.pos) for r in convos.collect()) == [("a.json", 0), ("a.json", 1), ("b.json", 0), ("c.json", 0)]
+    rows = exports.parse_exports(convos, NOW).collect()
+    assert sorted((r.file[-6:], r.text, r.project) for r in rows) == [("a.json", "from a folder", "T")] * 2 + [("b.json", "in a list", "N"), ("c.json", "in a list", "N")]
+
+
+def test_roots_in_order_of_the_file(spark):
+    """Without a current node the thread starts at the first root that the file names, not at the first by name."""
+    def node(parent, children, said):
+        return {"parent": parent, "children": children, "message": {"author": {"role": "user"}, "content": {"parts": [said]}}}
+
+    mapping = {"zz": node(None, ["m", "a1"], "first root"), "aa": node(None, [], "second root"), "a1": node("zz", [], "second child"), "m": node("zz", ["gone"], "first child")}
+    for layout in ([{"mapping": mapping}], {"conversations": [{"mapping": mapping}]}, {"mapping": mapping}):
+        rows = exports.parse_chatgpt(exports.conversations(spark.createDataFrame([("f", json.dumps(layout))], "file string, value string")), NOW)
+        assert [r.text for r in rows.orderBy("turn").collect()] == ["first root", "first child"]
+
+
 def test_captures(spark):
     rows = spark.createDataFrame([(None, "t", None, "p", "user", None, "  a long enough content  ", None, 5), (None, None, None, None, "system", "a long enough system text", None, 1, None), ("s", None, None, None, "user", "short", None, 1, None)], "source string, tool string, model string, project string, role string, text string, content string, ts bigint, created_at bigint")
     (r,) = captured.captured_events(rows, NOW).collect()
@@ -181,6 +205,110 @@ def test_cipher(spark):
         spark.createDataFrame([(sealed[0].e,)], "e string").select(store.decrypted(F.col("e"), b"x" * 32)).collect()
 
 
+def plain_fold(rows, texts_vectors, contradict):
+    """The merge one statement after another: rows of (project, kind, ts, text); what becomes of each, as action, memory and superseded memory."""
+    kept, out = {}, []
+    for i, (project, kind, ts, said) in enumerate(rows):
+        near = []
+        for j, (p, k, t, other) in kept.items():
+            cos = max(-1.0, min(1.0, sum(a * b for a, b in zip(texts_vectors[said], texts_vectors[other]))))
+            if project is None or p == project:
+                near.append((-cos, j, cos, k, t, other))
+        near.sort()
+        same = next((j for _, j, cos, *_ in near if cos >= merge.DUPLICATE), None)
+        against = next(((j, t) for _, j, cos, k, t, other in near if merge.RELATED <= cos < merge.DUPLICATE and kind in merge.CONFLICTABLE and k in merge.CONFLICTABLE and contradict(other, said)), None)
+        if same is not None:
+            out.append(("deduped", same, None))
+        elif against is None:
+            kept[i] = rows[i]
+            out.append(("inserted", i, None))
+        elif ts >= against[1]:
+            del kept[against[0]]
+            kept[i] = rows[i]
+            out.append(("superseded", i, against[0]))
+        else:
+            out.append(("superseded", against[0], i))
+    return out
+
+
+def test_merge_against_plain_fold(spark):
+    """Many statements, some without a project, some late, in two imports: results, memories, log and report as a plain fold has them."""
+    import random
+
+    from turnstone.operators import views
+
+    rng = random.Random(4)
+    things, tools = ["billing cache", "auth service", "search index"], ["Redis", "Postgres", "Kafka"]
+    says = [("decision", "For the {t} we decided to use {a} instead of {b}."), ("preference", "The team prefers {a} over {b} for the {t}."), ("fact", "The {t} is enabled now."), ("fact", "The {t} is not enabled now."), ("fact", "The {t} is disabled now.")]
+    rows = []
+    for i in range(90):
+        kind, form = rng.choice(says)
+        a, b = rng.sample(tools, 2)
+        rows.append((rng.choice(["p", "q", None]), kind, NOW - rng.randrange(10) * DAY, form.format(t=rng.choice(things), a=a, b=b)))
+    texts = sorted({r[3] for r in rows})
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    vectors = {r.text: r.vec for r in frame.withColumn("vec", similarity.hashed_vector(F.col("text"))).collect()}
+    feats = features.with_features(frame)
+    a, b = (feats.select(*(F.col(c).alias(f"{p}{c}") for c in feats.columns)) for p in ("a_", "b_"))
+    against = {(r.a_text, r.b_text) for r in a.crossJoin(b).where(features.contradicts("a_", "b_")).collect()}
+    want = plain_fold(rows, vectors, lambda x, y: (x, y) in against)
+    assert {w[0] for w in want} == {"inserted", "deduped", "superseded"}
+    events = [(i, "s", None, None, t, p, "user", x, k) for i, (p, k, t, x) in enumerate(rows)]
+    for cut_at in (90, 37):
+        stored, number, got, logs = spark.createDataFrame([], MEMORY), {}, [], []
+        for part in (events[:cut_at], events[cut_at:]):
+            if part:
+                results, stored, log = merge.ingest(spark.createDataFrame(part, EVENT), stored, NOW)
+                results, stored, log = results.orderBy("id").collect(), spark.createDataFrame(stored.collect(), MEMORY), log.collect()
+                number |= {r.id: part[n][0] for n, r in enumerate(results)}
+                got += [(r.action, number[r.mem_id] if r.mem_id is not None else None, number[r.superseded_id] if r.superseded_id is not None else None) for r in results]
+                logs += log
+        assert got == want
+        assert len(logs) == sum(w[0] == "superseded" for w in want)
+        final = {number[r.id]: r for r in stored.collect()}
+        gone = {w[2] for w in want if w[0] == "superseded"}
+        assert set(final) == {i for i, w in enumerate(want) if w[0] != "deduped"} and {i for i, r in final.items() if r.status == "superseded"} == gone
+        assert all(r.seen_count == 1 + sum(w[:2] == ("deduped", i) for w in want) for i, r in final.items())
+    results, memories, log = merge.ingest(spark.createDataFrame(events, EVENT), spark.createDataFrame([], MEMORY), NOW)
+    report = views.import_report(spark.createDataFrame(events, EVENT), results, memories, log.limit(0), log, spark.createDataFrame([("f", 0), ("f", 1), ("f", 1)], "file string, pos int")).first()
+    n = {a: sum(w[0] == a for w in want) for a in ("inserted", "deduped", "superseded")}
+    assert report.asDict() == {"conversations": 2, "turns": 90, "candidates": 90, "inserted": n["inserted"], "merged": n["deduped"], "superseded": n["superseded"], "contradictions": n["superseded"], "total": len(final), "active": len(final) - len(gone), "superseded_total": len(gone), "contradictions_total": n["superseded"]}
+
+
+def test_nearest(spark):
+    """Against all pairs: in the query's project or everywhere, its own row left out, superseded rows on demand; many blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[7] = v[8]
+    rows = [(i, ["p", "q", None][i % 3], v[i].tolist(), "active" if i % 4 else "superseded") for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, project string, vec array<double>, status string")
+    for active in (False, True):
+        found = similarity.nearest(table.withColumnRenamed("id", "qid"), table, 3, active_only=active).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r.qid, []).append(r.id)
+        for i, p, *_ in rows:
+            near = sorted((-round(float(v[i] @ v[j]), 9), j) for j, q, _, status in rows if j != i and (p is None or p == q) and (not active or status == "active"))
+            assert got[i] == [j for _, j in near[:3]]
+    pairs = {(r.a, r.b) for r in similarity.similar_pairs(table, 0.5, block_rows=7).collect()}
+    assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][1] == rows[j][1] is not None and v[i] @ v[j] >= 0.5}
+    queries = table.select("id", F.lit(0).alias("scope"), "vec")
+    between = {(r.a, r.b) for r in similarity.pairs_between(queries.where("id % 2 = 0"), queries.where("id % 2 = 1"), 0.5, 5).collect()}
+    assert between == {(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2) if i < j and v[i] @ v[j] >= 0.5}
+
+
+def test_redaction_leaves_markers(spark):
+    odd = "﷑turnstone-token﷑ a ﷑ " + "x" * 50
+    assert one(spark, redact.redact, odd) == odd
+
+
+def test_folded_letters(spark):
+    assert one(spark, retrieve.terms, "Crème Łódź Žižek Ngữ naïve") == ["creme", "łodz", "zizek", "ngữ", "naive"]
+
+
 def memories(spark, texts, **more):
     rows = [(i, "s", None, None, NOW, more.get("project"), None, t, "fact", "active", 1, 0.6, NOW, [("s", None, None, NOW)], None, NOW, NOW) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, MEMORY)
@@ -229,6 +357,14 @@ def test_stream_replay(spark, tmp_path):
         stream.start(spark, str(tmp_path / "in"), kept, str(tmp_path / "log"), NOW).awaitTermination()
         rows = kept.memories().collect()
         assert len(rows) == 2 and {r.seen_count for r in rows} == {n + 1}
-    before = stream.store_number(kept)
+    before = kept.number()
     stream.merge_batch(kept, spark.createDataFrame(turns, stream.TURN), before, NOW)  # a batch that came twice
-    assert {r.seen_count for r in kept.memories().collect()} == {2} and kept.postings().count() > 0 and kept.contradictions().count() == 0
+    assert {r.seen_count for r in kept.memories().collect()} == {2} and kept.contradictions().count() == 0
+    assert kept.vectors().count() == 2 and kept.postings().select("id").distinct().count() == 2
+    late = [("web", None, None, "p", "user", NEW, None, NOW - DAY, None, 1, 0)]  # older than what it contradicts, in a later batch
+    spark.createDataFrame(late, stream.TURN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.start(spark, str(tmp_path / "in"), kept, str(tmp_path / "log"), NOW).awaitTermination()
+    state = {r.text: r.status for r in kept.memories().collect()}
+    assert state[NEW] == "superseded" and state[OLD] == "active" and len(state) == 3
+    assert [(r.active_text, r.superseded_text) for r in kept.contradictions().collect()] == [(OLD, NEW)]
+    assert kept.vectors().count() == 3 and kept.postings().select("id").distinct().count() == 3

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import CANDIDATE
-from .text import EDGE, EMOJI, SPACE, alnum_length, collapse, length, let, trim, word_count
+from .text import EDGE, EMOJI, SPACE, alnum_length, at_least_alnum, at_least_words, collapse, length, let, shorter, trim
 
 #: Markers and fillers (fixed values), to be matched without regard to case; {b} is a word edge, {s} white space.
 DECISION = r"{b}(decided|decision|we (?:use|chose|picked|went with|will use|are using)|going with|let's use|switch(?:ed)? to|adopt(?:ed)?|standardi[sz]e on){b}"
@@ -22,30 +22,61 @@ def marker(p: str, edge: str = EDGE, space: str = SPACE) -> str:
     return "(?i)" + p.replace("{b}", edge).replace("{s}", space)
 
 
+def _starts(p: str) -> str:
+    """The first letters of a marker's alternatives, as a class."""
+    depth, found, fresh = 0, "", True
+    for c in p[p.index("(") + 1 :]:
+        if fresh and depth == 0:
+            found += c
+        fresh = c == "|" and depth == 0
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+    return f"[{''.join(sorted({*found.lower(), *found.upper()}))}]"
+
+
 def has(s: Column, p: str) -> Column:
-    return s.rlike(marker(p))
+    """Whether s holds a marker. All alternatives start with a letter, so that a look at the letter, and at what stands
+    before it, passes over most places."""
+    quick = p.replace("{b}(", rf"(?<![A-Za-z0-9_])(?={_starts(p)})(", 1) if p.startswith("{b}(") else p
+    return s.rlike(marker(quick))
 
 
 def durable(s: Column) -> Column:
     return has(s, DECISION) | has(s, PREFERENCE) | has(s, CONSTRAINT)
 
 
+def _kind(decision: Column, constraint: Column, preference: Column, s: Column) -> Column:
+    return F.when(decision, "decision").when(constraint, "constraint").when(preference, "preference").when(has(s, STATE), "state").otherwise("fact")
+
+
 def classify(s: Column) -> Column:
-    return F.when(has(s, DECISION), "decision").when(has(s, CONSTRAINT), "constraint").when(has(s, PREFERENCE), "preference").when(has(s, STATE), "state").otherwise("fact")
+    return _kind(has(s, DECISION), has(s, CONSTRAINT), has(s, PREFERENCE), s)
 
 
 def is_noise(text: Column) -> Column:
-    s = trim(text)
-    n = length(s)
+    return let(trim(text), lambda s: _noise(s, durable(s)))
+
+
+def judgement(text: Column) -> Column:
+    """(drop, kind) of a text, with its markers looked for once."""
+    marks = lambda s: F.struct(s.alias("s"), has(s, DECISION).alias("d"), has(s, CONSTRAINT).alias("c"), has(s, PREFERENCE).alias("p"))
+    both = lambda m: F.struct(_noise(m["s"], m["d"] | m["c"] | m["p"]).alias("drop"), _kind(m["d"], m["c"], m["p"], m["s"]).alias("kind"))
+    return let(let(trim(text), marks), both)
+
+
+def _noise(s: Column, lasting: Column) -> Column:
+    """Of a trimmed text; lasting: whether it has a durable marker. Cheap looks at a text's first words come first."""
+    three_words = at_least_words(s, 3)
     return (
-        F.when((s == "") | (alnum_length(s) < 6), True)
-        .when(s.rlike(EMOJI) & (word_count(s) <= 2), True)
-        .when(durable(s), False)
+        F.when((s == "") | (~at_least_alnum(s, 6) & (alnum_length(s) < 6)), True)
+        .when(~three_words & s.rlike(EMOJI), True)
+        .when(lasting, False)
         .when(has(s, FILLER), True)
-        .when((n < 80) & has(s, FILLER_PHRASE), True)
-        .when(s.endswith("?") & (n < 90), True)
-        .when((n < 160) & has(s, REQUEST), True)
-        .otherwise((n < 12) | (word_count(s) < 3))
+        .when(shorter(s, 80) & has(s, FILLER_PHRASE), True)
+        .when(s.endswith("?") & shorter(s, 90), True)
+        .when(shorter(s, 160) & has(s, REQUEST), True)
+        .otherwise(shorter(s, 12) | ~three_words)
     )
 
 

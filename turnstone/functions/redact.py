@@ -23,7 +23,12 @@ STEPS = (
     ("apikey", r"{b}sk-(?:ant-|proj-|live-|test-)?[A-Za-z0-9_-]{{16,}}{b}", 0, "[REDACTED:apikey]"),
 )
 LONG = r"{b}[A-Za-z0-9+/_=-]{{40,}}{b}"
-_CUT = "﷑turnstone-token﷑"
+#: What a text must hold for a step to find anything.
+GATES = {
+    "private-key": lambda s: s.contains("PRIVATE KEY"), "connection-password": lambda s: s.contains("://"), "bearer-token": lambda s: s.contains("earer"),
+    "secret-assignment": lambda s: s.rlike("[:=]") & s.rlike("(?i)(?:secret|token|passw|key)"), "jwt": lambda s: s.contains("eyJ"), "aws-key": lambda s: s.rlike("A[KSGIRN][IDOPV]A"),
+    "github-token": lambda s: s.rlike("gh[pousr]_"), "slack-token": lambda s: s.contains("xox"), "google-api-key": lambda s: s.contains("AIza"), "apikey": lambda s: s.contains("sk-"),
+}
 
 
 def pattern(p: str, edge: str = EDGE, space: str = SPACE) -> str:
@@ -34,21 +39,29 @@ def _is_token(s: Column) -> Column:
     return s.rlike("[A-Za-z]") & s.rlike("[0-9]") & (entropy(s) >= 4.0)
 
 
-def _pieces(s: Column) -> Column:
-    """s cut at long tokens; those are at odd places."""
-    return F.split(F.regexp_replace(s, f"({pattern(LONG)})", f"{_CUT}$1{_CUT}"), _CUT, -1)
+def tokens(s: Column) -> Column:
+    """Runs of 40 token characters and more."""
+    return F.regexp_extract_all(s, F.lit(pattern(LONG)), 0)
 
 
 def redact_structured(s: Column) -> Column:
     """All steps but the last, for tokens of high entropy."""
-    for _, p, _, new in STEPS:
-        s = F.regexp_replace(s, pattern(p), new)
+    for step in STEPS:
+        s = let(s, _replaced(step))
     return s
 
 
+def _replaced(step: tuple):
+    name, p, _, new = step
+    return lambda t: F.when(GATES[name](t), F.regexp_replace(t, pattern(p), new)).otherwise(t)
+
+
 def redact_tokens(s: Column) -> Column:
     """Tokens of 40 characters and more with letters, digits and at least 4 bits of entropy a character."""
-    return F.array_join(F.transform(_pieces(s), lambda p, i: F.when((i % 2 == 1) & _is_token(p), "[REDACTED:token]").otherwise(p)), "")
+    # the text between tokens: one piece more than there are tokens
+    new = lambda t: F.transform(tokens(t), lambda p: F.when(_is_token(p), "[REDACTED:token]").otherwise(p))
+    joined = lambda t: F.array_join(F.zip_with(F.split(t, pattern(LONG), -1), new(t), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return let(s, lambda t: F.when(t.rlike(r"[A-Za-z0-9+/_=-]{40}"), joined(t)).otherwise(t))
 
 
 def redact(s: Column) -> Column:
@@ -72,12 +85,11 @@ def with_redaction(rows: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_0", F.col(text))
     for i, (name, p, group, new) in enumerate(STEPS):
         s = F.col(f"_{i}")
-        hits = F.regexp_extract_all(s, F.lit(pattern(p)), group)
+        hits = F.when(GATES[name](s), F.regexp_extract_all(s, F.lit(pattern(p)), group)).otherwise(F.array().cast("array<string>"))
         parts.append(_found(name, hits).cast(kind))
-        rows = rows.withColumn(f"_{i + 1}", F.regexp_replace(s, pattern(p), new))
+        rows = rows.withColumn(f"_{i + 1}", F.when(GATES[name](s), F.regexp_replace(s, pattern(p), new)).otherwise(s))
     s = F.col(f"_{len(STEPS)}")
-    tokens = F.filter(_pieces(s), lambda p, i: (i % 2 == 1) & _is_token(p))
-    parts.append(_found("high-entropy", tokens).cast(kind))
+    parts.append(_found("high-entropy", F.filter(tokens(s), _is_token)).cast(kind))
     return rows.withColumn("found", F.concat(*parts)).withColumn(text, redact_tokens(s)).select(*columns, "found")
 
 

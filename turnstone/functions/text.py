@@ -61,6 +61,21 @@ def alnum_length(s: Column) -> Column:
     return length(F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
 
 
+def shorter(s: Column, n: int) -> Column:
+    """Whether the length in UTF-16 units is less than n; a text of n characters and more isn't measured."""
+    return F.when(F.length(s) >= n, False).otherwise(length(s) < n)
+
+
+def at_least_words(s: Column, n: int) -> Column:
+    """Whether word_count is n or more, without a look at later words."""
+    return s.rlike(rf"\A[^\p{{L}}\p{{N}}]*+(?:{WORD}+[^\p{{L}}\p{{N}}]*+){{{n}}}")
+
+
+def at_least_alnum(s: Column, n: int) -> Column:
+    """Whether there are n letters and digits or more."""
+    return s.rlike(rf"\A(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]){{{n}}}")
+
+
 def query_terms(s: Column) -> Column:
     """Lower-cased letter and digit runs of more than one character, repeats included."""
     return F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}]+"), 0), lambda t: length(t) > 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import classify, is_noise
+from ..functions.extract import judgement
 from ..functions.score import base_importance
 from ..schemas import KINDS
 
@@ -14,7 +14,7 @@ def judged(memories: DataFrame, project: str | None = None) -> DataFrame:
     """Active memories (of a project) with drop and new_kind."""
     rows = memories.where("status = 'active'")
     rows = rows.where(F.col("project") == project) if project else rows
-    return rows.withColumn("drop", is_noise(F.col("text"))).withColumn("new_kind", classify(F.col("text")))
+    return rows.withColumn("_judged", judgement(F.col("text"))).withColumn("drop", F.col("_judged.drop")).withColumn("new_kind", F.col("_judged.kind")).drop("_judged")
 
 
 def overlaid(judgements: DataFrame, external: DataFrame) -> DataFrame:

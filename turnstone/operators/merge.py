@@ -12,7 +12,7 @@ from ..functions.redact import redact
 from ..functions.score import base_importance
 from ..schemas import CONFLICTABLE, PROVENANCE
 from .graph import components, cut
-from .similarity import cosine, hashed_vector, similar_pairs
+from .similarity import cosine, hashed_vector, pairs_between, similar_pairs
 
 #: Cosines of a duplicate, and of statements that may contradict each other (fixed values).
 DUPLICATE, RELATED = 0.92, 0.4
@@ -61,25 +61,58 @@ def saved(events: DataFrame, now_ms: int) -> DataFrame:
     return inserted(events.withColumn("text", redact(F.col("text"))), now_ms)
 
 
-def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
-    """(a, b, cos, topic) of contradicting statements of a project, a the one with the smaller id; topic as the later one (b) names it.
+#: The scope of statements without a project among themselves, and of all statements as those meet them.
+_NONE, _ANY = "\x00", "\x01"
 
-    rows: id, project, kind, text, vec. A contradiction needs a link, a subject both have or a choice that the
-    other rejects, so an equi-join on (project, link) finds every pair, however dissimilar in other words.
-    """
-    rows = features.with_features(rows.where(F.col("kind").isin(*CONFLICTABLE)))
-    links = F.array_distinct(F.concat("subjects", "alts", F.when(F.col("choice").isNotNull(), F.array("choice")).otherwise(F.array().cast("array<string>"))))
-    side = lambda p: rows.select("project", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "choice", "alts", "subjects", "pred", "vec")), F.explode(links).alias("link"))
-    pairs = side("a").join(side("b"), ["project", "link"]).where("a_id < b_id").where(features.contradicts("a_", "b_"))
-    # a pair that shares several links stays with the first
-    shared = F.array_sort(F.array_intersect(_links("a_"), _links("b_")))
-    pairs = pairs.where(F.col("link") == F.try_element_at(shared, F.lit(1)))
-    scored = pairs.withColumn("cos", cosine(F.col("a_vec"), F.col("b_vec"))).where((F.col("cos") >= related) & (F.col("cos") < duplicate))
-    return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "cos", features.topic("b_", "a_").alias("topic"))
+
+def _looser(rows: DataFrame) -> bool:
+    """Whether some later row has no project, and so meets the rows of all projects."""
+    return not rows.where("project is null and not stored").isEmpty()
 
 
-def _links(p: str) -> Column:
-    return F.array_distinct(F.concat(f"{p}subjects", f"{p}alts", F.when(F.col(f"{p}choice").isNotNull(), F.array(f"{p}choice")).otherwise(F.array().cast("array<string>"))))
+def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
+    """(a, b, cos, topic) of contradicting statements, a the one with the smaller id; topic as the later one (b) names it.
+
+    rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out. A row meets the earlier ones of its
+    project, and one without a project those of all projects. A contradiction needs a link: a subject both have, or, where both choose, a choice
+    that the other rejects; so an equi-join on (scope, link) finds every pair, however dissimilar in other words. Features are
+    worked out once and written; vectors join the pairs that contradict each other.
+    """
+    rows = rows if "stored" in rows.columns else rows.withColumn("stored", F.lit(False))
+    rows = rows.where(F.col("kind").isin(*CONFLICTABLE))
+    feats = cut(features.with_features(rows).select("id", "project", "stored", "choice", "alts", "subjects", "pred"))
+    own, none = F.coalesce("project", F.lit(_NONE)), F.array().cast("array<string>")
+    # statements of choices meet by any link, assertions by subjects
+    chosen = F.when(F.col("choice").isNotNull(), _linked("c", F.array_distinct(F.concat("subjects", "alts", F.array("choice"))))).otherwise(_linked("c", none))
+    said = F.when(F.col("pred").isNotNull(), _linked("p", F.array_distinct("subjects"))).otherwise(_linked("p", none))
+    loose = _looser(feats)
+    early = F.when(F.col("project").isNull() | F.lit(not loose), F.array(own)).otherwise(F.array(own, F.lit(_ANY)))
+    late = F.when(F.col("project").isNull() & F.lit(loose), F.array(own, F.lit(_ANY))).otherwise(F.array(own))
+    side = lambda d, p, scopes: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "choice", "alts", "subjects", "pred")), F.explode(scopes).alias("scope"), F.concat(chosen, said).alias("links")).select("*", F.explode("links").alias("link")).drop("links")
+    pairs = side(feats, "a", early).join(side(feats.where("not stored"), "b", late), ["scope", "link"]).where("a_id < b_id")
+    # a pair that shares several links stays with the first; if both choose, what they assert doesn't count
+    both = F.col("a_choice").isNotNull() & F.col("b_choice").isNotNull()
+    links = lambda p: F.when(both, F.concat(f"{p}_subjects", f"{p}_alts", F.array(f"{p}_choice"))).otherwise(F.col(f"{p}_subjects"))
+    first = F.concat(F.when(both, "c").otherwise("p"), F.try_element_at(F.array_sort(F.array_intersect(links("a"), links("b"))), F.lit(1)))
+    found = pairs.where(F.col("link") == first).where(features.contradicts("a_", "b_")).select("a_id", "b_id", features.topic("b_", "a_").alias("topic"))
+    vec = lambda p: rows.select(F.col("id").alias(f"{p}_id"), F.col("vec").alias(f"{p}_vec"))
+    scored = found.join(vec("a"), "a_id").join(vec("b"), "b_id").withColumn("cos", cosine(F.col("a_vec"), F.col("b_vec"))).where((F.col("cos") >= related) & (F.col("cos") < duplicate))
+    return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "cos", "topic")
+
+
+def _linked(mode: str, words: Column) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(mode), w))
+
+
+def _duplicate_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, cos) of new rows and the earlier rows that they meet; stored rows aren't paired with each other."""
+    scoped = rows.select("id", F.coalesce("project", F.lit(_NONE)).alias("scope"), "vec", "stored", "project")
+    new = scoped.where("not stored")
+    pairs = similar_pairs(new.select("id", F.col("scope").alias("project"), "vec"), least).unionByName(pairs_between(scoped.where("stored"), new, least))
+    if not _looser(rows):
+        return pairs
+    anywhere = lambda d: d.withColumn("scope", F.lit(_ANY))
+    return pairs.unionByName(pairs_between(anywhere(scoped.where("project is not null")), anywhere(new.where("project is null")), least))
 
 
 def _fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -115,10 +148,9 @@ def merged(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICA
     rows: id (order of arrival; stored rows come first), stored (whether it is an active memory already), project, kind, ts,
     text, vec. What becomes of a row depends only on the rows linked to it, so linked components are folded apart:
     nearest active duplicate first, then nearest active contradiction (the newer by ts stays active), else it is inserted.
-    Rows without a project are merged among themselves.
+    A row without a project meets earlier rows of all projects; one with a project only those of its own.
     """
-    rows = rows.withColumn("project", F.coalesce("project", F.lit("\x00")))
-    same = similar_pairs(rows, duplicate).select("a", "b", "cos", F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic"))
+    same = _duplicate_pairs(rows, duplicate).select("a", "b", "cos", F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic"))
     other = conflicts(rows, related, duplicate).select("a", "b", "cos", F.lit(False).alias("duplicate"), "topic")
     edges = cut(same.unionByName(other))
     roots = components(edges.select("a", "b"))
@@ -163,16 +195,18 @@ def contradiction_log(results: DataFrame, rows: DataFrame, now_ms: int) -> DataF
     )
 
 
-def ingest(events: DataFrame, stored: DataFrame, now_ms: int, vectors=hashed_vector, related: float = RELATED, duplicate: float = DUPLICATE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(events: DataFrame, stored: DataFrame, now_ms: int, vectors=hashed_vector, related: float = RELATED, duplicate: float = DUPLICATE, stored_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, memories, contradictions) of events (EVENT columns, seq) merged into stored memories (MEMORY columns).
 
-    vectors: a column function of texts. New rows get ids above the stored ones, in order of seq and place.
+    vectors: a column function of texts; stored_vectors: (id, vec) of the stored rows, where they needn't be worked out anew. New rows
+    get ids above the stored ones, in order of seq and place.
     """
     rows = statements(events)
     top = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first().top
-    new = cut(numbered(rows, ["seq", "cand"], top + 1))
-    nodes = stored.where("status = 'active'").select("id", F.lit(True).alias("stored"), "project", "kind", "ts", "text")
-    nodes = nodes.unionByName(new.select("id", F.lit(False).alias("stored"), "project", "kind", "ts", "text")).withColumn("vec", vectors(F.col("text")))
+    new = cut(numbered(rows, ["seq", "cand"], top + 1).withColumn("vec", vectors(F.col("text"))))
+    old = stored.where("status = 'active'").select("id", F.lit(True).alias("stored"), "project", "kind", "ts", "text")
+    old = old.withColumn("vec", vectors(F.col("text"))) if stored_vectors is None else old.join(stored_vectors.select("id", "vec"), "id")
+    nodes = old.unionByName(new.select("id", F.lit(False).alias("stored"), "project", "kind", "ts", "text", "vec"))
     results = cut(merged(nodes, related, duplicate))
     memories, log = applied(stored, new.select("id", "source", "tool", "model", "ts", "project", "role", "text", "kind"), results, now_ms)
     return results.join(new.select("id", F.col("text").alias("candidate_text")), "id"), memories, log

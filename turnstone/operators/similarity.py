@@ -40,33 +40,87 @@ def cosine_of_distance(d: Column, squared: bool = True) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - (d if squared else d * d) / 2))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, scoped: bool = True, salts: int = 1) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (id, scope, vec) of both sides (left: whose), dealt into blocks so that every two blocks of a scope meet once, at (scope, i, j)."""
+    count = lambda d, n: d.groupBy("scope").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
+    sizes = count(left, "ni").join(count(right, "nj"), "scope")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.select("id", "scope", "vec").join(sizes, "scope").withColumn("i", place("ni")).withColumn("j", every("nj"))
+    b = right.select("id", "scope", "vec").join(sizes, "scope").withColumn("j", place("nj")).withColumn("i", every("ni"))
+    return a.select("scope", "i", "j", "id", "vec", F.lit(True).alias("left")).unionByName(b.select("scope", "i", "j", "id", "vec", F.lit(False).alias("left")))
+
+
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    return np.array(frame["vec"].tolist(), float).reshape(len(frame), -1)
+
+
+def best_in_blocks(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """(qid, id, dot) of at least the k rows with the greatest inner products for each query, by matrix products of blocks.
+
+    queries: qid, scope, vec; rows: id, scope, vec; a query meets the rows of its scope but the one with its own id. Each two blocks
+    pass on a query's k best and what equals the last of them in nine digits; the caller ranks.
+    """
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        q, r, out = frame[frame["left"]], frame[~frame["left"]], []
+        if len(q) and len(r):
+            x, ids = _matrix(r).T, r["id"].to_numpy()
+            for lo in range(0, len(q), 256):
+                part = q.iloc[lo : lo + 256]
+                qids = part["id"].to_numpy()
+                c = _matrix(part) @ x
+                c[qids[:, None] == ids[None, :]] = -np.inf
+                last = np.partition(c, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                i, j = np.nonzero((c >= last[:, None] - 3e-9) & (c > -np.inf))
+                out.append(pd.DataFrame({"qid": qids[i], "id": ids[j], "dot": c[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dot": pd.Series(dtype=float)})
+
+    return _met(queries.withColumnRenamed("qid", "id"), rows, block_rows).groupBy("scope", "i", "j").applyInPandas(local, "qid long, id long, dot double")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, scoped: bool = True, active_only: bool = False) -> DataFrame:
     """(qid, id, cos, rank) of each query's k nearest rows.
 
-    queries: qid, project, vec; rows: id, project, vec. scoped: in the query's project, or everywhere for a null project.
-    The query's own id is left out. salts splits a large project over tasks, each with its own k best.
+    queries: qid, project, vec; rows: id, project, vec (and status). scoped: in the query's project, or everywhere for a null project.
+    The query's own id is left out; active_only leaves out superseded rows too.
     """
     k = max(1, min(k, 50))
-    q = queries.select("qid", F.col("project").alias("qp"), F.col("vec").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    r = rows.select("id", "project", "vec", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("part"))
+    rows = rows.where("status = 'active'") if active_only else rows
+    everywhere = queries.where("project is null") if scoped else queries
+    found = best_in_blocks(everywhere.select("qid", F.lit("").alias("scope"), "vec"), rows.select("id", F.lit("").alias("scope"), "vec"), k)
     if scoped:
-        pairs = q.where("qp is not null").join(r, (F.col("qp") == F.col("project")) & (F.col("salt") == F.col("part")))
-        pairs = pairs.unionByName(q.where("qp is null").join(r, F.col("salt") == F.col("part")))
-    else:
-        pairs = q.join(r, F.col("salt") == F.col("part"))
-    scored = pairs.where("id <> qid").select("qid", "id", "salt", cosine(F.col("qv"), F.col("vec")).alias("cos"))
-    if salts > 1:
-        part = Window.partitionBy("qid", "salt").orderBy(F.desc(F.round("cos", 9)), "id")
-        scored = scored.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k)
+        named = lambda d, i: d.where("project is not null").select(i, F.col("project").alias("scope"), "vec")
+        found = found.unionByName(best_in_blocks(named(queries, "qid"), named(rows, "id"), k))
+    found = found.select("qid", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "dot")).alias("cos"))
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "id", "cos", "rank")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "id", "cos", "rank")
+
+
+def _above(x: pd.DataFrame, y: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(a, b, cos) of the rows of x and y with a < b and a cosine of `least` and more, by products of bounded size."""
+    out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cos": pd.Series(dtype=float)})]
+    if len(x) and len(y):
+        right, a, b = _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
+        for lo in range(0, len(x), 256):
+            c = np.clip(_matrix(x.iloc[lo : lo + 256]) @ right, -1, 1)
+            i, j = np.nonzero((c >= least) & (a[lo : lo + 256, None] < b[None, :]))
+            out.append(pd.DataFrame({"a": a[lo + i], "b": b[j], "cos": c[i, j]}))
+    return pd.concat(out)
+
+
+def pairs_between(earlier: DataFrame, later: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
+    """(a, b, cos) with a < b of rows (id, scope, vec) of both tables that have one scope and a cosine of `least` and more."""
+    met = _met(earlier, later, block_rows).groupBy("scope", "i", "j")
+    return met.applyInPandas(lambda f: _above(f[f["left"]], f[~f["left"]], least), "a long, b long, cos double")
 
 
-def similar_pairs(rows: DataFrame, least: float, block_rows: int = 1024) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
     """(a, b, cos) with a < b of all pairs of rows (id, project, vec) of a project whose cosine is at least `least`.
 
-    A project's rows are dealt into blocks of about block_rows; every two blocks meet once, in a matrix product,
-    and only pairs that pass leave the task.
+    A project's rows are dealt into blocks of about block_rows; every two blocks meet once, in matrix products of bounded
+    size, and only pairs that pass leave the task. The work is quadratic in a project's rows, and each row is copied once for every
+    block of its project: projects of many millions of rows are the known limit.
     """
     sizes = rows.groupBy("project").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "project").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -75,14 +129,8 @@ def similar_pairs(rows: DataFrame, least: float, block_rows: int = 1024) -> Data
 
     def product(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
-        x = frame[frame["block"] == lo]
-        y = frame[frame["block"] == hi]
-        c = np.clip(np.array(x["vec"].tolist(), float) @ np.array(y["vec"].tolist(), float).T, -1, 1)
-        i, j = np.nonzero(c >= least)
-        a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        keep = a < b if lo == hi else np.ones(len(a), bool)
-        a, b, s = a[keep], b[keep], c[i, j][keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": s})
+        x, y = frame[frame["block"] == lo], frame[frame["block"] == hi]
+        return _above(x, y, least) if lo == hi else pd.concat([_above(x, y, least), _above(y, x, least)])
 
     return spread.select("project", "lo", "hi", "block", "id", "vec").groupBy("project", "lo", "hi").applyInPandas(product, "a long, b long, cos double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,12 @@ def listed(memories: DataFrame, limit: int = 25, offset: int = 0, **filters) ->
     return page(filtered(memories, **filters), [F.desc("last_seen"), F.col("id")], limit, offset)
 
 
-def listed_hits(hits: DataFrame, limit: int = 25, offset: int = 0, **filters) -> tuple[DataFrame, DataFrame]:
-    """A page of one query's search hits (at most 100) after the same filters."""
-    return page(filtered(hits, **filters), [F.col("rank")], limit, offset)
+def listed_hits(hits: DataFrame, limit: int = 25, offset: int = 0, **filters) -> DataFrame:
+    """A page of each query's search hits (qid; at most 100 of each) after the same filters, with the total of all its pages."""
+    limit, offset = max(1, min(limit, 200)), max(0, offset)
+    mine = Window.partitionBy("qid")
+    rows = filtered(hits, **filters).withColumn("place", F.row_number().over(mine.orderBy("rank"))).withColumn("total", F.count("*").over(mine))
+    return rows.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
 def contradictions_page(contradictions: DataFrame, project: str | None = None, limit: int = 25, offset: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +60,16 @@ def contradictions_page(contradictions: DataFrame, project: str | None = None, l
     return page(rows, [F.desc("created_at"), F.desc("id")], limit, offset)
 
 
-def import_report(events: DataFrame, results: DataFrame) -> DataFrame:
-    """One row: turns, candidates, inserted, merged, superseded."""
+def import_report(events: DataFrame, results: DataFrame, memories: DataFrame, contradictions: DataFrame, log: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+    """One row: conversations, turns, candidates, inserted, merged, superseded and new contradictions of an import, and after it
+    the store's total, active and superseded_total memories and contradictions_total.
+
+    memories: the table after the import; contradictions: those stored before; log: the new ones; conversations: (file, pos) of what was read.
+    """
     acts = results.agg(F.count("*").alias("candidates"), *(F.count_if(F.col("action") == a).alias(n) for a, n in (("inserted", "inserted"), ("deduped", "merged"), ("superseded", "superseded"))))
-    return events.agg(F.count("*").alias("turns")).join(acts, F.lit(True))
+    after = stats(memories, contradictions.select(F.lit(1).alias("x")).unionByName(log.select(F.lit(1).alias("x"))))
+    after = after.withColumnRenamed("superseded", "superseded_total").withColumnRenamed("contradictions", "contradictions_total")
+    convos = (events.select("conv") if conversations is None else conversations.select(F.struct("file", "pos").alias("conv"))).agg(F.count_distinct("conv").alias("conversations"))
+    new = log.agg(F.count("*").alias("contradictions"))
+    one = F.lit(True)
+    return convos.join(events.agg(F.count("*").alias("turns")), one).join(acts, one).join(new, one).join(after, one)

@@ -138,12 +138,46 @@ def token_entropy(spark, sf_dir):
     return rows.select("doc_id", "token", F.round(text.entropy(F.col("token")), 6).alias("entropy"))
 
 
-@query()
+def _sql_states(source: str) -> str:
+    """CTEs t0, t1, ...: doc_id and the text t before each step; the last is before the step for tokens."""
+    out = [f"t0 AS ({source})"]
+    for i, (_, p, _, new) in enumerate(redact.STEPS):
+        p, new = redact.pattern(p, edge=r"\b", space=d.SPACE).replace("'", "''"), new.replace("$1", chr(92) + "1").replace("$2", chr(92) + "2")
+        out.append(f"t{i + 1} AS MATERIALIZED (SELECT doc_id, regexp_replace(t, '{p}', '{new}', 'g') AS t FROM t{i})")
+    return ", ".join(out)
+
+
+_TOKEN = r"\b[A-Za-z0-9+/_=-]{40,}\b"
+_ENTROPY = "(SELECT -sum(k / n * log2(k / n)) FROM (SELECT count(*) AS k, length(token) AS n FROM (SELECT unnest(string_split(token, '')) AS ch) WHERE ch <> '' GROUP BY ch))"
+_HIGH = f"regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]') AND {_ENTROPY} >= 4"
+
+
+def _sql_findings() -> str:
+    hits = [f"SELECT doc_id, '{name}' AS type, unnest(regexp_extract_all(t, '{redact.pattern(p, edge=chr(92) + 'b', space=d.SPACE).replace(chr(39), chr(39) * 2)}', {group})) AS m FROM t{i}" for i, (name, p, group, _) in enumerate(redact.STEPS)]
+    high = f"SELECT doc_id, 'high-entropy', token FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM t{len(redact.STEPS)}) WHERE {_HIGH}"
+    flat, n = d.s_trim(f"regexp_replace(m, '[{d.SPACE}]+', ' ', 'g')"), d.s_length("m")
+    return f"""WITH {_sql_states("SELECT doc_id, text AS t FROM documents")}, f AS ({' UNION ALL '.join(hits)} UNION ALL {high}), g AS (SELECT doc_id, type, {flat} AS m FROM f)
+        SELECT doc_id, type, CASE WHEN {n} <= 6 THEN repeat('*', {n}) ELSE m[1:3] || '…' || m[-2:] || ' (' || {n} || ' chars)' END AS preview FROM g"""
+
+
+@query(_sql_findings())
 def redact_findings(spark, sf_dir):
     rows = redact.with_redaction(d.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.type", "f.preview")
 
 
+# a hash in base 64, and one in hexadecimal digits, whose entropy is below the limit
+@query(f"""WITH x AS (SELECT doc_id, rtrim(to_base64(unhex(sha256(text))), '=') AS b, sha256(text) AS h FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, 'see ' || b || ' and ' || h || '.' AS t FROM x),
+    k AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM s), c AS (SELECT doc_id, token FROM k WHERE {_HIGH}),
+    l AS (SELECT doc_id, list(token ORDER BY length(token) DESC) AS tokens FROM c GROUP BY doc_id)
+    SELECT s.doc_id, md5(list_reduce(list_prepend(t, coalesce(tokens, [])), lambda a, token: replace(a, token, '[REDACTED:token]'))) AS text_md5, len(coalesce(tokens, [])) AS tokens FROM s LEFT JOIN l USING (doc_id)""")
+def redact_high_entropy(spark, sf_dir):
+    b, h = F.rtrim(F.base64(F.unhex(F.sha2("text", 256))), F.lit("=")), F.sha2("text", 256)
+    rows = d.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("see "), b, F.lit(" and "), h, F.lit(".")).alias("t"))
+    found = redact.with_redaction(rows, "t")
+    return found.select("doc_id", F.md5("t").alias("text_md5"), F.size(F.filter("found", lambda f: f["type"] == "high-entropy")).cast("long").alias("tokens"))
+
+
 @query(f"""WITH r AS (SELECT {_s_redact("coalesce(text, '')")} AS t FROM documents), f AS (SELECT unnest(regexp_extract_all(t, '\\[REDACTED:([a-z-]+)\\]', 1)) AS tag FROM r)
     SELECT tag, count(*) AS n FROM f GROUP BY tag""")
 def redaction_report(spark, sf_dir):
@@ -246,7 +280,7 @@ def similar_pairs(spark, sf_dir):
     n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, id) AS rank FROM p) SELECT qid, id, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 5""")
 def nearest_neighbours(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return similarity.nearest(rows.withColumnRenamed("id", "qid"), rows, k=5, salts=4).select("qid", "id", F.round("cos", 6).alias("cos"), "rank")
+    return similarity.nearest(rows.withColumnRenamed("id", "qid"), rows, k=5).select("qid", "id", F.round("cos", 6).alias("cos"), "rank")
 
 
 @query(f"""WITH v AS ({_VEC}), p AS ({_PAIRS}), n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(cos, 9) DESC, a) AS k FROM p WHERE cos >= 0.4)
@@ -332,8 +366,9 @@ def merge_schema() -> str:
 
 @query()
 def import_report(spark, sf_dir):
-    results, _, _ = _ingested(spark, sf_dir)
-    return views.import_report(d.statements(spark, sf_dir), results)
+    results, memories, log = _ingested(spark, sf_dir)
+    before = spark.createDataFrame([], "id long")
+    return views.import_report(d.statements(spark, sf_dir).withColumn("conv", F.col("project")), results, memories, before, log)
 
 
 # --- E: retrieval ---
@@ -342,9 +377,8 @@ def _queries(spark, sf_dir) -> DataFrame:
 
 
 _Q = "SELECT item_id AS qid, text AS query FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL"
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-_ACCENTS2 = (_ACCENTS[0] + "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", _ACCENTS[1] + "aaaaaaceeeeiiiinooooouuuuy")
-_BM25 = rf"""WITH q AS ({_Q}), asked AS (SELECT qid, term, count(*) AS n FROM (SELECT qid, unnest({d.s_terms(f"translate(query, '{_ACCENTS2[0]}', '{_ACCENTS2[1]}')")}) AS term FROM q) GROUP BY qid, term),
+_ACCENTS = (retrieve.MARKED, retrieve.PLAIN)
+_BM25 = rf"""WITH q AS ({_Q}), asked AS (SELECT qid, term, count(*) AS n FROM (SELECT qid, unnest({d.s_terms(f"translate(query, '{_ACCENTS[0]}', '{_ACCENTS[1]}')")}) AS term FROM q) GROUP BY qid, term),
     w AS (SELECT id, regexp_extract_all(translate(lower(text), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '[\p{{L}}\p{{N}}]+') AS w FROM ({d.SQL_MEMORIES})), size AS (SELECT count(*) AS docs, avg(len(w)) AS avgdl FROM w),
     idx AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     idf AS (SELECT term, greatest(ln((docs - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf, avgdl FROM idx, size GROUP BY term, docs, avgdl),
@@ -383,7 +417,7 @@ def _searchable(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query(_VECTOR + " SELECT qid, id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM ve WHERE rank <= 32")
 def vector_topk(spark, sf_dir):
     queries, rows = _searchable(spark, sf_dir)
-    found = retrieve.vector_ranks(queries, rows.where("vec is not null"), 32, salts=4)
+    found = retrieve.vector_ranks(queries, rows.where("vec is not null"), 32)
     return found.select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
@@ -397,13 +431,13 @@ def _sql_search(limit: int, where: str = "status = 'active'") -> str:
 
 def _search(spark, sf_dir, limit: int) -> DataFrame:
     queries, rows = _searchable(spark, sf_dir)
-    return retrieve.search(queries, rows, d.NOW, limit, salts=4)
+    return retrieve.search(queries, rows, d.NOW, limit)
 
 
 @query(_sql_search(8) + " SELECT qid, id, round(p, 6) AS rrf, round(dd, 6) + 0 AS distance FROM (SELECT qid, id, rrf AS p, distance AS dd FROM fu)")
 def rank_fusion(spark, sf_dir):
     queries, rows = _searchable(spark, sf_dir)
-    both = retrieve.fused(retrieve.vector_ranks(queries, rows.where("vec is not null"), 32, 4), retrieve.keyword_ranks(queries, rows.select("id", "text"), 32))
+    both = retrieve.fused(retrieve.vector_ranks(queries, rows.where("vec is not null"), 32), retrieve.keyword_ranks(queries, rows.select("id", "text"), 32))
     return both.select("qid", "id", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
@@ -433,13 +467,10 @@ def search_packed(spark, sf_dir):
 
 
 @query(_sql_search(20) + f""", l AS (SELECT *, {_LINE} AS line FROM top), k AS ({_s_packed('l', 'qid')}), b AS (SELECT qid, string_agg(line, chr(10) ORDER BY rank) AS body FROM k GROUP BY qid)
-    SELECT q.qid, md5(coalesce('Memories for "' || query || '":' || chr(10) || body, 'No memories found for: "' || query || '".')) AS block_md5 FROM q LEFT JOIN b USING (qid) WHERE q.qid IN (SELECT qid FROM qv)""")
+    SELECT q.qid, md5(coalesce('Memories for "' || query || '":' || chr(10) || body, 'Nothing is remembered about "' || query || '".')) AS block_md5 FROM q LEFT JOIN b USING (qid) WHERE q.qid IN (SELECT qid FROM qv)""")
 def rendered_search(spark, sf_dir):
-    queries, _ = _searchable(spark, sf_dir)
-    lines = retrieve.packed(_search(spark, sf_dir, 20).withColumn("line", retrieve.memory_line()), ["qid"])
-    out = queries.select("qid", "query").join(retrieve.rendered(lines, ["qid"]), "qid", "left")
-    found = F.concat(F.lit('Memories for "'), "query", F.lit('":\n'), "body")
-    return out.select("qid", F.md5(F.coalesce(found, F.concat(F.lit('No memories found for: "'), "query", F.lit('".')))).alias("block_md5"))
+    queries, rows = _searchable(spark, sf_dir)
+    return retrieve.searched(queries, rows, d.NOW).select("qid", F.md5("block").alias("block_md5"))
 
 
 @query(f"SELECT project, id, CAST(rank AS INTEGER) AS rank FROM (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY last_seen DESC, id) AS rank FROM ({d.SQL_MEMORIES}) WHERE status = 'active') WHERE rank <= 10")
@@ -461,8 +492,8 @@ def _log(spark, sf_dir) -> DataFrame:
     o AS (SELECT *, {_LINE} AS line, row_number() OVER (PARTITION BY project ORDER BY round(importance + pow(0.5, greatest(0, {d.NOW} - last_seen) / {score.HALF_LIFE_MS}), 9) DESC, last_seen DESC, id) AS rank FROM r),
     p AS ({_s_packed('o', 'project')}), b AS (SELECT project, string_agg(line, chr(10) ORDER BY rank) AS body FROM p GROUP BY project),
     c AS (SELECT project, count(*) AS n, arg_max(active_text, created_at) AS a, arg_max(superseded_text, created_at) AS s FROM ({SQL_LOG}) GROUP BY project)
-    SELECT b.project, md5(CASE WHEN b.project IS NULL THEN 'Known memory (all projects):' ELSE 'Known memory for "' || b.project || '":' END || chr(10) || body ||
-           coalesce(chr(10) || chr(10) || 'Heads up: ' || c.n || ' unresolved contradiction(s) on record. Most recent: "' || a || '" (now) vs "' || s || '" (old).', '')) AS block_md5
+    SELECT b.project, md5(CASE WHEN b.project IS NULL THEN 'Remembered outside projects:' ELSE 'Remembered of "' || b.project || '":' END || chr(10) || body ||
+           coalesce(chr(10) || chr(10) || 'Contradictions so far: ' || c.n || '. The latest: "' || a || '" took the place of "' || s || '".', '')) AS block_md5
     FROM b LEFT JOIN c ON b.project IS NOT DISTINCT FROM c.project""")
 def resume_projects(spark, sf_dir):
     out = retrieve.resumed(d.memories(spark, sf_dir), _log(spark, sf_dir), d.NOW)
@@ -480,9 +511,10 @@ def list_total(spark, sf_dir):
     return views.listed(d.memories(spark, sf_dir), project="en", source="tool1")[1]
 
 
-@query(_sql_search(100) + " SELECT qid, count(*) AS total FROM top WHERE kind = 'decision' GROUP BY qid")
+@query(_sql_search(100) + """, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place, count(*) OVER (PARTITION BY qid) AS total FROM top WHERE kind = 'decision')
+    SELECT qid, id, CAST(place AS INTEGER) AS place, total FROM p WHERE place > 2 AND place <= 7""")
 def list_with_query(spark, sf_dir):
-    return views.filtered(_search(spark, sf_dir, 100), kind="decision").groupBy("qid").agg(F.count("*").alias("total"))
+    return views.listed_hits(_search(spark, sf_dir, 100), 5, 2, kind="decision").select("qid", "id", "place", "total")
 
 
 # --- F: scores, aggregates, maintenance ---

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +26,13 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conversations(texts: DataFrame) -> DataFrame:
-    """(file, pos, convo) of rows (file, value) of JSON text; what is no JSON gives none."""
-    whole = texts.select("file", F.try_parse_json("value").alias("v"))
+    """(file, pos, convo, json) of rows (file, value) of JSON text; what is no JSON gives none. json: the conversation's own text,
+    in which keys keep their order; a VARIANT sorts them."""
+    whole = texts.select("file", "value", F.try_parse_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.conversations", "array<variant>"), F.array("v"))
-    rows = whole.where("v is not null").select("file", F.posexplode(items).alias("pos", "convo"))
-    return rows.where(F.schema_of_variant("convo").startswith("OBJECT"))
+    plain = F.coalesce(F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.conversations"), "array<string>"), F.array("value"))
+    rows = whole.where("v is not null").select("file", F.posexplode(F.arrays_zip(items.alias("convo"), plain.alias("json"))).alias("pos", "c"))
+    return rows.select("file", "pos", F.col("c.convo").alias("convo"), F.col("c.json").alias("json")).where(F.schema_of_variant("convo").startswith("OBJECT"))
 
 
 def _text(path: str, of: Column | str = "convo") -> Column:
@@ -70,31 +72,33 @@ def newest(convos: DataFrame, created_ms: Column, most: int | None) -> DataFrame
     return convos.orderBy(F.coalesce(created_ms, F.lit(0)).desc(), "file", "pos").limit(most)
 
 
-_NODE = "struct<parent:string,children:array<string>,role:string,hidden:boolean,model:string,seconds:double,parts:array<string>,text:string>"
-
-
-def _active_thread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The turns of each conversation's active thread: up the parents from the current node, else down first children from the first root."""
-    for f in frames:
-        out = []
-        for i, nodes, current in zip(f["rid"], f["nodes"], f["current"]):
-            by_id = {n["id"]: n for n in nodes}
-            chain: dict[str, None] = {}
-            if current in by_id:
-                at = current
-                while at and at not in chain:
+def _active_thread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the nodes of each conversation's active thread, in order: up the parents from the current node, else down first
+    children from the first root in the order of the file."""
+    for batch in batches:
+        nodes, flat = batch["nodes"], batch["nodes"].flatten()
+        starts = [o.as_py() - nodes.offsets[0].as_py() for o in nodes.offsets]
+        ids, parents, children = (flat.field(c).to_pylist() for c in ("id", "parent", "children"))
+        taken, ends = [], [0]
+        for lo, hi, current in zip(starts, starts[1:], batch["current"].to_pylist()):
+            place = {ids[k]: k for k in range(lo, hi)}
+            chain: dict[int, None] = {}
+            if current in place:
+                at = place[current]
+                while at is not None and at not in chain:
                     chain[at] = None
-                    at = by_id[at]["parent"] if at in by_id else None
+                    at = place.get(parents[at])
                 order = list(chain)[::-1]
             else:
-                at = next((n["id"] for n in nodes if not n["parent"] or n["parent"] not in by_id), None)
-                while at and at not in chain:
+                at = next((k for k in range(lo, hi) if not parents[k] or parents[k] not in place), None)
+                while at is not None and at not in chain:
                     chain[at] = None
-                    children = by_id[at]["children"] if at in by_id else None
-                    at = children[0] if children is not None and len(children) else None
+                    at = place.get(children[at][0]) if children[at] else None
                 order = list(chain)
-            out.append((i, [n for n in order if n in by_id]))
-        yield pd.DataFrame(out, columns=["rid", "thread"])
+            taken += order
+            ends.append(len(taken))
+        thread = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(taken, pa.int64())))
+        yield pa.RecordBatch.from_arrays([thread if name == "nodes" else batch[name] for name in batch.schema.names], names=batch.schema.names)
 
 
 def parse_chatgpt(convos: DataFrame, now_ms: int, project: str | None = None, since: int | None = None, most: int | None = None) -> DataFrame:
@@ -105,17 +109,11 @@ def parse_chatgpt(convos: DataFrame, now_ms: int, project: str | None = None, si
     """
     created = seconds_to_ms(_number("$.create_time"))
     rows = newest(convos, created, most)
-    entry = F.from_json(F.to_json(F.try_variant_get("convo", "$.mapping", "map<string,variant>")), "map<string,string>")
+    entry = F.from_json(F.get_json_object("json", "$.mapping"), "map<string,string>")
     nodes = F.transform(F.filter(F.map_entries(entry), lambda e: F.schema_of_variant(F.try_parse_json(e["value"])).startswith("OBJECT")), lambda e: _node(e["key"], F.try_parse_json(e["value"])))
     rows = rows.select("file", "pos", created.alias("created"), _text("$.title").alias("title"), _text("$.current_node").alias("current"), F.coalesce(nodes, F.array()).alias("nodes"))
-    rows = rows.withColumn("rid", F.xxhash64("file", "pos"))
-    # the walk needs ids and links only; the order it finds is joined by position inside the row
-    links = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["parent"].alias("parent"), n["children"].alias("children")))
-    walked = rows.select("rid", "file", "pos", "created", "title", "nodes", links.alias("links"), "current")
-    threads = walked.select("rid", F.col("links").alias("nodes"), "current").mapInPandas(_active_thread, "rid long, thread array<string>")
-    rows = walked.drop("links", "current").join(threads, "rid")
-    turns = rows.select("file", "pos", "created", "title", "nodes", F.posexplode("thread").alias("turn", "node"))
-    turns = turns.withColumn("n", F.try_element_at(F.filter("nodes", lambda x: x["id"] == F.col("node")), F.lit(1)))
+    threads = rows.mapInArrow(_active_thread, rows.schema)
+    turns = threads.select("file", "pos", "created", "title", F.posexplode("nodes").alias("turn", "n"))
     body = F.concat(F.filter("n.parts", lambda p: trim(p) != ""), F.filter(F.array("n.text"), lambda p: p.isNotNull() & (trim(p) != "")))
     events = turns.where(F.col("n.role").isin("user", "assistant") & ~F.coalesce("n.hidden", F.lit(False))).withColumn("text", trim(F.array_join(body, "\n"))).where("text <> ''")
     events = events.select(

@@ -47,26 +47,41 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _snapshot(self) -> str | None:
+    def _current(self) -> tuple[int, int, str] | None:
+        """(number, first batch of vectors and postings, folder of memories) of the snapshot in use."""
         try:
             row = self.spark.read.text(f"{self.folder}/current").orderBy(F.desc("value")).first()
         except Exception as e:  # no snapshot yet
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
-        return row.value.split(" ", 1)[1] if row else None
+        if row is None:
+            return None
+        number, first, name = row.value.split(" ", 2)
+        return int(number), int(first), name
+
+    def number(self) -> int | None:
+        """The number of the snapshot in use."""
+        at = self._current()
+        return None if at is None else at[0]
 
     def memories(self) -> DataFrame:
-        name = self._snapshot()
-        return self.spark.createDataFrame([], MEMORY) if name is None else self.spark.read.parquet(f"{self.folder}/memories/{name}")
+        at = self._current()
+        return self.spark.createDataFrame([], MEMORY) if at is None else self.spark.read.schema(MEMORY).parquet(f"{self.folder}/memories/{at[2]}")
+
+    def _batches(self, name: str, schema: str) -> DataFrame:
+        """Batches of a table that only grows, but for those of snapshots that were never finished."""
+        at = self._current()
+        if at is None:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/{name}")
+        return rows.where(F.col("batch").between(at[1], at[0])).drop("batch")
 
     def vectors(self) -> DataFrame:
-        name = self._snapshot()
-        return self.spark.createDataFrame([], "id bigint, vec array<double>") if name is None else self.spark.read.parquet(f"{self.folder}/vectors/{name}")
+        return self._batches("vectors", "id bigint, vec array<double>")
 
     def postings(self) -> DataFrame:
-        name = self._snapshot()
-        return self.spark.createDataFrame([], "term string, id bigint, tf bigint, dl bigint") if name is None else self.spark.read.parquet(f"{self.folder}/postings/{name}")
+        return self._batches("postings", "term string, id bigint, tf bigint, dl bigint")
 
     def contradictions(self) -> DataFrame:
         try:
@@ -76,13 +91,17 @@ class Store:
                 return self.spark.createDataFrame([], CONTRADICTION)
             raise
 
-    def write(self, memories: DataFrame, vectors: DataFrame, postings: DataFrame | None, number: int) -> None:
-        """A new snapshot of the three tables; postings are left empty for encrypted texts. number orders snapshots."""
+    def write(self, memories: DataFrame, vectors: DataFrame, postings: DataFrame | None, number: int, whole: bool = True) -> None:
+        """A new snapshot; number orders snapshots. vectors and postings are those of all memories, or, if not whole, of the ones that
+        are new; texts never change, so that what is stored stays. Postings are left empty for encrypted texts."""
+        at = None if whole else self._current()
         name = uuid.uuid4().hex
         memories.write.partitionBy("status").parquet(f"{self.folder}/memories/{name}")
-        vectors.write.parquet(f"{self.folder}/vectors/{name}")
-        (postings if postings is not None else self.spark.createDataFrame([], "term string, id bigint, tf bigint, dl bigint")).write.parquet(f"{self.folder}/postings/{name}")
-        self.spark.createDataFrame([(f"{number:020d} {name}",)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/current")
+        vectors.write.mode("overwrite").parquet(f"{self.folder}/vectors/batch={number}")
+        empty = self.spark.createDataFrame([], "term string, id bigint, tf bigint, dl bigint")
+        (postings if postings is not None else empty).write.mode("overwrite").parquet(f"{self.folder}/postings/batch={number}")
+        line = f"{number:020d} {number if at is None else at[1]} {name}"
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/current")
 
     def append_contradictions(self, rows: DataFrame, number: int) -> None:
         """The log's rows of one batch; writing a batch again replaces them."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.graph import cut
 from ..operators.merge import ingest
 from ..operators.retrieve import postings
 from ..operators.similarity import hashed_vector
@@ -16,26 +17,20 @@ TURN = "source string, tool string, model string, project string, role string, t
 
 
 def merge_batch(store: Store, turns: DataFrame, batch_id: int, now_ms: int) -> None:
-    """One micro-batch of turn rows into the store. A batch that the store has seen already changes nothing."""
-    done = store.memories()
-    last = store_number(store)
+    """One micro-batch of turn rows into the store. A batch that the store has seen already changes nothing.
+
+    New statements meet each other and the stored ones, whose vectors are read; vectors and postings are written for new memories only.
+    """
+    last = store.number()
     if last is not None and last >= batch_id:
         return
+    done, vectors = store.memories(), store.vectors()
     events = captured_events(turns, now_ms).withColumn("seq", F.struct("conv", "turn"))
-    _, memories, log = ingest(events, done, now_ms)
+    _, memories, log = ingest(events, done, now_ms, stored_vectors=vectors)
+    memories = cut(memories)
     store.append_contradictions(log, batch_id)
-    store.write(memories, memories.select("id", hashed_vector(F.col("text")).alias("vec")), postings(memories.select("id", "text")), batch_id)
-
-
-def store_number(store: Store) -> int | None:
-    """The number of the snapshot in use, the id of the last batch."""
-    try:
-        row = store.spark.read.text(f"{store.folder}/current").agg(F.max("value").alias("v")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return int(row.v.split(" ")[0]) if row and row.v else None
+    new = memories.join(done.select("id"), "id", "left_anti").select("id", "text")
+    store.write(memories, new.select("id", hashed_vector(F.col("text")).alias("vec")), postings(new), batch_id, whole=False)
 
 
 def start(spark: SparkSession, source: str, store: Store, checkpoint: str, now_ms: int, files_per_batch: int = 100) -> StreamingQuery:

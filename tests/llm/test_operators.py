@@ -409,7 +409,7 @@ def test_decontamination(spark, odd, empty):
         for i in range(len(w) - n + 1 if w else 0):
             windows[tuple(w[i : i + n])].add(r.item_id)
     table = docs(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000))
-    found = decontamination.find_matches(table, items, block_words=300).select("doc_id", "n_words", decontamination.exact_hits(F.col("matches")).alias("hit"), decontamination.exact_items(F.col("matches")).alias("items"), "matches")
+    found = decontamination.find_matches(table, items).select("doc_id", "n_words", decontamination.exact_hits(F.col("matches")).alias("hit"), decontamination.exact_items(F.col("matches")).alias("items"), "matches")
     rows = found.collect()
     texts = collections.Counter((r.doc_id, r.text) for r in table.collect())
     assert len(rows) == table.count()
@@ -427,6 +427,11 @@ def test_decontamination(spark, odd, empty):
     near = spark.createDataFrame([(0, "aa bb cc dd ee ff gg hh ii jj kk ll mm"), (1, "nothing of it")], "doc_id long, text string")
     shuffled = spark.createDataFrame([(5, "mm ll kk jj ii hh gg ff ee dd cc bb aa")], "item_id long, text string")
     assert {r.doc_id: [m.kind for m in r.matches] for r in decontamination.find_matches(near, shuffled).collect()} == {0: ["near"], 1: []}
+    # items of one template: its windows are looked up once, and each item has them
+    template = spark.createDataFrame([(i, "which of these is the one that best fits what was said above then " + f"x{i} y{i}") for i in range(40)], "item_id long, text string")
+    doc = spark.createDataFrame([(0, "So: which of these is the one that best fits what was said above then X7 y7!"), (0, "x7 and y7 and x8"), (1, None)], "doc_id long, text string")
+    found = decontamination.find_matches(doc, template).select("n_words", decontamination.exact_hits(F.col("matches")).alias("hit"), F.size(decontamination.exact_items(F.col("matches"))).alias("n")).collect()
+    assert sorted(map(tuple, found)) == [(0, 0, 0), (5, 0, 0), (17, 16, 40)]
     assert decontamination.find_matches(empty, items).count() == 0
     assert {len(r.matches) for r in decontamination.find_matches(odd, items.where("false")).collect()} == {0}
     q = {r.doc_id: r for r in queries.op8_decontamination(spark, DATA).collect()}

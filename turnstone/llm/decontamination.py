@@ -2,9 +2,12 @@
 
 Every test item gives windows of consecutive words. A window is looked up by its rarest word over
 the whole corpus (its anchor). The index holds one posting for each place of an anchor word in a document:
-(term, document, position) with the ids of the test terms at the positions around it, that is, the
+(term, document, position) with the test terms at the positions around it, that is, the
 entries of the other terms' lists at those offsets. Postings meet the test windows by term, are intersected with the window's
-other terms from rarest to commonest at their offsets, and give exact phrase and proximity matches.
+other terms at their offsets, and give exact phrase and proximity matches.
+
+Terms are 64-bit hashes of words, on both sides. Test items, their terms' frequencies, windows and anchors are tables
+like the postings; what goes to all tasks is two bitmaps of fixed size.
 """
 
 from __future__ import annotations
@@ -13,166 +16,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
-from .words import slices, texts
+from .bits import Bits
+from .scratch import small_batches, written
+from .words import PUNCTUATION, slices, texts, word_hashes
+
+#: Bits of the maps of test terms and anchors.
+TERM_BITS = 1 << 24
+#: Places outside a document, or without a test term, and outside an item.
+NOWHERE, OUTSIDE = -1, -2
+
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A-Z to a-z, and every other ASCII character that is no digit or letter to a space.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, terms) of every text of a column."""
+    for i, j, hashes, at in word_hashes(*texts(column), PUNCTUATION):
+        for k in range(i, j):
+            yield k, hashes[at[k - i] : at[k - i + 1]].view(np.int64)
 
 
-def folded(text: F.Column) -> F.Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int64()))
 
 
-def word_list(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+def item_terms(bench: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, r, terms) of every item with words: terms in order, r the number of the row. Repeated rows count once."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([t for _, t in _terms(batch.column(1))])], names=["item", "terms"])
 
-def _in_blocks(bench: DataFrame, most_words: int) -> list[list[tuple]]:
-    """The items as (item, words) in lists of at most most_words words (one item at least)."""
-    blocks, size = [[]], 0
-    for row in bench.toLocalIterator():
-        if size and size + len(row.words) > most_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item, row.words))
-        size += len(row.words)
-    return blocks
+    rows = bench.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
+    found = rows.mapInArrow(split, f"item {dict(rows.dtypes)['item']}, terms array<long>").where(F.size("terms") > 0).distinct()
+    return found.select("item", F.xxhash64("item", "terms").alias("r"), "terms")
 
 
-def term_counts(docs: DataFrame, text: str, terms: list[bytes]) -> np.ndarray:
-    """How often each term occurs in all texts."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def term_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """(term, n): how often each of the terms occurs in all texts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Bits(terms.select(F.col("term").alias("x")), TERM_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
-        get = number.value.get
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in slices(batches):
-            data, at = texts(batch.column(0))
-            data = data.tobytes()
-            for i in range(len(at) - 1):
-                ids = [k for k in map(get, data[at[i] : at[i + 1]].translate(_FOLD).split()) if k is not None]
-                total += np.bincount(np.array(ids, np.int64), minlength=len(terms))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["term", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(terms), np.int64)
-    for r in counted.collect():  # one row for each term of the block
-        out[r.term] = r.n
-    return out
-
-
-def windows_of(items: list[tuple], number: dict[bytes, int], freq: np.ndarray, window: int) -> list[tuple]:
-    """(anchor term, item number, place of the anchor, first and end of the context in the item), one for each anchor."""
-    anchors = set()
-    for k, (_, words) in enumerate(items):
-        ids = [number[w.encode()] for w in words]
-        n = min(window, len(ids))
-        for i in range(len(ids) - n + 1):
-            place = min(range(i, i + n), key=lambda p: (freq[ids[p]], ids[p], p))
-            anchors.add((k, place))
-    return sorted(anchors)
-
-
-def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, near_terms: int = 4, block_words: int = 200_000) -> DataFrame:
+            found = np.concatenate([np.zeros(0, np.int64), *(t for _, t in _terms(batch.column(0)))])
+            more, n = np.unique(found[wanted.value[np.mod(found, TERM_BITS)]], return_counts=True)
+            both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+            keys = both
+            if len(keys) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["term", "n"])
+                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["term", "n"])
+
+    return docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+
+
+def windows_of(items: DataFrame, freq: DataFrame, window: int, near_terms: int) -> DataFrame:
+    """(item, term, around, rare, need) of every anchor: the rarest word of some window of an item.
+
+    around: the terms from window - 1 places before it to as many after; rare: near_terms of the rarest of them; need: the
+    window's length. A window with a word that no document has is left out.
+    """
+    words = items.select("r", "item", F.size("terms").alias("size"), "terms", F.posexplode("terms").alias("pos", "term"))
+    words = words.join(freq, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy("r").orderBy("pos")
+    need, rarest = F.least("size", F.lit(window)), F.struct("n", "term", "pos")
+    ahead = order.rowsBetween(0, window - 1)
+    chosen = words.withColumn("best", F.min(rarest).over(ahead)).withColumn("len", F.count("*").over(ahead)).where(F.col("len") == need)
+    chosen = chosen.where("best.n > 0").select("r", F.col("best.pos").alias("pos")).distinct()
+    near = F.collect_set(F.struct("n", "term")).over(order.rowsBetween(1 - window, window - 1))
+    words = words.withColumn("rare", F.transform(F.slice(F.array_sort(near), 1, near_terms), lambda x: x["term"])).join(chosen, ["r", "pos"])
+    places = F.sequence(F.col("pos") - (window - 1), F.col("pos") + (window - 1))
+    around = F.transform(places, lambda p: F.when((p >= 0) & (p < F.col("size")), F.get("terms", p)).otherwise(F.lit(OUTSIDE).cast("long")))
+    return words.select("item", "term", around.alias("around"), "rare", need.alias("need"))
+
+
+def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, near_terms: int = 4) -> DataFrame:
     """Every document with the test windows that occur in it.
 
     Returns key, h (hash of the text), n_words, and matches: structs of item, kind ('exact' or
     'near'), first and end (word positions in the document). An exact match is a run of words
     in which every window of `window` consecutive words (the whole item, if it is shorter) occurs
-    in the item at the same offset. A near match is a place within `window` words of an anchor
-    at which near_terms of its window's rarest words occur in any order, but which is not exact.
+    in the item at the same offset. A near match is the first place within `window` words of an anchor
+    at which near_terms of its window's rarest words occur in any order, but which is not exact; there is one for each item.
 
     Null and empty texts and items have no words, so no matches. Repeated rows each get their own
     result, and items that repeat count once by id. A null id is an id like any other for documents; items
     with null ids are left out. Other columns are ignored. Empty tables give no rows, or no matches.
-
-    Items go to the tasks in blocks of at most block_words words; more items are more passes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    items = bench.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), word_list(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
-    found = None
-    for block in _in_blocks(items, block_words):
-        terms = sorted({w.encode() for _, ws in block for w in ws})
-        number = {t: i for i, t in enumerate(terms)}
-        freq = term_counts(rows, "text", terms) if terms else np.zeros(0, np.int64)
-        anchors = windows_of(block, number, freq, window)
-        wanted = np.zeros(len(terms), bool)
-        wanted[[number[block[k][1][p].encode()] for k, p in anchors]] = True
-        index = written(_postings(rows, terms, wanted, window), "positional-index")
-        test = []
-        for k, place in anchors:
-            ids = [number[w.encode()] for w in block[k][1]]
-            around = [ids[p] if 0 <= p < len(ids) else -2 for p in range(place - window + 1, place + window)]
-            rare = sorted({ids[p] for p in range(max(0, place - window + 1), min(len(ids), place + window))}, key=lambda t: (freq[t], t))[:near_terms]
-            test.append((ids[place], k, around, rare, min(window, len(ids))))
-        windows = spark.createDataFrame(test, "term int, k int, around array<int>, rare array<int>, need int")
-        names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], f"k int, item {dict(items.dtypes)['item']}")
-        part = _joined(index, windows, window).join(names, "k").drop("k")
-        part = part.groupBy("key", "h").agg(F.array_sort(F.collect_set(F.struct("item", "kind", "first", "end"))).alias("matches"))
-        base = index.select("key", "h", "n_words").dropDuplicates(["key", "h"]) if found is None else None
-        found = (base, [part]) if found is None else (found[0], [*found[1], part])
-    base, parts = found
-    parts = parts[0] if len(parts) == 1 else _union(parts)
-    return rows.select("key", F.xxhash64("text").alias("h")).alias("d").join(base.alias("b"), _same("d", "b")).join(parts.alias("p"), _same("d", "p"), "left").select(F.col("d.key").alias(key), "d.h", "n_words", F.coalesce("p.matches", F.array()).alias("matches"))
+    items = written(item_terms(bench, item, item_text), "test-items")
+    terms = written(items.select(F.explode("terms").alias("term")).distinct(), "test-terms")
+    anchors = written(windows_of(items, term_counts(rows, "text", terms), window, near_terms), "test-windows")
+    # windows that several items share are looked up once
+    anchors = anchors.withColumn("w", F.xxhash64("term", "around", "rare", "need"))
+    windows = anchors.drop("item").dropDuplicates(["w"])
+    index = written(_postings(rows, terms, anchors.select("term"), window), "positional-index")
+    found = _joined(index, windows, window).join(anchors.select("w", "item").distinct(), "w").drop("w")
+    place = F.struct("first", "end")
+    found = found.groupBy("key", "h", "item", "kind", F.when(F.col("kind") == "exact", place).alias("own")).agg(F.min(place).alias("at"))
+    found = found.groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("item", "kind", "at.first", "at.end"))).alias("matches"))
+    base = index.select("key", "h", "n_words").dropDuplicates(["key", "h"])
+    out = rows.select("key", F.xxhash64("text").alias("h")).alias("d").join(base.alias("b"), _same("d", "b")).join(found.alias("p"), _same("d", "p"), "left")
+    return out.select(F.col("d.key").alias(key), "d.h", "n_words", F.coalesce("p.matches", F.array()).alias("matches"))
 
 
 def _same(a: str, b: str) -> F.Column:
     return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("key", "h").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
-
-
-def _postings(rows: DataFrame, terms: list[bytes], wanted: np.ndarray, window: int) -> DataFrame:
-    """(key, h, n_words, postings: term, pos, around) of every row; around: term ids from window - 1 before to as many after."""
-    number = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def _postings(rows: DataFrame, terms: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """(key, h, n_words, postings: term, pos, around) of every row, for the places of anchors; around: the test terms from
+    window - 1 places before to as many after."""
+    sc = rows.sparkSession.sparkContext
+    known, wanted = (sc.broadcast(Bits(t.select(F.col("term").alias("x")), TERM_BITS)) for t in (terms, anchors))
     slim = rows.select("key", F.xxhash64("text").alias("h"), "text")
-    out = slim.select("key", "h", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<term:int,pos:int,around:array<int>>>)").alias("postings")).schema
-    posting = pa.struct([("term", pa.int32()), ("pos", pa.int32()), ("around", pa.list_(pa.int32()))])
+    out = slim.select("key", "h", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<term:bigint,pos:int,around:array<bigint>>>)").alias("postings")).schema
+    posting = pa.struct([("term", pa.int64()), ("pos", pa.int32()), ("around", pa.list_(pa.int64()))])
     wide = window - 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.value.get
-        none = len(terms)
-        keep = np.append(wanted, False)
         for batch in slices(batches):
-            data, at = texts(batch.column(2))
-            data = data.tobytes()
-            n_words, term, pos, around, ends = [], [], [], [], [0]
-            for i in range(len(at) - 1):
-                words = data[at[i] : at[i + 1]].translate(_FOLD).split()
-                n_words.append(len(words))
-                ids = np.fromiter((get(w, none) for w in words), np.int32, len(words))
-                places = np.flatnonzero(keep[ids])
+            n_words, term, pos, around, ends = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 2 * wide + 1), np.int64)], [0]
+            for _, ids in _terms(batch.column(2)):
+                n_words.append(len(ids))
+                low = np.mod(ids, TERM_BITS)
+                places = np.flatnonzero(wanted.value[low])
                 if len(places):
-                    padded = np.full(len(ids) + 2 * wide, -1, np.int32)
-                    padded[wide : wide + len(ids)] = np.where(ids == none, -1, ids)
+                    padded = np.full(len(ids) + 2 * wide, NOWHERE, np.int64)
+                    padded[wide : wide + len(ids)] = np.where(known.value[low], ids, NOWHERE)
                     term.append(ids[places])
                     pos.append(places.astype(np.int32))
                     around.append(padded[places[:, None] + np.arange(2 * wide + 1)])
                 ends.append(ends[-1] + len(places))
             n = ends[-1]
-            flat = np.concatenate(around).ravel() if n else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (2 * wide + 1), pa.int32()), pa.array(flat, pa.int32()))
-            structs = pa.StructArray.from_arrays([pa.array(np.concatenate(term) if n else [], pa.int32()), pa.array(np.concatenate(pos) if n else [], pa.int32()), lists], fields=list(posting))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (2 * wide + 1), pa.int32()), pa.array(np.concatenate(around).ravel()))
+            structs = pa.StructArray.from_arrays([pa.array(np.concatenate(term)), pa.array(np.concatenate(pos)), lists], fields=list(posting))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["key", "h", "n_words", "postings"])
 
     return slim.mapInArrow(index, out)
 
 
 def _joined(index: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """(key, h, k, kind, first, end) of the matches of postings with windows of the same term."""
+    """(key, h, w, kind, first, end) of the matches of postings with windows of the same term."""
     wide = window - 1
     places = index.select("key", "h", F.explode("postings").alias("p")).select("key", "h", "p.term", "p.pos", F.col("p.around").alias("seen"))
     both = places.join(windows, "term")
@@ -185,7 +175,7 @@ def _joined(index: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     exact = F.col("before") + F.col("after") + 1 >= F.col("need")
     near = F.size("rare") <= F.size(F.array_intersect("seen", "rare"))
     return both.where(exact | near).select(
-        "key", "h", "k", F.when(exact, "exact").otherwise("near").alias("kind"),
+        "key", "h", "w", F.when(exact, "exact").otherwise("near").alias("kind"),
         (F.col("pos") - F.when(exact, F.col("before")).otherwise(F.least("pos", F.lit(wide)))).alias("first"),
         (F.col("pos") + F.when(exact, F.col("after")).otherwise(F.lit(wide)) + 1).alias("end"),
     )

@@ -33,6 +33,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: ASCII but letters and digits: what parts words of op8's kind; the words above are parted by ASCII white space.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x2545F4914F6CDD1D | 1
@@ -58,9 +60,9 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
-def _hashed(piece: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(piece: np.ndarray, begins: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of a piece; no word crosses a byte marked in begins."""
-    gap = _SPACE[piece]
+    gap = gaps[piece]
     before = np.empty(len(piece), dtype=bool)
     before[0] = True
     before[1:] = gap[:-1]
@@ -86,8 +88,8 @@ def _long_word(piece: np.ndarray) -> np.ndarray:
     return mix(np.array([(h + len(piece)) & (1 << 64) - 1], dtype=U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text + 1, hashes of their lower-cased words, offsets of the texts in them)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, hashes of their lower-cased words, offsets of the texts in them); gaps: bytes between words."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(max(i + 1, np.searchsorted(offsets, offsets[i] + PIECE, "right") - 1))
@@ -100,24 +102,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
                 at = offsets[i : j + 1] - lo
                 begins = np.zeros(len(piece), dtype=bool)
                 begins[at[:-1][at[:-1] < len(piece)]] = True
-                hashes, starts = _hashed(piece, begins)
+                hashes, starts = _hashed(piece, begins, gaps)
                 yield i, j, hashes, np.searchsorted(starts, at)
         else:  # one long text
             parts = []
             while lo < hi:
                 end = min(hi, lo + PIECE)
                 if end < hi:
-                    gaps = np.flatnonzero(_SPACE[data[lo:end]])
-                    if len(gaps):
-                        end = lo + int(gaps[-1]) + 1
+                    last = np.flatnonzero(gaps[data[lo:end]])
+                    if len(last):
+                        end = lo + int(last[-1]) + 1
                     else:
                         more = end
-                        while more < hi and not _SPACE[data[more]]:
+                        while more < hi and not gaps[data[more]]:
                             more += 1
                         parts.append(_long_word(data[lo:more]))
                         lo = more
                         continue
-                parts.append(_hashed(data[lo:end], np.zeros(end - lo, dtype=bool))[0])
+                parts.append(_hashed(data[lo:end], np.zeros(end - lo, dtype=bool), gaps)[0])
                 lo = end
             hashes = np.concatenate(parts)
             yield i, j, hashes, np.array([0, len(hashes)], np.int64)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import give_back, small_batches
 from .words import slices
 
 #: What is taken off each count above the shared trigrams; the shortest and longest n-gram of the classes; the edge of a word.
@@ -264,9 +264,13 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
         counts[n] = (_codes("".join(mine["g"].to_pylist())).astype(np.uint32).reshape(-1, n), mine["a"].to_numpy().astype(float), mine["b"].to_numpy().astype(float))
     needed = np.unique(np.concatenate([_packed(c[:, -3:]) for c, _, _ in counts.values()]))
     model = kneser_ney(counts, corpus_trigrams(docs, text, needed), clear)
+    del kept, mine, counts, lengths, needed
+    give_back()
     sample = _sample(labels.where(for_curve), curve_rows)
     seen = _differences(rows.join(F.broadcast(sample), "id").select("y", "text"), "text", model, "x").select("y", "x").collect()  # at most curve_rows (and repeats of their ids)
     model.slope, model.bias = _curve(np.array([r.x for r in seen]), np.array([float(r.y) for r in seen]))
+    del seen
+    give_back()
     return model
 
 

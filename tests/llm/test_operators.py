@@ -204,6 +204,34 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def test_plain_profiles(spark, odd):
+    """Prototypes and cosines as letter by letter; letters of one class modulo small numbers have vectors of their own."""
+    profiles = language_id.Profiles(64, 3)
+    assert len({profiles.letter(ord(c)).tobytes() for c in "aà漢字ж\u0451"}) == 6 == len({language_id.Profiles(64, 3).letter(ord(c)).tobytes() for c in "aà漢字ж\u0451"})
+
+    def plain(text):
+        runs = "".join(c.lower() if len(c.lower()) == 1 else c for c in text if True)
+        runs = " " + " ".join("".join(c if c.isalpha() else " " for c in runs).split()) + " "
+        total = np.zeros(64)
+        for a, b, c in zip(runs, runs[1:], runs[2:]):
+            one = [profiles.letter(0 if x == " " else ord(x)).astype(int) for x in (a, b, c)]
+            total += np.roll(one[0], 2) * np.roll(one[1], 1) * one[2]
+        return total if any(c.isalpha() for c in runs) else np.zeros(64)
+
+    rows = [(1, "The cat sat. On 3 mats!", "en"), (2, "Der Hund läuft über Straßen", "de"), (3, "the dog", "en"), (4, "\u4e00\u4e8c 漢字", "zh"), (5, None, "de"), (6, "77 !", "en")]
+    learned = language_id.prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=64, seed=3)
+    for name in ("en", "de", "zh"):
+        want = sum(plain(t) for _, t, n in rows if n == name and t)
+        assert learned[name] == pytest.approx(want / np.linalg.norm(want))
+    texts = ["a cat on the mat", "ein Hund", "字", "", "12", None]
+    got = {r.text: r for r in language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), learned, dims=64, seed=3).collect()}
+    for t in texts[:3]:
+        v = plain(t)
+        cosines = {n: float(x @ v / np.linalg.norm(v)) for n, x in learned.items()}
+        assert cosines[got[t].lang_pred] == pytest.approx(max(cosines.values()), abs=1e-6) and got[t].score == pytest.approx(max(0, max(cosines.values())), abs=1e-6)
+    assert {got[t].lang_pred for t in texts[3:]} == {"und"}
+
+
 # --- 5 ---
 def test_mixing(spark, odd, empty):
     table = docs(spark)

@@ -8,49 +8,67 @@ A text gets the language whose prototype has the greatest cosine with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters share so many random vectors by code point; slot 0 is the gap between words.
-SLOTS = 128
+from .scratch import small_batches
+from .words import slices
+
 UNKNOWN = "und"
+_SHIFT = 21
+
+
+@cache
+def _lowered() -> np.ndarray:
+    """The code of every character in lower case; 0 if it is no letter."""
+    out = np.zeros(0x110000, np.int32)
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
 
 
 class Profiles:
-    """The random letter vectors and the trigrams of texts. Same seed, same vectors, on every machine."""
+    """The random letter vectors and the trigrams of texts. A letter's vector comes from its code and the seed: the same on every machine."""
 
     def __init__(self, dims: int = 512, seed: int = 7):
-        self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, dims))
-        self.shifted = [np.roll(self.letters, s, axis=1) for s in (2, 1, 0)]
-        self.slot = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                low = chr(c).lower()
-                self.slot[c] = 1 + (ord(low) if len(low) == 1 else c) % (SLOTS - 1)
+        self.dims, self.seed = dims, seed
+        self.known: dict[int, np.ndarray] = {}
+
+    def letter(self, code: int) -> np.ndarray:
+        """The vector of a letter, or of the gap between words (code 0)."""
+        if code not in self.known:
+            self.known[code] = np.random.default_rng([self.seed, code]).choice(np.array([-1, 1], np.int8), self.dims)
+        return self.known[code]
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(trigram ids, counts) of a text: runs of three slots with a letter in them, one gap between words."""
+        """(trigrams, counts) of a text: three letters' codes as one number; one gap between words."""
+        none = np.zeros(0, np.int64)
         if not text:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        s = self.slot[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            return none, none
+        s = _lowered()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         s = np.concatenate([[0], s, [0]]).astype(np.int64)
         keep = np.ones(len(s), dtype=bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         s = s[keep]
         if len(s) < 3:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.unique((s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:], return_counts=True)
+            return none, none
+        return np.unique((s[:-2] << 2 * _SHIFT) | (s[1:-1] << _SHIFT) | s[2:], return_counts=True)
 
     def bundle(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The sum of the trigrams' vectors, in pieces of bounded size."""
-        total = np.zeros(self.letters.shape[1], np.float64)
+        """The sum of the trigrams' vectors, in pieces of bounded size. A letter's vector is rotated by its place."""
+        total = np.zeros(self.dims, np.float64)
         for i in range(0, len(ids), 4096):
-            part = ids[i : i + 4096]
-            bound = self.shifted[0][part // SLOTS**2] * self.shifted[1][part // SLOTS % SLOTS] * self.shifted[2][part % SLOTS]
-            total += counts[i : i + 4096].astype(np.float32) @ bound.astype(np.float32)
+            places = [ids[i : i + 4096] >> shift & (1 << _SHIFT) - 1 for shift in (2 * _SHIFT, _SHIFT, 0)]
+            codes = np.unique(np.concatenate(places))
+            letters = np.stack([self.letter(c) for c in codes.tolist()])
+            first, second, third = (np.roll(letters, 2 - k, axis=1)[np.searchsorted(codes, p)] for k, p in enumerate(places))
+            total += counts[i : i + 4096].astype(np.float32) @ (first * second * third).astype(np.float32)
         return total
 
 
@@ -65,7 +83,7 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dims
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dims, seed)
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for t, name in zip(batch.column(0), batch.column(1)):
                 ids, counts = profiles.trigrams(t.as_py() or "")
                 if len(ids):
@@ -91,6 +109,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
     and other columns stay as they are; existing columns lang_pred and score are replaced; an empty table
     gives an empty table.
     """
+    small_batches(docs.sparkSession)
     names = sorted(learned)
     matrix = np.array([learned[n] for n in names]).reshape(len(names), dims)
     docs = docs.drop("lang_pred", "score")
@@ -98,7 +117,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dims, seed)
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [], []
             for t in batch.column(batch.schema.names.index(text)):
                 ids, counts = profiles.trigrams(t.as_py() or "")

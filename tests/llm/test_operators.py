@@ -410,8 +410,15 @@ def test_jaccard(spark, seed, k, low):
                     w.insert(rng.randint(0, len(w)), rng.choice(vocab))
             texts[len(texts) * 7 % 1009] = w
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(table, jaccard_join.Similar(k, low, 100)).collect()}
+    rule = jaccard_join.Similar(k, low, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(table, rule).collect()}
     assert got == brute_components(texts, k, low, 100)
+    # every link between different texts
+    members, links = jaccard_join.similar_classes(table, rule)
+    cls = {r.doc_id: r.cls for r in members.collect()}
+    sets = {cls[i]: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) for i, w in texts.items() if w}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= low * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in links.collect()} == want
 
 
 def test_jaccard_query(spark, odd, empty):

@@ -235,6 +235,34 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar)
     return both.select("a", "b", "sa", "sb").mapInArrow(overlap, "a long, b long").distinct()
 
 
+def _rest(postings: DataFrame, rows: DataFrame, reps: DataFrame, rule: Similar, roots: DataFrame | None) -> DataFrame | None:
+    """All similar pairs (a, b) of classes that aren't in one component yet; None if no pair shares enough of its prefixes."""
+    rows_open = written(_open(postings, roots), "open")
+    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), "pos")
+    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("pos").alias("pos2"))
+    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _possible(rule, 1))
+    # the same pair may come from either side, by different n-grams
+    pairs = _enough(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, rule)
+    pairs = written(pairs, "rest-pairs")
+    return None if pairs.isEmpty() else written(_verified(pairs, rows, reps, rule), "links")
+
+
+def similar_classes(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links): key, h, n_shingles and cls of every row, and all similar pairs (a, b) of classes, a < b; no link is left out.
+
+    Texts with equal sets are one class (0 without n-grams), so copies aren't expanded into pairs. Rows as in similar_components;
+    null keys are no members of links' classes unless another row of the class has a key.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts_, sketch = classes_and_sketch(rows, rule)
+    reps = written(prefixes(rows.where(F.col("key").isNotNull()), sketch, rule), "prefixes")
+    links = _rest(frequent_postings(reps), rows, reps, rule, None)
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "a long, b long")
+    return texts_.select(F.col("key").alias(key), "h", F.col("n").alias("n_shingles"), "cls"), links
+
+
 def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """key, h (hash of its text), n_shingles, cls (its set's fingerprint), comp and component_id (the smallest key reachable by links) of every row.
 
@@ -270,18 +298,9 @@ def similar_components(docs: DataFrame, rule: Similar = Similar(), key: str = "d
         links.append(found)
         roots = components(_all(links, roots))
         links = []
-    # all that is left: pairs of different components that share enough of their prefixes
-    rows_open = written(_open(postings, roots), "open")
-    few = rows_open.where("comp <> most").select("token", F.col("cls").alias("a"), "n", F.col("comp"), "pos")
-    every = rows_open.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("pos").alias("pos2"))
-    pairs = few.join(every, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("most2")) | (F.col("a") < F.col("b"))) & _possible(rule, 1))
-    # the same pair may come from either side, by different n-grams
-    pairs = _enough(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, rule)
-    pairs = written(pairs, "rest-pairs")
-    if not pairs.isEmpty():
-        found = written(_verified(pairs, rows, reps, rule), "links")
-        if not found.isEmpty():
-            roots = components(_all([found], roots))
+    found = _rest(postings, rows, reps, rule, roots)
+    if found is not None and not found.isEmpty():
+        roots = components(_all([found], roots))
     known = texts_.groupBy("cls").agg(F.min("key").alias("first")).where("cls <> 0")
     groups = _with_components(known, roots)
     smallest = groups.groupBy("comp").agg(F.min("first").alias("component"))

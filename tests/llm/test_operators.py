@@ -98,6 +98,8 @@ def test_passages(spark, odd, empty):
     found = suffix_dedup.repeated_passages(two)
     assert {r.doc_id: [(s["first"], s["end"]) for s in r.surplus] for r in found.collect()} == {0: [], 1: [(1, 61)], 2: []}
     assert {r.doc_id: r.text for r in suffix_dedup.without_surplus(two, found).collect()} == {0: f"one two {passage} three", 1: "four", 2: "clean text"}
+    clash = suffix_dedup.without_surplus(two.selectExpr("*", "7 k", "8 spans", "9 __k", "1 __s"), found)
+    assert {(r.doc_id, r.text[:4], r.k, r.spans) for r in clash.collect()} == {(0, "one ", 7, 8), (1, "four", 7, 8), (2, "clea", 7, 8)} and len(clash.columns) == len(two.columns) + 4
 
 
 # --- 2 ---

@@ -1,10 +1,11 @@
 """Repeated passages by sparse suffix arrays (operator 1).
 
 A suffix is kept where its first k words are the minimiser of a window of w = length - k + 1
-such runs, so that any passage of `length` words holds the start of a kept suffix, at the same place in every copy. Kept
-suffixes are sorted by (hashes of) their first k words; equal neighbours of different texts are
-candidates. Matches are extended left and right over their texts' words, to every stretch of
-`length` words that has a candidate for its minimiser; stretches are sorted and compared the same way, and those that
+such runs, so that any passage of `length` words holds the start of a kept suffix, at the same place in every copy. What a sort
+would bring side by side, suffixes that start with the same k words, is brought together by (hashes of) those words, so that
+counts are summed up before the shuffle and a passage that a third of all texts hold is no task of its own; suffixes that more than
+one text has are candidates. Matches are extended left and right over their texts' words, to every stretch of
+`length` words that has a candidate for its minimiser; stretches are brought together the same way, and those that
 overlap are joined to maximal passages.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import fresh, small_batches, written
 from .words import grams, slices, texts, word_hashes
 
 
@@ -116,6 +117,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Repeated rows (equal key and text) are one text; equal texts under other keys are copies. A text with a null key keeps no copy.
     Other columns are ignored; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     k = (length + 1) // 2  # two such runs cover a stretch
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.lit(1), key, text).alias("rid"))
     kept = written(kept_suffixes(rows, length, k), "suffixes")
@@ -142,7 +144,8 @@ def without_surplus(docs: DataFrame, found: DataFrame, key: str = "doc_id", text
     What is left of a changed text is joined by single spaces.
     """
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    gone = found.where(F.size("surplus") > 0).select(F.col(key).alias("__k"), F.col("surplus").alias("__s"))
-    rest = F.filter(words, lambda w, i: ~F.exists("__s", lambda s: (i >= s["first"]) & (i < s["end"])))
-    both = docs.join(gone, F.col(key).eqNullSafe(F.col("__k")), "left")
-    return both.withColumn(text, F.when(F.col("__s").isNull(), F.col(text)).otherwise(F.array_join(rest, " "))).select(docs.columns)
+    k, spans = fresh(docs, "k", "spans")
+    gone = found.where(F.size("surplus") > 0).select(F.col(key).alias(k), F.col("surplus").alias(spans))
+    rest = F.filter(words, lambda w, i: ~F.exists(spans, lambda s: (i >= s["first"]) & (i < s["end"])))
+    both = docs.join(gone, F.col(key).eqNullSafe(F.col(k)), "left")
+    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(rest, " "))).select(docs.columns)

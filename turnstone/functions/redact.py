@@ -77,20 +77,28 @@ def masked(s: Column) -> Column:
     return let(trim(F.regexp_replace(s, rf"[{SPACE}]+", " ")), preview)
 
 
+_FINDINGS = "array<struct<type:string,preview:string>>"
+
+
 def with_redaction(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with text redacted and found, an array of (type, masked preview) in the order of the steps."""
-    kind = "array<struct<type:string,preview:string>>"
-    # the text's state before each step, as a column of its own
-    parts, columns = [], rows.columns
-    rows = rows.withColumn("_0", F.col(text))
-    for i, (name, p, group, new) in enumerate(STEPS):
-        s = F.col(f"_{i}")
-        hits = F.when(GATES[name](s), F.regexp_extract_all(s, F.lit(pattern(p)), group)).otherwise(F.array().cast("array<string>"))
-        parts.append(_found(name, hits).cast(kind))
-        rows = rows.withColumn(f"_{i + 1}", F.when(GATES[name](s), F.regexp_replace(s, pattern(p), new)).otherwise(s))
-    s = F.col(f"_{len(STEPS)}")
-    parts.append(_found("high-entropy", F.filter(tokens(s), _is_token)).cast(kind))
-    return rows.withColumn("found", F.concat(*parts)).withColumn(text, redact_tokens(s)).select(*columns, "found")
+    state = F.struct(F.col(text).alias("t"), F.array().cast(_FINDINGS).alias("found"))
+    for step in STEPS:
+        state = let(state, _searched(step))
+    last = lambda x: F.struct(redact_tokens(x["t"]).alias("t"), F.concat(x["found"], _found("high-entropy", F.filter(tokens(x["t"]), _is_token)).cast(_FINDINGS)).alias("found"))
+    done = rows.select(*(c for c in rows.columns if c != "found"), let(state, last).alias("found"))
+    return done.withColumn(text, F.col("found.t")).withColumn("found", F.col("found.found"))
+
+
+def _searched(step: tuple):
+    """One step on (t, found): the text before it, and what was found so far."""
+    name, p, group, new = step
+    def of(x: Column) -> Column:
+        some, hits = GATES[name](x["t"]), F.regexp_extract_all(x["t"], F.lit(pattern(p)), group)
+        found = F.when(some, F.concat(x["found"], _found(name, hits).cast(_FINDINGS))).otherwise(x["found"])
+        return F.struct(F.when(some, F.regexp_replace(x["t"], pattern(p), new)).otherwise(x["t"]).alias("t"), found.alias("found"))
+
+    return of
 
 
 def _found(name: str, hits: Column) -> Column:

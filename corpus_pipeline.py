@@ -39,6 +39,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     h, times, other, other_h = fresh(docs, "h", "times", "other", "other_h")
     rows = docs.withColumn(h, F.xxhash64("text"))
     repeats = rows.groupBy("doc_id", h).agg(F.count("*").alias(times)).where(F.col(times) > 1).select(F.col("doc_id").alias(other), F.col(h).alias(other_h))
+    repeats = written(repeats, "repeats")  # few or none as a rule: with its size known, Spark needn't shuffle texts to find that out
     same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(h) == F.col(other_h))
     smallest = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*(c for c in docs.columns if c != "text")))).alias(times)
     folded = rows.join(repeats, same, "left_semi").groupBy("doc_id", h).agg(smallest).select(*(F.col(f"{times}.{c}").alias(c) for c in docs.columns))
@@ -55,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
     gone = found.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
     h, other, other_h = fresh(docs, "h", "other", "other_h")
-    gone = gone.select(F.col("doc_id").alias(other), F.col("h").alias(other_h)).distinct()
+    gone = written(gone.select(F.col("doc_id").alias(other), F.col("h").alias(other_h)).distinct(), "gone")
     blank = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = one_of_each(docs.where(~blank)).withColumn(h, F.xxhash64("text"))
     kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(h) == F.col(other_h)), "left_anti").select(docs.columns)

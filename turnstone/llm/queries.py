@@ -112,7 +112,40 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", words_in(F.col("repeated")).alias("n_repeated"), words_in(F.col("surplus")).alias("n_surplus"), spans("repeated"), spans("surplus"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join, op8_decontamination, op9_pii, op10_toxicity)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import leaf_digest, merkle_manifest
+
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_digest(*fields, lowered))
+    rows = docs.select("doc_id", "source", leaf_digest(*fields, F.col("text")).alias("leaf"), tampered.alias("claim"))
+    found = merkle_manifest(rows, claim="claim").proofs
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_OPERATORS = (
+    op1_suffix_dedup, op2_exact_topk, op3_token_counts, op4_language_id, op5_mixing, op6_url_filter, op7_jaccard_join,
+    op8_decontamination, op9_pii, op10_toxicity, op11_merkle_manifest, op12_html_extraction, op13_token_alignment,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
@@ -170,4 +203,55 @@ ORACLES: dict[str, str] = {
         o AS (SELECT kind, doc_id, CAST(sum(e - a) AS BIGINT) AS n, string_agg(a || '-' || e, ',' ORDER BY a) AS spans FROM p GROUP BY kind, doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_repeated, coalesce(s.n, 0) AS n_surplus, coalesce(r.spans, '') AS repeated, coalesce(s.spans, '') AS surplus
         FROM d LEFT JOIN (FROM o WHERE kind = 'r') r USING (doc_id) LEFT JOIN (FROM o WHERE kind = 's') s USING (doc_id)""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE tab AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                   lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 5 = 0 AS tampered
+            FROM documents, tab
+        ), f AS (
+            SELECT r, doc_id, source, tampered, text,
+                   concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                          coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), coalesce(strlen(text) || ':', '-')) AS head
+            FROM d
+        ), l AS (
+            SELECT r, doc_id, source, sha256(head || coalesce(text, '')) AS leaf,
+                   sha256(head || coalesce(CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '')) AS claim
+            FROM f
+        ), s AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l
+        ), up(lv, source, i, n, h) AS (
+            SELECT 0, source, i, n, leaf FROM s
+            UNION ALL
+            SELECT lv + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lv, source, i // 16, n
+        ), subs AS (
+            SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+        ), top(lv, i, n, h) AS (
+            SELECT 0, i, n, subroot FROM subs
+            UNION ALL
+            SELECT lv + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lv, i // 16, n
+        ), root AS (SELECT h AS root FROM top WHERE n = 1),
+        runs AS (SELECT lv, source, i // 16 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY lv, source, i // 16),
+        top_runs AS (SELECT lv, i // 16 AS run, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY lv, i // 16),
+        fold(r, source, stage, lv, i, n, h, proof) AS (
+            SELECT r, source, 0, 0, i, n, claim, '' FROM s
+            UNION ALL
+            SELECT r, source, stage, lv, i, n, h, proof FROM (
+                SELECT f.r, f.source, 0 AS stage, f.lv + 1 AS lv, f.i // 16 AS i, (f.n + 15) // 16 AS n,
+                       sha256(array_to_string(u.hs[:f.i % 16], '') || f.h || array_to_string(u.hs[f.i % 16 + 2:], '')) AS h,
+                       f.proof || array_to_string(u.hs[:f.i % 16], '') || array_to_string(u.hs[f.i % 16 + 2:], '') AS proof
+                FROM fold f JOIN runs u ON u.lv = f.lv AND u.source IS NOT DISTINCT FROM f.source AND u.run = f.i // 16 WHERE f.stage = 0 AND f.n > 1
+                UNION ALL
+                SELECT f.r, f.source, 1, 0, b.i, b.n, f.h, f.proof FROM fold f JOIN subs b ON b.source IS NOT DISTINCT FROM f.source WHERE f.stage = 0 AND f.n = 1
+                UNION ALL
+                SELECT f.r, f.source, 1, f.lv + 1, f.i // 16, (f.n + 15) // 16,
+                       sha256(array_to_string(u.hs[:f.i % 16], '') || f.h || array_to_string(u.hs[f.i % 16 + 2:], '')),
+                       f.proof || array_to_string(u.hs[:f.i % 16], '') || array_to_string(u.hs[f.i % 16 + 2:], '')
+                FROM fold f JOIN top_runs u ON u.lv = f.lv AND u.run = f.i // 16 WHERE f.stage = 1 AND f.n > 1
+            )
+        )
+        SELECT s.doc_id, s.leaf, b.subroot, root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+        FROM s JOIN fold f ON f.r = s.r AND f.stage = 1 AND f.n = 1 JOIN subs b ON b.source IS NOT DISTINCT FROM s.source, root""",
 }

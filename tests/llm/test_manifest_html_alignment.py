@@ -224,6 +224,9 @@ def test_alignment(spark, most_pairs):
         r = got[i]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) == want, texts[i]
     assert got[0].row == "x"
+    fewer = texts[1::2]  # workers that know other corpora
+    some = alignment.align(docs.where("doc_id % 2 = 1"), A, B, most_pairs=most_pairs).collect()
+    assert sorted((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in some) == sorted(plain_alignment(fewer))
     assert alignment.align(docs.limit(0), A, B).collect() == []
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import extract, features, redact, score, text
 from turnstone.operators import maintain, merge, retrieve, similarity
 from turnstone.schemas import MEMORY
-from turnstone.sources import captured, exports, replies, store
+from turnstone.sources import captured, exports, replies, splitjson, store
 
 NOW, DAY = 1_750_000_000_000, 86_400_000
 
@@ -164,7 +164,9 @@ def test_export_folder(spark, tmp_path):
     for name, value in (("a.json", [tree, tree]), ("b.json", {"conversations": [flat, 3]}), ("c.json", flat), ("d.json", 7)):
         (tmp_path / name).write_text(json.dumps(value, indent=1))
     (tmp_path / "e.json").write_text("{no json")
-    convos = exports.read_exports(spark, str(tmp_path))
+    with pytest.raises(splitjson.BrokenExport, match="e.json"):
+        exports.read_exports(spark, str(tmp_path))
+    convos = exports.read_exports(spark, str(tmp_path), strict=False)
     assert sorted((r.file[-6:], r.pos) for r in convos.collect()) == [("a.json", 0), ("a.json", 1), ("b.json", 0), ("c.json", 0)]
     rows = exports.parse_exports(convos, NOW).collect()
     assert sorted((r.file[-6:], r.text, r.project) for r in rows) == [("a.json", "from a folder", "T")] * 2 + [("b.json", "in a list", "N"), ("c.json", "in a list", "N")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, features, redact, score, text
 from ..operators import maintain, merge, retrieve, similarity, views
+from ..operators.graph import shared_folder
 from ..sources import captured, exports, replies, store
 from . import derived as d
 
@@ -70,6 +72,15 @@ def parse_chatgpt_export(spark, sf_dir):
     return rows.select(F.col("file").cast("long").alias("conv_id"), "role", "project", "model", "ts", F.md5("text").alias("text_md5"))
 
 
+@query(ORACLES["parse_chatgpt_export"])
+def read_export_files(spark, sf_dir):
+    """Exports written as files, each of many conversations, and read back by ranges."""
+    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    exports.write_exports(_chatgpt_json(spark, sf_dir), path, "value")
+    rows = exports.parse_exports(exports.read_exports(spark, path), d.NOW)
+    return rows.select(F.expr("substr(project, 7)").cast("long").alias("conv_id"), "role", "project", "model", "ts", F.md5("text").alias("text_md5"))
+
+
 def _claude_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.table(spark, sf_dir, "conversations").where("conv_id is not null")
     when = F.date_format(F.timestamp_millis(F.lit(d.BASE) + F.col("conv_id") * 60000 + F.col("turn") * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -13,21 +13,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
+from ..operators.graph import cut
+from .splitjson import read_objects
+
+
+#: The file of a data export's folder (fixed value).
+EXPORT_FILE = "conversations.json"
 
 
 class UnknownExport(ValueError):
     pass
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, convo) of the conversations in JSON files: arrays, {"conversations": [...]}, or one conversation."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return conversations(texts)
+def read_exports(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(file, pos, convo, json) of the conversations in JSON files of any size: arrays, {"conversations": [...]}, or one conversation.
+
+    path: a file, a data export's folder, of which conversations.json counts, or a folder of files. A file that is no
+    whole JSON raises BrokenExport; with strict=False it is left out. convo is null where a conversation's own text is no JSON.
+    """
+    folder = spark.read.option("pathGlobFilter", EXPORT_FILE).text(path).inputFiles()
+    return parsed(read_objects(spark, path, EXPORT_FILE if folder else None, strict))
+
+
+def write_exports(convos: DataFrame, path: str, json: str = "json") -> None:
+    """Conversations' JSON as export files: each task writes the array of its rows."""
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([before + text], pa.string())], names=["value"])
+                before = ","
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    convos.select(json).mapInArrow(array, "value string").write.text(path)
+
+
+def parsed(objects: DataFrame) -> DataFrame:
+    """(file, pos, convo, json) of rows with a conversation's json."""
+    return objects.select("file", "pos", F.try_parse_json("json").alias("convo"), "json")
 
 
 def conversations(texts: DataFrame) -> DataFrame:
-    """(file, pos, convo, json) of rows (file, value) of JSON text; what is no JSON gives none. json: the conversation's own text,
-    in which keys keep their order; a VARIANT sorts them."""
+    """(file, pos, convo, json) of rows (file, value) of JSON text, for small exports that are rows already; what is no JSON, or over a VARIANT's
+    limit of 128 MiB, gives none: read_exports() has no limit. json: the conversation's own text, in which keys keep their order; a VARIANT sorts them."""
     whole = texts.select("file", "value", F.try_parse_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.conversations", "array<variant>"), F.array("v"))
     plain = F.coalesce(F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.conversations"), "array<string>"), F.array("value"))
@@ -161,9 +191,24 @@ def parse_claude(convos: DataFrame, now_ms: int, project: str | None = None, sin
     return events if since is None else events.where(F.col("ts") >= since)
 
 
-def parse_exports(convos: DataFrame, now_ms: int, **options) -> DataFrame:
-    """Events of conversations of both formats; raises UnknownExport if a conversation has neither shape."""
+def formats(convos: DataFrame) -> DataFrame:
+    """(file, format, n, n_odd): of every file its format, which its first conversation decides, its conversations, and how many of them have another shape."""
     known = detected(convos)
-    if not known.where("format is null").isEmpty():
-        raise UnknownExport("a conversation has neither a message tree nor a message list")
+    first = F.min_by(F.struct("format"), "pos")["format"]
+    per = known.groupBy("file", "format").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    per = per.groupBy("file").agg(first.alias("first"), F.sum("n").alias("n"), F.collect_list(F.struct("format", "n")).alias("by"))
+    same = F.filter("by", lambda x: x["format"].eqNullSafe(F.col("first")))
+    return per.select("file", F.col("first").alias("format"), "n", (F.col("n") - same[0]["n"]).alias("n_odd"))
+
+
+def parse_exports(convos: DataFrame, now_ms: int, **options) -> DataFrame:
+    """Events of conversations of both formats. A file's first conversation decides its format; if it has neither shape, UnknownExport is raised.
+
+    Further conversations of another shape are left out; formats() counts them.
+    """
+    of = cut(formats(convos))
+    unknown = [r.file for r in of.where("format is null").select("file").limit(5).collect()]
+    if unknown:
+        raise UnknownExport(f"the first conversation has neither a message tree nor a message list: {', '.join(map(str, unknown))}")
+    known = detected(convos).join(of.select("file", F.col("format").alias("own")), "file").where("format = own").drop("own")
     return parse_chatgpt(known.where("format = 'chatgpt'").drop("format"), now_ms, **options).unionByName(parse_claude(known.where("format = 'claude'").drop("format"), now_ms, **options))

@@ -277,6 +277,45 @@ def test_merge_against_plain_fold(spark):
     assert report.asDict() == {"conversations": 2, "turns": 90, "candidates": 90, "inserted": n["inserted"], "merged": n["deduped"], "superseded": n["superseded"], "contradictions": n["superseded"], "total": len(final), "active": len(final) - len(gone), "superseded_total": len(gone), "contradictions_total": n["superseded"]}
 
 
+def merged_rows(spark, rows, **more):
+    """merged() of (project, kind, ts, text), in order of arrival."""
+    frame = spark.createDataFrame([(i, False, *r) for i, r in enumerate(rows)], "id long, stored boolean, project string, kind string, ts long, text string")
+    return merge.merged(frame.withColumn("vec", similarity.hashed_vector(F.col("text"))), **more)
+
+
+def test_merge_in_waves(spark):
+    """A task folds few records at once, and all come out as in the plain fold: copies, late ones among them, and statements that go back and forth."""
+    import random
+
+    rng = random.Random(11)
+    says = [("decision", f"For the billing cache we decided to use {a} instead of {b}.") for a, b in (("Redis", "Kafka"), ("Kafka", "Redis"), ("Postgres", "Redis"))] + [("fact", "The billing cache is enabled."), ("fact", "The billing cache is not enabled.")]
+    rows = []
+    while len(rows) < 240:
+        kind, text = rng.choice(says)
+        project, late = rng.choice(["p", "p", None]), rng.random() < 0.5
+        rows += [(project, kind, NOW - rng.randrange(20 if late else 2) * DAY, text) for _ in range(rng.choice([1, 1, 2, 6]))]
+    frame = spark.createDataFrame([(t,) for t in sorted({r[3] for r in rows})], "text string")
+    vectors = {r.text: r.vec for r in frame.withColumn("vec", similarity.hashed_vector(F.col("text"))).collect()}
+    feats = features.with_features(frame)
+    a, b = (feats.select(*(F.col(c).alias(f"{p}{c}") for c in feats.columns)) for p in ("a_", "b_"))
+    against = {(r.a_text, r.b_text) for r in a.crossJoin(b).where(features.contradicts("a_", "b_")).collect()}
+    want = plain_fold(rows, vectors, lambda x, y: (x, y) in against)
+    assert len({w[0] for w in want}) == 3
+    got = sorted(merged_rows(spark, rows, wave=17).collect(), key=lambda r: r.id)
+    assert [(r.action, r.mem_id, r.superseded_id) for r in got] == want
+
+
+def test_merge_of_copies_and_of_a_chain(spark):
+    """A hundred thousand equal statements make no pairs; thirty thousand, each against the one before, are folded in waves."""
+    same = spark.range(100_000).selectExpr("id", "false stored", "'p' project", "'fact' kind", f"{NOW}L - id % 7 ts", "'The staging database is read-only for all teams.' text")
+    turns = spark.range(30_000).selectExpr("id + 100000 id", "false stored", "'q' project", "'decision' kind", f"{NOW}L + id ts", "if(id % 2 = 0, 'For authentication, we decided to use sessions.', 'For authentication, we now use JWT instead of sessions.') text")
+    rows = same.unionByName(turns)
+    got = merge.merged(rows.withColumn("vec", similarity.hashed_vector(F.col("text"))), wave=10_000)
+    counts = {r.action: r.n for r in got.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"inserted": 2, "deduped": 99_999, "superseded": 29_999}
+    assert got.where("action = 'deduped' and mem_id <> 0").isEmpty() and got.where("action = 'superseded' and (mem_id <> id or superseded_id <> id - 1)").isEmpty()
+
+
 def test_nearest(spark):
     """Against all pairs: in the query's project or everywhere, its own row left out, superseded rows on demand; many blocks."""
     import numpy as np

@@ -12,7 +12,7 @@ from ..functions.redact import redact
 from ..functions.score import base_importance
 from ..schemas import CONFLICTABLE, PROVENANCE
 from .graph import components, cut
-from .similarity import cosine, hashed_vector, pairs_between, similar_pairs
+from .similarity import cosine, dot, hashed_vector, pairs_between, similar_pairs
 
 #: Cosines of a duplicate, and of statements that may contradict each other (fixed values).
 DUPLICATE, RELATED = 0.92, 0.4
@@ -70,8 +70,9 @@ def _looser(rows: DataFrame) -> bool:
     return not rows.where("project is null and not stored").isEmpty()
 
 
-def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
+def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, both_ways: bool = False) -> DataFrame:
     """(a, b, cos, topic) of contradicting statements, a the one with the smaller id; topic as the later one (b) names it.
+    both_ways: ids say nothing about the order, so a pair comes in either role that it may have.
 
     rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out. A row meets the earlier ones of its
     project, and one without a project those of all projects. A contradiction needs a link: a subject both have, or, where both choose, a choice
@@ -89,7 +90,7 @@ def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPL
     early = F.when(F.col("project").isNull() | F.lit(not loose), F.array(own)).otherwise(F.array(own, F.lit(_ANY)))
     late = F.when(F.col("project").isNull() & F.lit(loose), F.array(own, F.lit(_ANY))).otherwise(F.array(own))
     side = lambda d, p, scopes: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "choice", "alts", "subjects", "pred")), F.explode(scopes).alias("scope"), F.concat(chosen, said).alias("links")).select("*", F.explode("links").alias("link")).drop("links")
-    pairs = side(feats, "a", early).join(side(feats.where("not stored"), "b", late), ["scope", "link"]).where("a_id < b_id")
+    pairs = side(feats, "a", early).join(side(feats.where("not stored"), "b", late), ["scope", "link"]).where("a_id <> b_id" if both_ways else "a_id < b_id")
     # a pair that shares several links stays with the first; if both choose, what they assert doesn't count
     both = F.col("a_choice").isNotNull() & F.col("b_choice").isNotNull()
     links = lambda p: F.when(both, F.concat(f"{p}_subjects", f"{p}_alts", F.array(f"{p}_choice"))).otherwise(F.col(f"{p}_subjects"))
@@ -105,64 +106,153 @@ def _linked(mode: str, words: Column) -> Column:
 
 
 def _duplicate_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, cos) of new rows and the earlier rows that they meet; stored rows aren't paired with each other."""
+    """(a, b, cos): new rows (b) and the rows that they meet in their project or, without one, in all (a), whichever has the smaller id."""
     scoped = rows.select("id", F.coalesce("project", F.lit(_NONE)).alias("scope"), "vec", "stored", "project")
     new = scoped.where("not stored")
-    pairs = similar_pairs(new.select("id", F.col("scope").alias("project"), "vec"), least).unionByName(pairs_between(scoped.where("stored"), new, least))
+    turned = lambda d: d.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")
+    own = similar_pairs(new.select("id", F.col("scope").alias("project"), "vec"), least)
+    pairs = own.unionByName(turned(own)).unionByName(pairs_between(scoped.where("stored"), new, least))
     if not _looser(rows):
         return pairs
     anywhere = lambda d: d.withColumn("scope", F.lit(_ANY))
     return pairs.unionByName(pairs_between(anywhere(scoped.where("project is not null")), anywhere(new.where("project is null")), least))
 
 
+#: Records of a component that are folded at once.
+WAVE = 20_000
+_OUTCOME = "id bigint, action string, mem_id bigint, superseded_id bigint, topic string"
+
+
 def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """One component in order of arrival. links: (other, cos, duplicate, topic) to earlier rows."""
+    """One component's records in order of arrival. links: (other class, cos, duplicate, topic) of classes whose statements the class meets.
+
+    Rows with state are memories: they are active when the rest arrives. Of a class at most one statement that came in here is active.
+    """
     frame = frame.sort_values("id")
-    ts, active, out = {}, set(), []
-    for i, t, stored, links in zip(frame["id"], frame["ts"], frame["stored"], frame["links"]):
+    active: dict[int, list[int]] = {}
+    ts, out = {}, []
+    for i, cls, t, state, links in zip(frame["id"], frame["cls"], frame["ts"], frame["state"], frame["links"]):
         ts[i] = t
-        if stored:
-            active.add(i)
+        if state:
+            active.setdefault(cls, []).append(i)
             continue
-        near = sorted((x for x in links if x["other"] in active), key=lambda x: (-x["cos"], x["other"]))
-        same = next((x for x in near if x["duplicate"]), None)
+        near = sorted(((x["cos"], active[x["other"]][0], x) for x in links if active.get(x["other"])), key=lambda x: (-round(x[0], 9), x[1]))
+        same = next((other for _, other, x in near if x["duplicate"]), None)
         if same is not None:
-            out.append((i, "deduped", same["other"], None, None))
+            out.append((i, "deduped", same, None, None))
             continue
-        against = next(iter(near), None)
-        if against is None:
-            active.add(i)
-            out.append((i, "inserted", None, None, None))
-        elif t >= ts[against["other"]]:
-            active.discard(against["other"])
-            active.add(i)
-            out.append((i, "superseded", i, against["other"], against["topic"]))
+        _, other, link = next(iter(near), (None, None, None))
+        if other is None:
+            active.setdefault(cls, []).append(i)
+            out.append((i, "inserted", i, None, None))
+        elif t >= ts[other]:
+            active[link["other"]].pop(0)
+            active.setdefault(cls, []).append(i)
+            out.append((i, "superseded", i, other, link["topic"]))
         else:
-            out.append((i, "superseded", against["other"], i, against["topic"]))
+            out.append((i, "superseded", other, i, link["topic"]))
     return pd.DataFrame(out, columns=["id", "action", "mem_id", "superseded_id", "topic"])
 
 
-def merged(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
+def _classes(rows: DataFrame, duplicate: float) -> tuple[DataFrame, DataFrame]:
+    """rows with cls, and the classes (id, stored: whether all of it is, n, n_new, project, kind, text, vec).
+
+    A class is the statements that are equal in project, kind, text and vector; its id is the smallest of theirs. Statements whose vectors aren't
+    as similar to themselves as duplicates are classes of their own.
+    """
+    alone = F.when(dot(F.col("vec"), F.col("vec")) < duplicate, F.col("id"))
+    keyed = rows.withColumn("key", F.md5(F.to_json(F.struct("project", "kind", "text", "vec", alone.alias("alone")))))
+    first = lambda c: F.min_by(c, "id").alias(c)
+    new = (~F.col("stored")).cast("int")
+    classes = keyed.groupBy("key").agg(F.min("id").alias("cls"), F.min("stored").alias("stored"), F.count("*").alias("n"), F.sum(new).alias("n_new"), *map(first, ("project", "kind", "text", "vec")))
+    classes = cut(classes)
+    slim = keyed.select("id", "stored", "ts", "key").join(classes.select("key", "cls"), "key").drop("key")
+    return slim, classes.withColumnRenamed("cls", "id").drop("key")
+
+
+def merged(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, wave: int = WAVE) -> DataFrame:
     """(id, action, mem_id, superseded_id, topic) of each new statement.
 
     rows: id (order of arrival; stored rows come first), stored (whether it is an active memory already), project, kind, ts,
-    text, vec. What becomes of a row depends only on the rows linked to it, so linked components are folded apart:
-    nearest active duplicate first, then nearest active contradiction (the newer by ts stays active), else it is inserted.
+    text, vec. Nearest active duplicate first, then nearest active contradiction (the newer by ts stays active), else the row is inserted.
     A row without a project meets earlier rows of all projects; one with a project only those of its own.
+
+    Pairs are looked for among classes of equal statements, so that copies make none. What becomes of a row depends only on the classes
+    linked to its own: a class without links needs no order but its own, linked components are folded apart, in order
+    of arrival, from each run of one class only the rows that can differ from the one before, and `wave` of these at once: whatever a
+    component's size, a task holds that many, and the memories that they meet.
     """
-    same = _duplicate_pairs(rows, duplicate).select("a", "b", "cos", F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic"))
-    other = conflicts(rows, related, duplicate).select("a", "b", "cos", F.lit(False).alias("duplicate"), "topic")
+    slim, classes = _classes(rows, duplicate)
+    slim = cut(slim)
+    same = _duplicate_pairs(classes, duplicate).select("a", "b", "cos", F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic"))
+    other = conflicts(classes, related, duplicate, both_ways=True).select("a", "b", "cos", F.lit(False).alias("duplicate"), "topic")
     edges = cut(same.unionByName(other))
     roots = components(edges.select("a", "b"))
-    links = edges.groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct(F.col("a").alias("other"), "cos", "duplicate", "topic")).alias("links"))
-    linked = rows.select("id", "ts", "stored").join(links, "id", "left").join(roots.withColumnRenamed("a", "id"), "id", "left")
+    touched = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    linked = cut(touched)
+    # classes without links: the first that is active takes the rest
+    lone = slim.join(linked, "cls", "left_anti")
+    alone = lone.where("not stored").select(
+        "id", F.when(F.col("id") == F.col("cls"), "inserted").otherwise("deduped").alias("action"), F.col("cls").alias("mem_id"),
+        F.lit(None).cast("bigint").alias("superseded_id"), F.lit(None).cast("string").alias("topic"),
+    )
+    itself = classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("vec"), F.col("vec")))).alias("cos"), F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic")).where(F.col("cos") >= duplicate)
+    links = edges.unionByName(itself).groupBy(F.col("b").alias("cls")).agg(F.collect_list(F.struct(F.col("a").alias("other"), "cos", "duplicate", "topic")).alias("links"))
+    links = cut(links.join(linked, "cls"))
+    runs = _runs(slim.join(linked, "cls"), wave)
+    return _folded(runs, links).unionByName(alone)
+
+
+def _runs(rows: DataFrame, wave: int) -> DataFrame:
+    """rows (id, stored, ts, cls, root) with record and at: of each run of a class in its component, the rows that the fold has to see, and their wave.
+
+    After a statement that isn't refused as older, the next ones of its class are its duplicates (or those of what it is a duplicate of);
+    after one that is refused, so are those that aren't newer than it. So the rows with a greater ts than all before them in the run are enough;
+    the others go as the last of these. Rows are ordered in parts of a range sort; a run that crosses parts is two runs.
+    """
+    ranked = cut(rows.repartitionByRange("root", "id").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part", "root").orderBy("id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranked.withColumn("run", F.sum(F.when(F.lag("cls").over(order).eqNullSafe(F.col("cls")) & ~F.col("stored"), 0).otherwise(1)).over(order))
+    inside = Window.partitionBy("part", "root", "run").orderBy("id")
+    high = F.max("ts").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("fold", F.col("stored") | high.isNull() | (F.col("ts") > high))
+    seen = (F.col("fold") & ~F.col("stored")).cast("int")
+    out = out.withColumn("record", F.max(F.when(F.col("fold"), F.col("id"))).over(inside)).withColumn("k", F.coalesce(F.sum(seen).over(before), F.lit(0)))
+    parts = out.groupBy("root", "part").agg(F.sum(seen).alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    out = out.join(parts.withColumn("offset", offset).select("root", "part", "offset"), ["root", "part"])
+    return cut(out.withColumn("at", F.expr(f"cast((k + offset) div {wave} as int)")).select("id", "stored", "ts", "cls", "root", "fold", "record", "at"))
+
+
+def _folded(runs: DataFrame, links: DataFrame) -> DataFrame:
+    """The outcomes of all rows of runs, wave by wave; links: (cls, root, links)."""
     none = F.array().cast("array<struct<other:bigint,cos:double,duplicate:boolean,topic:string>>")
-    linked = linked.withColumn("root", F.coalesce("root", "id")).withColumn("links", F.coalesce("links", none))
-    touched = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    alone = linked.join(touched, "id", "left_anti").where("not stored").select("id", F.lit("inserted").alias("action"), F.lit(None).cast("bigint").alias("mem_id"), F.lit(None).cast("bigint").alias("superseded_id"), F.lit(None).cast("string").alias("topic"))
-    folds = linked.join(touched, "id", "left_semi").groupBy("root").applyInPandas(_fold, "id bigint, action string, mem_id bigint, superseded_id bigint, topic string")
-    out = folds.unionByName(alone)
-    return out.withColumn("mem_id", F.coalesce("mem_id", F.when(F.col("action") == "inserted", F.col("id"))))
+    stored = runs.where("stored").select("id", "cls", "ts", "root")
+    records = runs.where("fold and not stored").select("id", "cls", "ts", "root", "at").join(links.select("cls", "links"), "cls")
+    last = runs.agg(F.max("at")).first()[0]
+    done = None
+    for k in range(0 if last is None else last + 1):
+        now = records.where(F.col("at") == k)
+        active = stored
+        if done is not None:  # what has come in since, without what was superseded
+            gone = done.where("superseded_id is not null").select(F.col("superseded_id").alias("id"))
+            came = runs.join(done.where("action = 'inserted' or action = 'superseded' and mem_id = id").select("id"), "id", "left_semi").select("id", "cls", "ts", "root")
+            active = stored.unionByName(came).join(gone, "id", "left_anti")
+        met = now.select("root", F.explode("links.other").alias("cls")).distinct()
+        state = active.join(met, ["root", "cls"], "left_semi")
+        both = now.select("id", "cls", "ts", "root", F.lit(False).alias("state"), "links").unionByName(state.select("id", "cls", "ts", "root", F.lit(True).alias("state"), none.alias("links")))
+        found = cut(both.groupBy("root").applyInPandas(_fold, _OUTCOME))
+        done = found if done is None else done.unionByName(found)
+    if done is None:
+        return runs.select("id", F.lit("").alias("action"), "id", "id", F.lit("").alias("topic")).toDF("id", "action", "mem_id", "superseded_id", "topic").limit(0)
+    whole = runs.where("not stored").select("id", "record").join(done.withColumnRenamed("id", "record"), "record")
+    itself = F.col("id") == F.col("record")
+    refused = (F.col("action") == "superseded") & (F.col("superseded_id") == F.col("record"))
+    return whole.select(
+        "id", F.when(itself | refused, F.col("action")).otherwise("deduped").alias("action"), "mem_id",
+        F.when(itself, F.col("superseded_id")).when(refused, F.col("id")).alias("superseded_id"), F.when(itself | refused, F.col("topic")).alias("topic"),
+    )
 
 
 def applied(stored: DataFrame, new: DataFrame, results: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:

@@ -97,22 +97,22 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, scoped: bool = True
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "id", "cos", "rank")
 
 
-def _above(x: pd.DataFrame, y: pd.DataFrame, least: float) -> pd.DataFrame:
-    """(a, b, cos) of the rows of x and y with a < b and a cosine of `least` and more, by products of bounded size."""
+def _above(x: pd.DataFrame, y: pd.DataFrame, least: float, ordered: bool = True) -> pd.DataFrame:
+    """(a, b, cos) of the rows of x and y with a cosine of `least` and more (ordered: and a < b), by products of bounded size."""
     out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cos": pd.Series(dtype=float)})]
     if len(x) and len(y):
         right, a, b = _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
         for lo in range(0, len(x), 256):
             c = np.clip(_matrix(x.iloc[lo : lo + 256]) @ right, -1, 1)
-            i, j = np.nonzero((c >= least) & (a[lo : lo + 256, None] < b[None, :]))
+            i, j = np.nonzero((c >= least) & (a[lo : lo + 256, None] < b[None, :] if ordered else a[lo : lo + 256, None] != b[None, :]))
             out.append(pd.DataFrame({"a": a[lo + i], "b": b[j], "cos": c[i, j]}))
     return pd.concat(out)
 
 
 def pairs_between(earlier: DataFrame, later: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
-    """(a, b, cos) with a < b of rows (id, scope, vec) of both tables that have one scope and a cosine of `least` and more."""
+    """(a, b, cos) of rows (id, scope, vec), a of the first and b of the second table, that have one scope and a cosine of `least` and more."""
     met = _met(earlier, later, block_rows).groupBy("scope", "i", "j")
-    return met.applyInPandas(lambda f: _above(f[f["left"]], f[~f["left"]], least), "a long, b long, cos double")
+    return met.applyInPandas(lambda f: _above(f[f["left"]], f[~f["left"]], least, ordered=False), "a long, b long, cos double")
 
 
 def similar_pairs(rows: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:

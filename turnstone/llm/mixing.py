@@ -1,10 +1,10 @@
 """Mixing sources to target weights (operator 5).
 
-Each source's texts are one stream of words, cut into blocks of nearly equal length. Output shards
+Each source's texts are one stream of words, cut into blocks of fixed length (a source's last one may be shorter). Output shards
 have slots; how many of a shard's slots a source gets is a multinomial draw, held to the source's total. The driver draws
 for groups of shards, tasks for the shards of a group. A source's
 slots are numbered through all shards, and slot number g takes the block that a pseudorandom
-permutation of the source's block numbers gives for g; a second round through the blocks has a
+permutation of the source's block numbers gives for g (a short block comes last); a second round through the blocks has a
 permutation of its own. Slots and blocks meet in a join by (source, block).
 """
 
@@ -48,6 +48,14 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = (5, 2, 1), share: f
     return out
 
 
+def slots_for(target: float, n: int, block_words: int) -> int:
+    """Slots of a source of n words whose words come nearest to the target: whole rounds, and some blocks of one more."""
+    rounds = int(target // n)
+    rest, full, blocks = target - rounds * n, n // block_words, -(-n // block_words)
+    some = min(full, round(rest / block_words))
+    return rounds * blocks + (blocks if abs(n - rest) < abs(some * block_words - rest) else some)
+
+
 def permuted(g: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
     """A keyed pseudorandom permutation of 0..n-1 at g: a Feistel network, walked until inside."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
@@ -113,9 +121,10 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     sizes = [n_of[s] for s in names]
     goal = targets(sizes, weights, share, most)
     blocks = [-(-n // block_words) for n in sizes]
-    slots = [min(int(most) * b, round(t / (n / b))) if n else 0 for n, b, t in zip(sizes, blocks, goal)]
+    full = [n // block_words for n in sizes]
+    slots = [min(int(most) * b, slots_for(t, n, block_words)) if n else 0 for n, b, t in zip(sizes, blocks, goal)]
     per_group = -(-sum(slots) // (shard_slots * GROUPS))  # shards of a group
-    groups = [(g, g * per_group, first.tolist(), n.tolist(), blocks) for g, first, n in draws(slots, shard_slots * max(1, per_group), [seed])]
+    groups = [(g, g * per_group, first.tolist(), n.tolist(), full, blocks) for g, first, n in draws(slots, shard_slots * max(1, per_group), [seed])]
     facts = spark.createDataFrame([(i, s, n, t, b) for i, (s, n, t, b) in enumerate(zip(names, sizes, goal, blocks))], "sid int, source string, source_size long, target double, blocks long")
 
     # where each document starts in its source's stream: sums inside (source, part), then over parts
@@ -126,23 +135,26 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     at = at.hint("merge").alias("a").join(by_part.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.part") == F.col("b.part"))).select("a.source", "a.key", "a.size", "a.h", (F.coalesce("before", F.lit(0)) + F.col("offset")).alias("start"))
     at = at.alias("a").join(facts.alias("f"), F.col("a.source").eqNullSafe(F.col("f.source"))).select("sid", "a.source", "key", "size", "h", "start", "source_size", "target", "blocks")
 
-    # block i of a source of n words in b blocks holds words [i * n div b, (i + 1) * n div b)
-    block_of = lambda w: F.expr(f"((({w}) + 1) * blocks - 1) div source_size")
+    # block i holds words [i * block_words, (i + 1) * block_words)
+    block_of = lambda w: F.expr(f"({w}) div {block_words}")
     cut = at.where("size > 0").withColumn("block", F.explode(F.sequence(block_of("start"), block_of("start + size - 1"))))
-    cut = cut.withColumn("lo", F.greatest("start", F.expr("block * source_size div blocks"))).withColumn("hi", F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div blocks"))).where("hi > lo")
+    cut = cut.withColumn("lo", F.greatest("start", F.col("block") * block_words)).withColumn("hi", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)).where("hi > lo")
 
-    dealt = spark.createDataFrame(groups, "grp int, shard long, first array<long>, n array<long>, blocks array<long>")
+    dealt = spark.createDataFrame(groups, "grp int, shard long, first array<long>, n array<long>, full array<long>, blocks array<long>")
     dealt = dealt.repartition(max(1, min(len(groups), tasks(spark))))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for grp, shard, first, n, blocks in zip(f["grp"], f["shard"], f["first"], f["n"], f["blocks"]):
+            for grp, shard, first, n, full, blocks in zip(f["grp"], f["shard"], f["first"], f["n"], f["full"], f["blocks"]):
                 for k, begun, now in draws(n, shard_slots, [seed, int(grp)]):
                     sid = np.repeat(np.arange(len(now)), now)
                     g = np.arange(len(sid)) - np.repeat(np.cumsum(now) - now, now) + np.repeat(np.array(first) + begun, now)
-                    of = np.array(blocks)[sid]
+                    of, whole = np.array(blocks)[sid], np.array(full)[sid]
                     keys = (sid * 1_000_003 + g // of * 7919 + seed).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    yield pd.DataFrame({"shard": shard + k, "sid": sid.astype(np.int32), "g": g, "block": permuted(g % of, of, keys)})
+                    block = g % of  # a short block comes last in its round
+                    some = np.flatnonzero(block < whole)
+                    block[some] = permuted(block[some], whole[some], keys[some])
+                    yield pd.DataFrame({"shard": shard + k, "sid": sid.astype(np.int32), "g": g, "block": block})
 
     slot = dealt.mapInPandas(place, "shard long, sid int, g long, block long")
     taken = cut.hint("merge").join(slot, ["sid", "block"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.decontamination import exact_hits, find_matches
+from turnstone.llm.decontamination import hits
 from turnstone.llm.jaccard_join import Similar, similar_components
 from turnstone.llm.mixing import mix_sources
 from turnstone.llm.pii import replace_pii
@@ -68,10 +68,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words pass; equal rows are judged alike.
     """
-    found = find_matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = exact_hits(F.col("matches"))
+    found = hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     h, other, other_h = fresh(docs, "h", "other", "other_h")
-    gone = found.where((hit > 0) & (20 * hit >= F.col("n_words"))).select(F.col("doc_id").alias(other), F.col("h").alias(other_h)).distinct()
+    gone = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias(other), F.col("h").alias(other_h)).distinct()
     rows = docs.withColumn(h, F.xxhash64("text"))
     return rows.join(gone, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(h) == F.col(other_h)), "left_anti").select(docs.columns)
 

@@ -754,3 +754,22 @@ def test_top_level_import():
 
     assert {"pipeline", *(f"op{i}_" for i in range(1, 11))} <= {re.sub(r"^(op\d+_).*", r"\1", n) for n in entry.queries()}
     assert set(entry.oracle_sql()) <= set(entry.queries()) and os.path.exists(entry.__file__)
+
+
+@pytest.mark.parametrize("texts", ["alone", "between"])
+def test_decontamination_of_a_long_text(spark, texts):
+    """A word that is an item, hundreds of thousands of times in one text: neither a row nor a task holds them all."""
+    n = 300_000
+    text = "word " * n if texts == "alone" else "word other " * (n // 2)
+    docs = spark.createDataFrame([(1, text), (2, "other"), (None, "a word")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "word"), (8, "word word"), (9, "word other word")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontamination.hits(docs, items).collect()}
+    assert got == {1: (n, n, [7, 8]) if texts == "alone" else (n, n - 1, [7, 9]), 2: (1, 0, []), None: (2, 1, [7])}
+    assert decontamination.find_matches(docs.where("doc_id = 2"), items).first().n_words == 1
+
+
+def test_blocks_have_one_length(spark):
+    """A source of 129 words is cut into blocks of 128 words and of 1."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(43)), "s") for i in range(3)], "doc_id long, text string, source string")
+    pieces = mixing.mix_sources(docs)[0].groupBy("shard", "slot").agg(F.sum("words").alias("n")).collect()
+    assert {r.n for r in pieces} == {128, 1} and len(pieces) == 3

@@ -13,9 +13,11 @@ like the postings; what goes to all tasks is two bitmaps of fixed size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .words import PUNCTUATION, slices, texts, word_hashes
 
 #: Bits of the maps of test terms and anchors.
 TERM_BITS = 1 << 24
+#: Postings of a row of the index at most.
+CHUNK = 4096
 #: Places outside a document, or without a test term, and outside an item.
 NOWHERE, OUTSIDE = -1, -2
 
@@ -93,19 +97,17 @@ def windows_of(items: DataFrame, freq: DataFrame, window: int, near_terms: int)
     return words.select("item", "term", around.alias("around"), "rare", need.alias("need"))
 
 
-def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, near_terms: int = 4) -> DataFrame:
-    """Every document with the test windows that occur in it.
+@dataclass
+class _Found:
+    """rows: key, h; base: key, h, n_words; anchors: item, w and more; places: key, h, w, kind, first, end of matches with windows w."""
 
-    Returns key, h (hash of the text), n_words, and matches: structs of item, kind ('exact' or
-    'near'), first and end (word positions in the document). An exact match is a run of words
-    in which every window of `window` consecutive words (the whole item, if it is shorter) occurs
-    in the item at the same offset. A near match is the first place within `window` words of an anchor
-    at which near_terms of its window's rarest words occur in any order, but which is not exact; there is one for each item.
+    rows: DataFrame
+    base: DataFrame
+    anchors: DataFrame
+    places: DataFrame
 
-    Null and empty texts and items have no words, so no matches. Repeated rows each get their own
-    result, and items that repeat count once by id. A null id is an id like any other for documents; items
-    with null ids are left out. Other columns are ignored. Empty tables give no rows, or no matches.
-    """
+
+def _search(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, item_text: str, window: int, near_terms: int) -> _Found:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -116,15 +118,70 @@ def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
     anchors = anchors.withColumn("w", F.xxhash64("term", "around", "rare", "need"))
     windows = anchors.drop("item").dropDuplicates(["w"])
     index = written(_postings(rows, terms, anchors.select("term"), window), "positional-index")
-    found = _joined(index, windows, window).join(anchors.select("w", "item").distinct(), "w").drop("w")
+    base = index.select("key", "h", "n_words").dropDuplicates(["key", "h"])
+    return _Found(rows.select("key", F.xxhash64("text").alias("h")), base, anchors, _joined(index, windows, window))
+
+
+def find_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, near_terms: int = 4) -> DataFrame:
+    """Every document with the test windows that occur in it, as a list.
+
+    Returns key, h (hash of the text), n_words, and matches: structs of item, kind ('exact' or
+    'near'), first and end (word positions in the document). An exact match is a run of words
+    in which every window of `window` consecutive words (the whole item, if it is shorter) occurs
+    in the item at the same offset. A near match is the first place within `window` words of an anchor
+    at which near_terms of its window's rarest words occur in any order, but which is not exact; there is one for each item.
+
+    Null and empty texts and items have no words, so no matches. Repeated rows each get their own
+    result, and items that repeat count once by id. A null id is an id like any other for documents; items
+    with null ids are left out. Other columns are ignored. Empty tables give no rows, or no matches. Texts of any length are taken
+    whole, but all matches of a document come in one row: hits() sums them up without such a list.
+    """
+    got = _search(docs, bench, key, text, item, item_text, window, near_terms)
+    found = got.places.join(got.anchors.select("w", "item").distinct(), "w").drop("w")
     place = F.struct("first", "end")
     found = found.groupBy("key", "h", "item", "kind", F.when(F.col("kind") == "exact", place).alias("own")).agg(F.min(place).alias("at"))
     found = found.groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("item", "kind", "at.first", "at.end"))).alias("matches"))
-    base = index.select("key", "h", "n_words").dropDuplicates(["key", "h"])
-    out = rows.select("key", F.xxhash64("text").alias("h")).alias("d").join(base.alias("b"), _same("d", "b")).join(found.alias("p"), _same("d", "p"), "left")
+    out = got.rows.alias("d").join(got.base.alias("b"), _same("d", "b")).join(found.alias("p"), _same("d", "p"), "left")
     return out.select(F.col("d.key").alias(key), "d.h", "n_words", F.coalesce("p.matches", F.array()).alias("matches"))
 
 
+def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
+    """Every document with n_words, n_hit (words in exact matches) and items (those with exact matches); also h, its text's hash.
+
+    As find_matches(), but matches stay rows, those of neighbouring places are joined in the task that finds them, and a document's runs are
+    summed up in order: a text of any length with any number of matches takes bounded memory.
+    """
+    got = _search(docs, bench, key, text, item, item_text, window, 4)
+    exact = written(_runs(got.places.where("kind = 'exact'")), "test-runs")
+    ended = F.max("end").over(Window.partitionBy("key", "h").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(ended, F.lit(0))))
+    words = exact.select("key", "h", "first", "end").distinct().withColumn("new", new).groupBy("key", "h").agg(F.sum("new").cast("long").alias("n_hit"))
+    items = exact.select("key", "h", "w").distinct().join(got.anchors.select("w", "item").distinct(), "w").groupBy("key", "h").agg(F.collect_set("item").alias("items"))
+    out = got.rows.alias("d").join(got.base.alias("b"), _same("d", "b")).join(words.alias("n"), _same("d", "n"), "left").join(items.alias("i"), _same("d", "i"), "left")
+    return out.select(F.col("d.key").alias(key), "d.h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("i.items", F.array()).alias("items"))
+
+
+def _runs(places: DataFrame) -> DataFrame:
+    """places (key, h, w, first, end) with those of one document and window that follow or overlap each other in a task's rows made one."""
+    schema = places.select("key", "h", "w", "first", "end").schema
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, w, first, end = (batch.column(i).to_numpy() for i in range(1, 5))
+            order = np.lexsort((first, w, h))  # of equal texts with several keys, each place counts for each
+            number = pc.dictionary_encode(batch.column(0).cast(pa.string()), null_encoding="encode").indices.to_numpy()
+            order = order[np.argsort(number[order], kind="stable")]
+            h, w, first, end, number = h[order], w[order], first[order], end[order], number[order]
+            same = (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & (number[1:] == number[:-1])
+            begins = np.flatnonzero(np.concatenate([[True], ~(same & (first[1:] <= end[:-1]))]))  # a window's places have one length, so ends ascend
+            last = np.concatenate([begins[1:], [len(h)]]) - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order[begins])), *map(pa.array, (h[begins], w[begins], first[begins], end[last]))], names=schema.names)
+
+    return places.select("key", "h", "w", "first", "end").mapInArrow(join, schema)
+
+
 def _same(a: str, b: str) -> F.Column:
     return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
 
@@ -141,22 +198,30 @@ def _postings(rows: DataFrame, terms: DataFrame, anchors: DataFrame, window: int
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n_words, term, pos, around, ends = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 2 * wide + 1), np.int64)], [0]
-            for _, ids in _terms(batch.column(2)):
-                n_words.append(len(ids))
+            held, size = [], 0
+            for row, ids in _terms(batch.column(2)):
                 low = np.mod(ids, TERM_BITS)
                 places = np.flatnonzero(wanted.value[low])
+                padded = np.full(len(ids) + 2 * wide, NOWHERE, np.int64)
                 if len(places):
-                    padded = np.full(len(ids) + 2 * wide, NOWHERE, np.int64)
                     padded[wide : wide + len(ids)] = np.where(known.value[low], ids, NOWHERE)
-                    term.append(ids[places])
-                    pos.append(places.astype(np.int32))
-                    around.append(padded[places[:, None] + np.arange(2 * wide + 1)])
-                ends.append(ends[-1] + len(places))
-            n = ends[-1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (2 * wide + 1), pa.int32()), pa.array(np.concatenate(around).ravel()))
-            structs = pa.StructArray.from_arrays([pa.array(np.concatenate(term)), pa.array(np.concatenate(pos)), lists], fields=list(posting))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["key", "h", "n_words", "postings"])
+                for k in range(0, max(1, len(places)), CHUNK):  # a long text's postings are several rows
+                    some = places[k : k + CHUNK]
+                    held.append((row, len(ids), ids[some], some, padded[some[:, None] + np.arange(2 * wide + 1)]))
+                    size += len(some)
+                    if size >= CHUNK:
+                        yield rows_of(batch, held)
+                        held, size = [], 0
+            if held:
+                yield rows_of(batch, held)
+
+    def rows_of(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        row, n_words, term, pos, around = zip(*held)
+        ends = np.cumsum([0, *map(len, pos)])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(ends[-1] + 1) * (2 * wide + 1), pa.int32()), pa.array(np.concatenate(around).ravel()))
+        structs = pa.StructArray.from_arrays([pa.array(np.concatenate(term)), pa.array(np.concatenate(pos).astype(np.int32)), lists], fields=list(posting))
+        of = pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["key", "h", "n_words", "postings"])
 
     return slim.mapInArrow(index, out)
 

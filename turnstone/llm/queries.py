@@ -52,11 +52,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontamination import exact_hits, exact_items, find_matches
+    from .decontamination import hits
 
-    found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.transform(exact_items(F.col("matches")), lambda i: i.cast("string")))
-    found = found.select("doc_id", "n_words", exact_hits(F.col("matches")).alias("n_hit"), items.alias("items"))
+    found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = found.withColumn("items", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),

@@ -31,12 +31,9 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row: highest score, then smallest id; what is equal in id and score counts once."""
+    """The k best of each row: highest score, then smallest id; repeated candidates count each."""
     order = np.lexsort((ids, ~scores, row))
     row, ids, scores = row[order], ids[order], scores[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
-    row, ids, scores = row[new], ids[new], scores[new]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[keep], ids[keep], scores[keep]
 
@@ -134,8 +131,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, levels: tuple[i
     """Each query's k best candidates: query_id, rank, vec_id, score (inner product of whole numbers).
 
     Both tables have id long and vec array<long>. A candidate with the query's id is the query's
-    own and left out; rows equal in id and score count once; ties go to the smaller id. Null ids,
-    null vectors and vectors holding nulls take no part; vectors of other lengths than the query's
+    own and left out; ties go to the smaller id. Repeated rows stay rows: each copy of a candidate has a rank
+    of its own, and copies of a query give one list, of the best of all their pairs. Null ids, null vectors and vectors holding nulls take no part; vectors of other lengths than the query's
     are not compared; a query without any candidate returns no row, and an empty table none at all.
 
     Candidates are packed into blocks where they lie and never shuffled; a task passes on k rows for each query. Queries are
@@ -168,6 +165,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, levels: tuple[i
         mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         q = packed(mine.repartition(1), 4096).select("dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
         parts.append(c.join(F.broadcast(q), "dim").drop("n").mapInPandas(search, "query_id long, vec_id long, score long"))
-    found = reduce(DataFrame.unionAll, parts).distinct()
+    found = reduce(DataFrame.unionAll, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

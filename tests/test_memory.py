@@ -200,9 +200,11 @@ def test_cipher(spark):
     key = b"k" * 32
     rows = spark.createDataFrame([("secret text",), ("",), (None,)], "t string")
     sealed = rows.select(store.encrypted(F.col("t"), key).alias("e")).collect()
-    assert sealed[0].e.startswith("ttenc1:") and "secret" not in sealed[0].e and sealed[2].e is None
+    assert sealed[0].e.startswith("sealed1:") and "secret" not in sealed[0].e and sealed[2].e is None
     again = spark.createDataFrame([(r.e,) for r in sealed] + [("plain",)], "e string").select(store.decrypted(F.col("e"), key).alias("t"))
     assert [r.t for r in again.collect()] == ["secret text", "", None, "plain"]
+    other = spark.createDataFrame([(sealed[0].e.replace("sealed1:", "other:"),), (sealed[0].e,)], "e string").select(store.decrypted(F.col("e"), key, "other").alias("t"))
+    assert [r.t for r in other.collect()] == ["secret text", sealed[0].e]
     with pytest.raises(Exception, match="AES"):
         spark.createDataFrame([(sealed[0].e,)], "e string").select(store.decrypted(F.col("e"), b"x" * 32)).collect()
 

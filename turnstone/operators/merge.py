@@ -285,15 +285,15 @@ def contradiction_log(results: DataFrame, rows: DataFrame, now_ms: int) -> DataF
     )
 
 
-def ingest(events: DataFrame, stored: DataFrame, now_ms: int, vectors=hashed_vector, related: float = RELATED, duplicate: float = DUPLICATE, stored_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(events: DataFrame, stored: DataFrame, now_ms: int, vectors=hashed_vector, related: float = RELATED, duplicate: float = DUPLICATE, stored_vectors: DataFrame | None = None, first_id: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, memories, contradictions) of events (EVENT columns, seq) merged into stored memories (MEMORY columns).
 
     vectors: a column function of texts; stored_vectors: (id, vec) of the stored rows, where they needn't be worked out anew. New rows
-    get ids above the stored ones, in order of seq and place.
+    get ids from first_id on and above the stored ones, in order of seq and place.
     """
     rows = statements(events)
     top = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first().top
-    new = cut(numbered(rows, ["seq", "cand"], top + 1).withColumn("vec", vectors(F.col("text"))))
+    new = cut(numbered(rows, ["seq", "cand"], max(top + 1, first_id)).withColumn("vec", vectors(F.col("text"))))
     old = stored.where("status = 'active'").select("id", F.lit(True).alias("stored"), "project", "kind", "ts", "text")
     old = old.withColumn("vec", vectors(F.col("text"))) if stored_vectors is None else old.join(stored_vectors.select("id", "vec"), "id")
     nodes = old.unionByName(new.select("id", F.lit(False).alias("stored"), "project", "kind", "ts", "text", "vec"))

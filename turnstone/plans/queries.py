@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, features, redact, score, text
-from ..operators import maintain, merge, retrieve, similarity, views
+from ..operators import inverted, maintain, merge, retrieve, similarity, views
 from ..operators.graph import shared_folder
 from ..sources import captured, exports, replies, store
 from . import derived as d
@@ -403,6 +403,36 @@ def keyword_topk(spark, sf_dir):
     return found.select("qid", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+def _stored(spark, sf_dir) -> store.Store:
+    """All memories in a store of this run, with the given vectors."""
+    _, rows = _searchable(spark, sf_dir)
+    kept = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    columns = [c.split(" ")[0] for c in merge_schema().split(", ")]
+    kept.write(rows.select(columns), rows.where("vec is not null").select("id", "vec"), rows.select("id", "text"), 0)
+    return kept
+
+
+def _stored_ranks(spark, sf_dir, kept: store.Store) -> DataFrame:
+    found, _ = inverted.bounded_search(_queries(spark, sf_dir), kept.index(), kept.totals(), 32)
+    return found.select("qid", "id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query(_BM25 + " SELECT qid, id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM kw WHERE rank <= 32")
+def stored_keyword_topk(spark, sf_dir):
+    return _stored_ranks(spark, sf_dir, _stored(spark, sf_dir))
+
+
+_LEFT = f"SELECT * FROM ({d.SQL_MEMORIES}) WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"
+
+
+@query(_BM25.replace(d.SQL_MEMORIES, _LEFT) + " SELECT qid, id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM kw WHERE rank <= 32")
+def stored_topk_after_delete(spark, sf_dir):
+    kept = _stored(spark, sf_dir)
+    kept.delete(d.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")))
+    kept.vacuum()
+    return _stored_ranks(spark, sf_dir, kept)
+
+
 _TERM_LIST = f"SELECT qid, array_to_string({d.s_terms('query')}, ' ') AS terms FROM ({_Q})"
 
 

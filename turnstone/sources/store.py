@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..operators.graph import cut
+from ..operators.inverted import BLOCK, TOTALS, blocks, postings_of, totals
+from ..operators.maintain import reclassified, without
+from ..operators.retrieve import postings
 from ..schemas import CONTRADICTION, MEMORY
 
-#: What stands before encrypted texts (fixed value).
-MARKER = "ttenc1"
+#: What stands before encrypted texts.
+MARKER = "sealed1"
 
 
 def encrypted(text: Column, key: bytes) -> Column:
@@ -26,11 +31,11 @@ def encrypted(text: Column, key: bytes) -> Column:
     return F.when(text.isNotNull(), let(F.aes_encrypt(text, F.lit(bytearray(key)), F.lit("GCM")), parts))
 
 
-def decrypted(text: Column, key: bytes) -> Column:
-    """Plain text; rows that aren't encrypted pass, and a wrong key is an error."""
+def decrypted(text: Column, key: bytes, marker: str = MARKER) -> Column:
+    """Plain text; rows that aren't encrypted pass, and a wrong key is an error. marker: what stands before the texts, for those that another program encrypted."""
     p = F.split(text, ":")
     sealed = F.concat(*(F.unbase64(F.try_element_at(p, F.lit(i))) for i in (2, 4, 3)))
-    return F.when(text.startswith(MARKER + ":"), F.aes_decrypt(sealed, F.lit(bytearray(key)), F.lit("GCM")).cast("string")).otherwise(text)
+    return F.when(text.startswith(marker + ":"), F.aes_decrypt(sealed, F.lit(bytearray(key)), F.lit("GCM")).cast("string")).otherwise(text)
 
 
 def upgraded(memories: DataFrame) -> DataFrame:
@@ -41,14 +46,27 @@ def upgraded(memories: DataFrame) -> DataFrame:
     return memories.withColumn("last_seen", F.coalesce(F.nullif("last_seen", F.lit(0)), "ts"))
 
 
+class Current(NamedTuple):
+    """The snapshot in use: its place in the order of snapshots, the last batch in it, the greatest id so far, its folders."""
+
+    step: int
+    number: int
+    top: int
+    generation: str
+    name: str
+
+
 class Store:
-    """Tables under a folder. `current` names the snapshot in use, so that none is overwritten while it is read."""
+    """Tables under a folder. The last line of `current` names the snapshot in use, so that none is overwritten while it is read.
+
+    Vectors, postings (in blocks) and totals grow by batches inside a generation; a new generation begins where they are written anew.
+    Ids of deleted memories are never given again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _current(self) -> tuple[int, int, str] | None:
-        """(number, first batch of vectors and postings, folder of memories) of the snapshot in use."""
+    def _current(self) -> Current | None:
         try:
             row = self.spark.read.text(f"{self.folder}/current").orderBy(F.desc("value")).first()
         except Exception as e:  # no snapshot yet
@@ -57,52 +75,112 @@ class Store:
             raise
         if row is None:
             return None
-        number, first, name = row.value.split(" ", 2)
-        return int(number), int(first), name
+        step, number, top, generation, name = row.value.split(" ")
+        return Current(int(step), int(number), int(top), generation, name)
 
     def number(self) -> int | None:
-        """The number of the snapshot in use."""
+        """The number of the last batch in use."""
+        at = self._current()
+        return None if at is None else at.number
+
+    def next_id(self) -> int:
+        """The first id that no memory has or had."""
         at = self._current()
-        return None if at is None else at[0]
+        return 0 if at is None else at.top + 1
 
     def memories(self) -> DataFrame:
         at = self._current()
-        return self.spark.createDataFrame([], MEMORY) if at is None else self.spark.read.schema(MEMORY).parquet(f"{self.folder}/memories/{at[2]}")
+        return self.spark.createDataFrame([], MEMORY) if at is None else self.spark.read.schema(MEMORY).parquet(f"{self.folder}/memories/{at.name}")
 
     def _batches(self, name: str, schema: str) -> DataFrame:
         """Batches of a table that only grows, but for those of snapshots that were never finished."""
         at = self._current()
         if at is None:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/{name}")
-        return rows.where(F.col("batch").between(at[1], at[0])).drop("batch")
+        rows = self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/{name}/{at.generation}")
+        return rows.where(F.col("batch") <= at.number).drop("batch")
 
     def vectors(self) -> DataFrame:
         return self._batches("vectors", "id bigint, vec array<double>")
 
+    def index(self) -> DataFrame:
+        """The postings in blocks, for bounded_search()."""
+        return self._batches("postings", BLOCK)
+
     def postings(self) -> DataFrame:
-        return self._batches("postings", "term string, id bigint, tf bigint, dl bigint")
+        return postings_of(self.index())
+
+    def totals(self) -> DataFrame:
+        """(docs, words) of every batch."""
+        return self._batches("totals", TOTALS)
 
     def contradictions(self) -> DataFrame:
+        at = self._current()
         try:
-            return self.spark.read.parquet(f"{self.folder}/contradictions").drop("batch")
+            rows = self.spark.read.schema(f"{CONTRADICTION}, batch bigint").parquet(f"{self.folder}/contradictions")
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], CONTRADICTION)
             raise
+        return rows.where(F.col("batch") <= (-1 if at is None else at.number)).drop("batch")
 
-    def write(self, memories: DataFrame, vectors: DataFrame, postings: DataFrame | None, number: int, whole: bool = True) -> None:
-        """A new snapshot; number orders snapshots. vectors and postings are those of all memories, or, if not whole, of the ones that
-        are new; texts never change, so that what is stored stays. Postings are left empty for encrypted texts."""
-        at = None if whole else self._current()
-        name = uuid.uuid4().hex
+    def write(self, memories: DataFrame, vectors: DataFrame, texts: DataFrame | None, number: int, whole: bool = True) -> None:
+        """A new snapshot after batch `number`. vectors and texts (id, text: what can be searched for) are those of all memories, or, if not whole, of the
+        ones that are new; texts never change, so that what is stored stays. No texts are given for encrypted ones: nothing is indexed."""
+        texts = self.spark.createDataFrame([], "id bigint, text string") if texts is None else texts
+        self._write(memories, vectors, blocks(postings(texts)), totals(texts), number, whole)
+
+    def _write(self, memories: DataFrame, vectors: DataFrame, index: DataFrame, sums: DataFrame, number: int, whole: bool) -> None:
+        at = self._current()
+        generation = uuid.uuid4().hex if whole or at is None else at.generation
+        for name, rows in (("vectors", vectors), ("totals", sums)):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{generation}/batch={number}")
+        # a folder's rows in few files, however many or few they are
+        index.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{generation}/batch={number}")
+        self._use(memories, number, generation)
+
+    def _use(self, memories: DataFrame, number: int, generation: str) -> None:
+        at, name = self._current(), uuid.uuid4().hex
         memories.write.partitionBy("status").parquet(f"{self.folder}/memories/{name}")
-        vectors.write.mode("overwrite").parquet(f"{self.folder}/vectors/batch={number}")
-        empty = self.spark.createDataFrame([], "term string, id bigint, tf bigint, dl bigint")
-        (postings if postings is not None else empty).write.mode("overwrite").parquet(f"{self.folder}/postings/batch={number}")
-        line = f"{number:020d} {number if at is None else at[1]} {name}"
+        top = self.spark.read.schema(MEMORY).parquet(f"{self.folder}/memories/{name}").agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+        step, top = (0, top) if at is None else (at.step + 1, max(top, at.top))
+        line = f"{step:020d} {number} {top} {generation} {name}"
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/current")
 
     def append_contradictions(self, rows: DataFrame, number: int) -> None:
         """The log's rows of one batch; writing a batch again replaces them."""
         rows.write.mode("overwrite").parquet(f"{self.folder}/contradictions/batch={number}")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Memories with the given ids out of memories, vectors and postings; unknown and null ids change nothing.
+
+        What goes is still in the files of older snapshots until vacuum(). The log of contradictions stays.
+        """
+        at = self._current()
+        if at is None:
+            return
+        ids = cut(ids.select("id").where("id is not null").distinct())
+        memories = self.memories()
+        indexed = not self.index().isEmpty()
+        gone = totals(memories.join(ids, "id", "left_semi").select("id", "text"))
+        less = gone.select((-F.col("docs")).alias("docs"), (-F.col("words")).alias("words")) if indexed else gone.limit(0)
+        sums = self.totals().unionByName(less).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+        self._write(without(memories, ids), without(self.vectors(), ids), blocks(without(self.postings(), ids)), sums, at.number, whole=True)
+
+    def reclassify(self, kinds: DataFrame) -> None:
+        """The kinds of a table (id, kind) set, and importance anew; vectors and postings stay."""
+        at = self._current()
+        if at is not None:
+            self._use(reclassified(self.memories(), kinds), at.number, at.generation)
+
+    def vacuum(self) -> None:
+        """Removes the files of all snapshots but the one in use. To be called when no query reads an older one and no batch is being written."""
+        at = self._current()
+        if at is None:
+            return
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for table, used in (("memories", at.name), *((t, at.generation) for t in ("vectors", "postings", "totals"))):
+            for entry in files.listStatus(hadoop.Path(f"{self.folder}/{table}")):
+                if entry.getPath().getName() != used:
+                    files.delete(entry.getPath(), True)

@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.graph import cut
 from ..operators.merge import ingest
-from ..operators.retrieve import postings
 from ..operators.similarity import hashed_vector
 from ..sources.captured import captured_events
 from ..sources.store import Store
@@ -26,11 +25,11 @@ def merge_batch(store: Store, turns: DataFrame, batch_id: int, now_ms: int) -> N
         return
     done, vectors = store.memories(), store.vectors()
     events = captured_events(turns, now_ms).withColumn("seq", F.struct("conv", "turn"))
-    _, memories, log = ingest(events, done, now_ms, stored_vectors=vectors)
+    _, memories, log = ingest(events, done, now_ms, stored_vectors=vectors, first_id=store.next_id())
     memories = cut(memories)
     store.append_contradictions(log, batch_id)
     new = memories.join(done.select("id"), "id", "left_anti").select("id", "text")
-    store.write(memories, new.select("id", hashed_vector(F.col("text")).alias("vec")), postings(new), batch_id, whole=False)
+    store.write(memories, new.select("id", hashed_vector(F.col("text")).alias("vec")), new, batch_id, whole=False)
 
 
 def start(spark: SparkSession, source: str, store: Store, checkpoint: str, now_ms: int, files_per_batch: int = 100) -> StreamingQuery:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .graph import cut
 from .retrieve import K1, LEAST_IDF, B, query_index, terms
 
@@ -20,14 +21,45 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def blocks(postings: DataFrame, ids: int = BLOCK_IDS) -> DataFrame:
-    """BLOCK rows of postings (term, id, tf, dl): those of one term in `ids` neighbouring ids, so that a frequent term is many rows.
+def counted(text: Column) -> Column:
+    """An array of (term, tf, dl) of a text: its terms in order, and where each begins among them."""
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(n + 1))
+        each = lambda at: F.zip_with(at, ends(at), lambda i, j: F.struct(F.element_at(w, i).alias("term"), (j - i).cast("bigint").alias("tf"), n.cast("bigint").alias("dl")))
+        return F.when(n > 0, let(starts, each)).otherwise(F.array().cast("array<struct<term:string,tf:bigint,dl:bigint>>"))
 
-    A row tells how many postings it has, their greatest tf and least dl; a table may hold several rows of one block.
+    return let(F.array_sort(terms(F.coalesce(text, F.lit("")))), of)
+
+
+def blocks(texts: DataFrame, ids: int = BLOCK_IDS) -> DataFrame:
+    """BLOCK rows of texts (id, text; ids occur once): the postings of one term in `ids` neighbouring ids, so that a frequent term is many rows.
+
+    A row tells how many postings it has, their greatest tf and least dl; a table may hold several rows of one block. Terms are
+    counted where their text lies, so that only blocks are shuffled.
     """
     at = F.floor(F.col("id") / ids).cast("bigint").alias("block")
-    per = postings.groupBy("term", at).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).cast(POSTS).alias("posts"))
-    return per.withColumn("bucket", bucket(F.col("term")))
+    postings = texts.select("id", F.explode(counted(F.col("text"))).alias("p")).select("id", "p.term", "p.tf", "p.dl")
+    return _heads(postings.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).cast(POSTS).alias("posts")))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """BLOCK rows of (term, block, posts)."""
+    return rows.select("term", "block", F.size("posts").cast("bigint").alias("n"), F.array_max("posts.tf").alias("max_tf"), F.array_min("posts.dl").alias("min_dl"), "posts", bucket(F.col("term")).alias("bucket"))
+
+
+def without_ids(index: DataFrame, ids: DataFrame, size: int = BLOCK_IDS) -> DataFrame:
+    """BLOCK rows without the postings of some ids. The ids of a block become a bitmap, so that blocks stay whole rows."""
+    at = F.floor(F.col("id") / size).cast("bigint").alias("block")
+    place = F.pmod(F.col("id"), F.lit(size))
+    bits = ids.where("id is not null").groupBy(at, F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {size}) % 64 as int))")).alias("bits"))
+    gone = bits.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    gone = gone.select("block", F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 64)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("bigint"))).alias("gone"))
+    here = lambda p: F.pmod(p["id"], F.lit(size))
+    stays = lambda p: F.getbit(F.element_at("gone", (F.floor(here(p) / 64) + 1).cast("int")), (here(p) % 64).cast("int")) == 0
+    kept = index.join(gone, "block", "left").withColumn("posts", F.when(F.col("gone").isNull(), F.col("posts")).otherwise(F.filter("posts", stays)))
+    return _heads(kept.where(F.size("posts") > 0))
 
 
 def totals(texts: DataFrame) -> DataFrame:

@@ -405,10 +405,11 @@ def keyword_topk(spark, sf_dir):
 
 def _stored(spark, sf_dir) -> store.Store:
     """All memories in a store of this run, with the given vectors."""
-    _, rows = _searchable(spark, sf_dir)
+    rows = d.memories(spark, sf_dir)
+    e = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     kept = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     columns = [c.split(" ")[0] for c in merge_schema().split(", ")]
-    kept.write(rows.select(columns), rows.where("vec is not null").select("id", "vec"), rows.select("id", "text"), 0)
+    kept.write(rows.select(columns), e.where("vec is not null").join(rows.select("id"), "id", "left_semi"), rows.select("id", "text"), 0)
     return kept
 
 

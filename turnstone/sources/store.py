@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.graph import cut
-from ..operators.inverted import BLOCK, TOTALS, blocks, postings_of, totals
+from ..operators.inverted import BLOCK, TOTALS, blocks, postings_of, totals, without_ids
 from ..operators.maintain import reclassified, without
-from ..operators.retrieve import postings
 from ..schemas import CONTRADICTION, MEMORY
 
 #: What stands before encrypted texts.
@@ -128,7 +127,7 @@ class Store:
         """A new snapshot after batch `number`. vectors and texts (id, text: what can be searched for) are those of all memories, or, if not whole, of the
         ones that are new; texts never change, so that what is stored stays. No texts are given for encrypted ones: nothing is indexed."""
         texts = self.spark.createDataFrame([], "id bigint, text string") if texts is None else texts
-        self._write(memories, vectors, blocks(postings(texts)), totals(texts), number, whole)
+        self._write(memories, vectors, blocks(texts), totals(texts), number, whole)
 
     def _write(self, memories: DataFrame, vectors: DataFrame, index: DataFrame, sums: DataFrame, number: int, whole: bool) -> None:
         at = self._current()
@@ -165,7 +164,7 @@ class Store:
         gone = totals(memories.join(ids, "id", "left_semi").select("id", "text"))
         less = gone.select((-F.col("docs")).alias("docs"), (-F.col("words")).alias("words")) if indexed else gone.limit(0)
         sums = self.totals().unionByName(less).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
-        self._write(without(memories, ids), without(self.vectors(), ids), blocks(without(self.postings(), ids)), sums, at.number, whole=True)
+        self._write(without(memories, ids), without(self.vectors(), ids), without_ids(self.index(), ids), sums, at.number, whole=True)
 
     def reclassify(self, kinds: DataFrame) -> None:
         """The kinds of a table (id, kind) set, and importance anew; vectors and postings stay."""

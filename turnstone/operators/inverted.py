@@ -41,7 +41,10 @@ def blocks(texts: DataFrame, ids: int = BLOCK_IDS) -> DataFrame:
     """
     at = F.floor(F.col("id") / ids).cast("bigint").alias("block")
     postings = texts.select("id", F.explode(counted(F.col("text"))).alias("p")).select("id", "p.term", "p.tf", "p.dl")
-    return _heads(postings.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).cast(POSTS).alias("posts")))
+    # shuffled once, so that each folder's rows lie in as many tasks as the session's partitions allow
+    salts = -(-int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = postings.withColumn("block", at).withColumn("bucket", bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("term", "block"), F.lit(salts))).repartition("bucket", "salt")
+    return _heads(dealt.groupBy("bucket", "salt", "term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).cast(POSTS).alias("posts")))
 
 
 def _heads(rows: DataFrame) -> DataFrame:
@@ -49,17 +52,24 @@ def _heads(rows: DataFrame) -> DataFrame:
     return rows.select("term", "block", F.size("posts").cast("bigint").alias("n"), F.array_max("posts.tf").alias("max_tf"), F.array_min("posts.dl").alias("min_dl"), "posts", bucket(F.col("term")).alias("bucket"))
 
 
-def without_ids(index: DataFrame, ids: DataFrame, size: int = BLOCK_IDS) -> DataFrame:
+#: Blocks with deleted ids (512 bytes each) that go to all tasks; more are joined.
+SENT = 65_536
+
+
+def without_ids(index: DataFrame, ids: DataFrame, size: int = BLOCK_IDS, sent: int = SENT) -> DataFrame:
     """BLOCK rows without the postings of some ids. The ids of a block become a bitmap, so that blocks stay whole rows."""
     at = F.floor(F.col("id") / size).cast("bigint").alias("block")
     place = F.pmod(F.col("id"), F.lit(size))
     bits = ids.where("id is not null").groupBy(at, F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {size}) % 64 as int))")).alias("bits"))
     gone = bits.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     gone = gone.select("block", F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 64)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("bigint"))).alias("gone"))
+    gone = cut(gone)
+    few = gone.count() <= sent
     here = lambda p: F.pmod(p["id"], F.lit(size))
     stays = lambda p: F.getbit(F.element_at("gone", (F.floor(here(p) / 64) + 1).cast("int")), (here(p) % 64).cast("int")) == 0
-    kept = index.join(gone, "block", "left").withColumn("posts", F.when(F.col("gone").isNull(), F.col("posts")).otherwise(F.filter("posts", stays)))
-    return _heads(kept.where(F.size("posts") > 0))
+    kept = index.join(F.broadcast(gone) if few else gone, "block", "left").withColumn("posts", F.when(F.col("gone").isNull(), F.col("posts")).otherwise(F.filter("posts", stays)))
+    kept = _heads(kept.where(F.size("posts") > 0))
+    return kept if few else kept.hint("rebalance", "bucket")
 
 
 def totals(texts: DataFrame) -> DataFrame:

@@ -134,8 +134,7 @@ class Store:
         generation = uuid.uuid4().hex if whole or at is None else at.generation
         for name, rows in (("vectors", vectors), ("totals", sums)):
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{generation}/batch={number}")
-        # a folder's rows in few files, however many or few they are
-        index.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{generation}/batch={number}")
+        index.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{generation}/batch={number}")
         self._use(memories, number, generation)
 
     def _use(self, memories: DataFrame, number: int, generation: str) -> None:

@@ -52,6 +52,8 @@ def _heads(rows: DataFrame) -> DataFrame:
     return rows.select("term", "block", F.size("posts").cast("bigint").alias("n"), F.array_max("posts.tf").alias("max_tf"), F.array_min("posts.dl").alias("min_dl"), "posts", bucket(F.col("term")).alias("bucket"))
 
 
+#: Terms of a batch of queries that go to all tasks; more are joined.
+FEW = 100_000
 #: Blocks with deleted ids (512 bytes each) that go to all tasks; more are joined.
 SENT = 65_536
 
@@ -104,8 +106,10 @@ def bounded_search(queries: DataFrame, index: DataFrame, total: DataFrame, pool:
     without matches has no rows.
     """
     asked = query_index(queries).withColumn("bucket", bucket(F.col("term")))
-    wanted = asked.select("bucket", "term").distinct()
-    heads = index.select("bucket", "term", "block", "n", "max_tf", "min_dl").join(wanted, ["bucket", "term"], "left_semi")
+    wanted = cut(asked.select("bucket", "term").distinct())
+    # of the index only the asked terms' blocks go on, without a shuffle where these are few
+    index = index.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["bucket", "term"], "left_semi")
+    heads = index.select("bucket", "term", "block", "n", "max_tf", "min_dl")
     heads = cut(heads.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")))
     # one row
     size = total.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("avgdl"))

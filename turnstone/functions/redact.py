@@ -80,29 +80,35 @@ def masked(s: Column) -> Column:
 _FINDINGS = "array<struct<type:string,preview:string>>"
 
 
-def with_redaction(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with text redacted and found, an array of (type, masked preview) in the order of the steps."""
+def with_redaction(rows: DataFrame, text: str = "text", shown=masked) -> DataFrame:
+    """rows with text redacted and found, an array of (type, preview) in the order of the steps; shown: what a preview gives of a secret."""
     state = F.struct(F.col(text).alias("t"), F.array().cast(_FINDINGS).alias("found"))
     for step in STEPS:
-        state = let(state, _searched(step))
-    last = lambda x: F.struct(redact_tokens(x["t"]).alias("t"), F.concat(x["found"], _found("high-entropy", F.filter(tokens(x["t"]), _is_token)).cast(_FINDINGS)).alias("found"))
+        state = let(state, _searched(step, shown))
+    last = lambda x: F.struct(redact_tokens(x["t"]).alias("t"), F.concat(x["found"], _found("high-entropy", F.filter(tokens(x["t"]), _is_token), shown).cast(_FINDINGS)).alias("found"))
     done = rows.select(*(c for c in rows.columns if c != "found"), let(state, last).alias("found"))
     return done.withColumn(text, F.col("found.t")).withColumn("found", F.col("found.found"))
 
 
-def _searched(step: tuple):
+def secrets(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(type, secret) of every finding in the texts, unmasked: for checks that nothing of it is kept, not for keeping."""
+    found = with_redaction(rows.select(F.col(text).alias("text")), shown=lambda s: s)
+    return found.select(F.explode("found").alias("f")).select("f.type", F.col("f.preview").alias("secret"))
+
+
+def _searched(step: tuple, shown):
     """One step on (t, found): the text before it, and what was found so far."""
     name, p, group, new = step
     def of(x: Column) -> Column:
         some, hits = GATES[name](x["t"]), F.regexp_extract_all(x["t"], F.lit(pattern(p)), group)
-        found = F.when(some, F.concat(x["found"], _found(name, hits).cast(_FINDINGS))).otherwise(x["found"])
+        found = F.when(some, F.concat(x["found"], _found(name, hits, shown).cast(_FINDINGS))).otherwise(x["found"])
         return F.struct(F.when(some, F.regexp_replace(x["t"], pattern(p), new)).otherwise(x["t"]).alias("t"), found.alias("found"))
 
     return of
 
 
-def _found(name: str, hits: Column) -> Column:
-    return F.transform(hits, lambda m: F.struct(F.lit(name).alias("type"), masked(m).alias("preview")))
+def _found(name: str, hits: Column, shown) -> Column:
+    return F.transform(hits, lambda m: F.struct(F.lit(name).alias("type"), shown(m).alias("preview")))
 
 
 def leaks(s: Column) -> Column:

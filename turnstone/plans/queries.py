@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, features, redact, score, text
-from ..operators import inverted, maintain, merge, retrieve, similarity, views
+from ..operators import inverted, leaks, maintain, merge, retrieve, similarity, views
 from ..operators.graph import shared_folder
 from ..sources import captured, exports, replies, store
 from . import derived as d
@@ -163,11 +163,16 @@ _ENTROPY = "(SELECT -sum(k / n * log2(k / n)) FROM (SELECT count(*) AS k, length
 _HIGH = f"regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]') AND {_ENTROPY} >= 4"
 
 
-def _sql_findings() -> str:
+def _sql_hits() -> str:
+    """The findings (doc_id, type, m) of the CTEs of _sql_states()."""
     hits = [f"SELECT doc_id, '{name}' AS type, unnest(regexp_extract_all(t, '{redact.pattern(p, edge=chr(92) + 'b', space=d.SPACE).replace(chr(39), chr(39) * 2)}', {group})) AS m FROM t{i}" for i, (name, p, group, _) in enumerate(redact.STEPS)]
     high = f"SELECT doc_id, 'high-entropy', token FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_TOKEN}')) AS token FROM t{len(redact.STEPS)}) WHERE {_HIGH}"
+    return f"{' UNION ALL '.join(hits)} UNION ALL {high}"
+
+
+def _sql_findings() -> str:
     flat, n = d.s_trim(f"regexp_replace(m, '[{d.SPACE}]+', ' ', 'g')"), d.s_length("m")
-    return f"""WITH {_sql_states("SELECT doc_id, text AS t FROM documents")}, f AS ({' UNION ALL '.join(hits)} UNION ALL {high}), g AS (SELECT doc_id, type, {flat} AS m FROM f)
+    return f"""WITH {_sql_states("SELECT doc_id, text AS t FROM documents")}, f AS ({_sql_hits()}), g AS (SELECT doc_id, type, {flat} AS m FROM f)
         SELECT doc_id, type, CASE WHEN {n} <= 6 THEN repeat('*', {n}) ELSE m[1:3] || '…' || m[-2:] || ' (' || {n} || ' chars)' END AS preview FROM g"""
 
 
@@ -498,6 +503,25 @@ def memory_lines(spark, sf_dir):
     return rows.select("id", F.md5("line").alias("line_md5"), text.estimated_tokens(F.col("line")).cast("long").alias("tokens"))
 
 
+# every secret of the documents, looked for in their texts before and after redaction and in the memories' lines
+@query(f"""WITH {_sql_states("SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL")}, f AS ({_sql_hits()}), s AS (SELECT DISTINCT m FROM f WHERE m <> ''),
+    k AS (SELECT doc_id, list(m ORDER BY length(m) DESC, m) AS tokens FROM f WHERE type = 'high-entropy' GROUP BY doc_id),
+    r AS (SELECT doc_id, list_reduce(list_prepend(t, coalesce(tokens, [])), lambda a, token: replace(a, token, '[REDACTED:token]')) AS text FROM t{len(redact.STEPS)} LEFT JOIN k USING (doc_id)),
+    p AS (SELECT 'given' AS place, doc_id AS id, t AS text FROM t0 UNION ALL SELECT 'stored', doc_id, text FROM r
+          UNION ALL SELECT 'line', id, {_LINE} FROM (SELECT m.* REPLACE (r.text AS text) FROM ({d.SQL_MEMORIES}) m JOIN r ON r.doc_id = m.id)),
+    h AS (SELECT place, id, m FROM p JOIN s ON contains(p.text, s.m))
+    SELECT place, n AS texts, coalesce(leaking, 0) AS leaking, coalesce(secrets, 0) AS secrets FROM (SELECT place, count(*) AS n FROM p GROUP BY place)
+    LEFT JOIN (SELECT place, count(DISTINCT id) AS leaking, count(DISTINCT m) AS secrets FROM h GROUP BY place) USING (place)""")
+def leak_search(spark, sf_dir):
+    given = d.memories(spark, sf_dir)
+    stored = given.withColumn("text", redact.redact(F.col("text")))
+    kept = lambda rows, place, t: rows.select(F.struct(F.lit(place).alias("place"), "id").alias("at"), F.col(t).alias("text"))
+    texts = kept(given, "given", "text").unionByName(kept(stored, "stored", "text")).unionByName(kept(stored.withColumn("line", retrieve.memory_line()), "line", "line"))
+    found = leaks.search(texts, redact.secrets(given), key="at")
+    held = found.groupBy("at.place").agg(F.count_distinct("at.id").alias("leaking"), F.count_distinct("secret").alias("secrets"))
+    return texts.groupBy("at.place").agg(F.count("*").alias("texts")).join(held, "place", "left").na.fill(0, ["leaking", "secrets"])
+
+
 def _s_packed(rows: str, by: str) -> str:
     return f"""SELECT * FROM (SELECT *, sum({_COST}) OVER (PARTITION BY {by} ORDER BY rank) AS used, row_number() OVER (PARTITION BY {by} ORDER BY rank) AS n FROM {rows}) WHERE n = 1 OR used <= 600"""
 

@@ -23,6 +23,7 @@ STEPS = (
     ("apikey", r"{b}sk-(?:ant-|proj-|live-|test-)?[A-Za-z0-9_-]{{16,}}{b}", 0, "[REDACTED:apikey]"),
 )
 LONG = r"{b}[A-Za-z0-9+/_=-]{{40,}}{b}"
+SOME_TOKEN = "[A-Za-z0-9+/_=-]{40}"
 #: What a text must hold for a step to find anything.
 GATES = {
     "private-key": lambda s: s.contains("PRIVATE KEY"), "connection-password": lambda s: s.contains("://"), "bearer-token": lambda s: s.contains("earer"),
@@ -61,7 +62,7 @@ def redact_tokens(s: Column) -> Column:
     # the text between tokens: one piece more than there are tokens
     new = lambda t: F.transform(tokens(t), lambda p: F.when(_is_token(p), "[REDACTED:token]").otherwise(p))
     joined = lambda t: F.array_join(F.zip_with(F.split(t, pattern(LONG), -1), new(t), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return let(s, lambda t: F.when(t.rlike(r"[A-Za-z0-9+/_=-]{40}"), joined(t)).otherwise(t))
+    return let(s, lambda t: F.when(t.rlike(SOME_TOKEN), joined(t)).otherwise(t))
 
 
 def redact(s: Column) -> Column:
@@ -85,15 +86,20 @@ def with_redaction(rows: DataFrame, text: str = "text", shown=masked) -> DataFra
     state = F.struct(F.col(text).alias("t"), F.array().cast(_FINDINGS).alias("found"))
     for step in STEPS:
         state = let(state, _searched(step, shown))
-    last = lambda x: F.struct(redact_tokens(x["t"]).alias("t"), F.concat(x["found"], _found("high-entropy", F.filter(tokens(x["t"]), _is_token), shown).cast(_FINDINGS)).alias("found"))
+    high = lambda x: _found("high-entropy", F.filter(tokens(x["t"]), _is_token), shown).cast(_FINDINGS)
+    last = lambda x: F.struct(redact_tokens(x["t"]).alias("t"), F.when(x["t"].rlike(SOME_TOKEN), F.concat(x["found"], high(x))).otherwise(x["found"]).alias("found"))
     done = rows.select(*(c for c in rows.columns if c != "found"), let(state, last).alias("found"))
     return done.withColumn(text, F.col("found.t")).withColumn("found", F.col("found.found"))
 
 
 def secrets(rows: DataFrame, text: str = "text") -> DataFrame:
     """(type, secret) of every finding in the texts, unmasked: for checks that nothing of it is kept, not for keeping."""
-    found = with_redaction(rows.select(F.col(text).alias("text")), shown=lambda s: s)
-    return found.select(F.explode("found").alias("f")).select("f.type", F.col("f.preview").alias("secret"))
+    return unmasked(with_redaction(rows.select(F.col(text).alias("text")), shown=lambda s: s))
+
+
+def unmasked(rows: DataFrame) -> DataFrame:
+    """(type, secret) of the findings of with_redaction(), whose previews show all."""
+    return rows.select(F.explode("found").alias("f")).select("f.type", F.col("f.preview").alias("secret"))
 
 
 def _searched(step: tuple, shown):

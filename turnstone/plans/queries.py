@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, features, redact, score, text
 from ..operators import inverted, leaks, maintain, merge, retrieve, similarity, views
-from ..operators.graph import shared_folder
+from ..operators.graph import cut, shared_folder
 from ..sources import captured, exports, replies, store
 from . import derived as d
 
@@ -514,10 +514,11 @@ def memory_lines(spark, sf_dir):
     LEFT JOIN (SELECT place, count(DISTINCT id) AS leaking, count(DISTINCT m) AS secrets FROM h GROUP BY place) USING (place)""")
 def leak_search(spark, sf_dir):
     given = d.memories(spark, sf_dir)
-    stored = given.withColumn("text", redact.redact(F.col("text")))
+    # redacted once
+    stored = cut(redact.with_redaction(given, shown=lambda s: s))
     kept = lambda rows, place, t: rows.select(F.struct(F.lit(place).alias("place"), "id").alias("at"), F.col(t).alias("text"))
     texts = kept(given, "given", "text").unionByName(kept(stored, "stored", "text")).unionByName(kept(stored.withColumn("line", retrieve.memory_line()), "line", "line"))
-    found = leaks.search(texts, redact.secrets(given), key="at")
+    found = leaks.search(texts, redact.unmasked(stored), key="at")
     held = found.groupBy("at.place").agg(F.count_distinct("at.id").alias("leaking"), F.count_distinct("secret").alias("secrets"))
     return texts.groupBy("at.place").agg(F.count("*").alias("texts")).join(held, "place", "left").na.fill(0, ["leaking", "secrets"])
 

@@ -14,7 +14,7 @@ from .graph import cut
 #: Bytes of the windows by which texts and secrets meet.
 WIDTHS = (1, 2, 4, 8, 16, 32)
 #: The filter of the secrets' windows has so many bits for each of them, but at most 2**BITS (8 MB): beyond, more windows pass, which costs time, not results.
-BITS_EACH, BITS, PROBES = 24, 26, 3
+BITS_EACH, BITS, PROBES = 512, 26, 3
 #: Bytes of texts that are looked at together.
 SLICE = 1 << 20
 #: Bytes of secrets, or of what was found, that go to all tasks; more are joined, secrets in SALTS places each.

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import features
 from ..functions.extract import candidates
 from ..functions.redact import redact
 from ..functions.score import base_importance
 from ..schemas import CONFLICTABLE, PROVENANCE
+from . import clashes
 from .graph import components, cut
-from .similarity import cosine, dot, hashed_vector, pairs_between, similar_pairs
+from .similarity import dot, hashed_vector, pairs_between, similar_pairs
 
 #: Cosines of a duplicate, and of statements that may contradict each other (fixed values).
 DUPLICATE, RELATED = 0.92, 0.4
@@ -70,39 +73,35 @@ def _looser(rows: DataFrame) -> bool:
     return not rows.where("project is null and not stored").isEmpty()
 
 
+def _sides(rows: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows (id, scope, vec, text, FEATURES) that may contradict each other: earlier and later ones of a project, and those of all projects and later
+    ones without. rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out."""
+    rows = rows if "stored" in rows.columns else rows.withColumn("stored", F.lit(False))
+    feats = cut(clashes.flat_features(rows.where(F.col("kind").isin(*CONFLICTABLE))).select("id", "project", "stored", "text", "vec", *clashes.FEATURES))
+    own = feats.withColumn("scope", F.coalesce("project", F.lit(_NONE)))
+    sides = [(own, own.where("not stored"))]
+    if _looser(feats):
+        anywhere = feats.withColumn("scope", F.lit(_ANY))
+        sides.append((anywhere.where("project is not null"), anywhere.where("project is null and not stored")))
+    return sides
+
+
 def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, both_ways: bool = False) -> DataFrame:
     """(a, b, cos, topic) of contradicting statements, a the one with the smaller id; topic as the later one (b) names it.
     both_ways: ids say nothing about the order, so a pair comes in either role that it may have.
 
     rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out. A row meets the earlier ones of its
-    project, and one without a project those of all projects. A contradiction needs a link: a subject both have, or, where both choose, a choice
-    that the other rejects; so an equi-join on (scope, link) finds every pair, however dissimilar in other words. Features are
-    worked out once and written; vectors join the pairs that contradict each other.
+    project, and one without a project those of all projects. Features are worked out once and written; blocks of statements meet in
+    matrix products, and pairs that pass leave the task: there may be as many as the square of a project's rows.
     """
-    rows = rows if "stored" in rows.columns else rows.withColumn("stored", F.lit(False))
-    rows = rows.where(F.col("kind").isin(*CONFLICTABLE))
-    feats = cut(features.with_features(rows).select("id", "project", "stored", "choice", "alts", "subjects", "pred"))
-    own, none = F.coalesce("project", F.lit(_NONE)), F.array().cast("array<string>")
-    # statements of choices meet by any link, assertions by subjects
-    chosen = F.when(F.col("choice").isNotNull(), _linked("c", F.array_distinct(F.concat("subjects", "alts", F.array("choice"))))).otherwise(_linked("c", none))
-    said = F.when(F.col("pred").isNotNull(), _linked("p", F.array_distinct("subjects"))).otherwise(_linked("p", none))
-    loose = _looser(feats)
-    early = F.when(F.col("project").isNull() | F.lit(not loose), F.array(own)).otherwise(F.array(own, F.lit(_ANY)))
-    late = F.when(F.col("project").isNull() & F.lit(loose), F.array(own, F.lit(_ANY))).otherwise(F.array(own))
-    side = lambda d, p, scopes: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "choice", "alts", "subjects", "pred")), F.explode(scopes).alias("scope"), F.concat(chosen, said).alias("links")).select("*", F.explode("links").alias("link")).drop("links")
-    pairs = side(feats, "a", early).join(side(feats.where("not stored"), "b", late), ["scope", "link"]).where("a_id <> b_id" if both_ways else "a_id < b_id")
-    # a pair that shares several links stays with the first; if both choose, what they assert doesn't count
-    both = F.col("a_choice").isNotNull() & F.col("b_choice").isNotNull()
-    links = lambda p: F.when(both, F.concat(f"{p}_subjects", f"{p}_alts", F.array(f"{p}_choice"))).otherwise(F.col(f"{p}_subjects"))
-    first = F.concat(F.when(both, "c").otherwise("p"), F.try_element_at(F.array_sort(F.array_intersect(links("a"), links("b"))), F.lit(1)))
-    found = pairs.where(F.col("link") == first).where(features.contradicts("a_", "b_")).select("a_id", "b_id", features.topic("b_", "a_").alias("topic"))
-    vec = lambda p: rows.select(F.col("id").alias(f"{p}_id"), F.col("vec").alias(f"{p}_vec"))
-    scored = found.join(vec("a"), "a_id").join(vec("b"), "b_id").withColumn("cos", cosine(F.col("a_vec"), F.col("b_vec"))).where((F.col("cos") >= related) & (F.col("cos") < duplicate))
-    return scored.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "cos", "topic")
-
-
-def _linked(mode: str, words: Column) -> Column:
-    return F.transform(words, lambda w: F.concat(F.lit(mode), w))
+    return reduce(DataFrame.unionAll, (clashes.pairs(a, b, related, duplicate, not both_ways) for a, b in _sides(rows)))
+
+
+def nearest_conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
+    """conflicts(), of each later statement only the nearest earlier one (equal cosines in nine digits: the smallest id); the pairs aren't written."""
+    found = reduce(DataFrame.unionAll, (clashes.nearest(a, b, related, duplicate) for a, b in _sides(rows)))
+    best = found.groupBy("b").agg(F.min_by(F.struct("a", "cos", "topic"), F.struct(-F.round("cos", 9), F.col("a"))).alias("m"))
+    return best.select("m.a", "b", "m.cos", "m.topic")
 
 
 def _duplicate_pairs(rows: DataFrame, least: float) -> DataFrame:
@@ -111,11 +110,11 @@ def _duplicate_pairs(rows: DataFrame, least: float) -> DataFrame:
     new = scoped.where("not stored")
     turned = lambda d: d.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")
     own = similar_pairs(new.select("id", F.col("scope").alias("project"), "vec"), least)
-    pairs = own.unionByName(turned(own)).unionByName(pairs_between(scoped.where("stored"), new, least))
+    pairs = own.unionByName(turned(own)).unionByName(pairs_between(scoped.where("stored"), new, least, ordered=False))
     if not _looser(rows):
         return pairs
     anywhere = lambda d: d.withColumn("scope", F.lit(_ANY))
-    return pairs.unionByName(pairs_between(anywhere(scoped.where("project is not null")), anywhere(new.where("project is null")), least))
+    return pairs.unionByName(pairs_between(anywhere(scoped.where("project is not null")), anywhere(new.where("project is null")), least, ordered=False))
 
 
 #: Records of a component that are folded at once.
@@ -170,7 +169,94 @@ def _classes(rows: DataFrame, duplicate: float) -> tuple[DataFrame, DataFrame]:
     return slim, classes.withColumnRenamed("cls", "id").drop("key")
 
 
-def merged(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, wave: int = WAVE) -> DataFrame:
+def _fold_project(frame: pd.DataFrame, related: float, duplicate: float) -> pd.DataFrame:
+    """One project's rows in order of arrival, each against the memories that are active then: what _fold() finds, without pairs made before."""
+    frame = frame.sort_values("id")
+    x = clashes.Side(frame, words := {})
+    names = list(words)
+    kept, ts, fits = frame["stored"].to_numpy(bool), frame["ts"].tolist(), frame["conflictable"].to_numpy(bool)
+    subjects, alts = ([[w for w in r if w >= 0] for r in lists.tolist()] for lists in (x.subjects, x.alts))
+    sets: dict[int, set] = {}
+    active, vec, m = np.zeros(256, np.int64), np.zeros((256, x.vec.shape[1])), 0
+    out = []
+
+    def among(j: int) -> set:
+        if j not in sets:
+            sets[j] = set(subjects[j])
+        return sets[j]
+
+    def against(i: int, near: np.ndarray) -> int:
+        """The place in near of the first memory that contradicts row i, or -1."""
+        both = (x.choice[near] >= 0) & (x.choice[i] >= 0)
+        said = (x.same_pred[near] == x.same_pred[i]) & (x.negated[near] != x.negated[i]) | clashes._OPPOSED[x.opposed[i]][x.opposed[near]] & (x.negated[near] == x.negated[i])
+        said &= (x.same_pred[near] >= 0) & (x.same_pred[i] >= 0)
+        for k in np.nonzero(fits[near] & np.where(both, x.same_choice[near] != x.same_choice[i], said))[0]:
+            j = near[k]
+            if not among(j).isdisjoint(subjects[i]) or both[k] and (x.choice[i] in alts[j] or x.choice[j] in alts[i]):
+                return k
+        return -1
+
+    for i in range(len(x)):
+        if not kept[i]:
+            c = np.clip(vec[:m] @ x.vec[i], -1, 1)
+            at = np.nonzero(c >= related - 1e-9)[0]
+            c = c[at]
+            edge = np.nonzero((np.abs(c - related) < 2e-9) | (np.abs(c - duplicate) < 2e-9))[0]
+            c[edge] = clashes.exact(vec[at[edge]], np.broadcast_to(x.vec[i], (len(edge), vec.shape[1])))
+            order = np.lexsort((active[at], -np.rint(c * 1e9)))
+            at, c = at[order], c[order]
+            same = np.nonzero(c >= duplicate)[0]
+            if len(same):
+                out.append((x.ids[i], "deduped", x.ids[active[at[same[0]]]], None, None))
+                continue
+            at = at[c >= related]
+            k = against(i, active[at]) if fits[i] and len(at) else -1
+            if k >= 0:
+                j = active[at[k]]
+                topic = next((names[w] for w in subjects[i] if w in among(j)), None)
+                if ts[i] < ts[j]:
+                    out.append((x.ids[i], "superseded", x.ids[j], x.ids[i], topic))
+                    continue
+                out.append((x.ids[i], "superseded", x.ids[i], x.ids[j], topic))
+                m -= 1
+                active[at[k]], vec[at[k]] = active[m], vec[m]
+                sets.pop(j, None)
+            else:
+                out.append((x.ids[i], "inserted", x.ids[i], None, None))
+        if m == len(active):
+            active, vec = np.concatenate([active, active]), np.concatenate([vec, vec])
+        active[m], vec[m] = i, x.vec[i]
+        m += 1
+    done = pd.DataFrame(out, columns=["id", "action", "mem_id", "superseded_id", "topic"])
+    return done.astype({"superseded_id": "Int64"})
+
+
+def _in_projects(rows: DataFrame, related: float, duplicate: float) -> DataFrame:
+    """The outcomes of the new rows of projects, each of which one task folds."""
+    feats = clashes.flat_features(rows).withColumn("conflictable", F.coalesce(F.col("kind").isin(*CONFLICTABLE), F.lit(False)))
+    columns = feats.select("id", "project", "stored", "ts", "conflictable", "vec", *clashes.FEATURES)
+    return columns.groupBy("project").applyInPandas(lambda f: _fold_project(f, related, duplicate), _OUTCOME)
+
+
+def merged(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, wave: int = WAVE, at_once: int | None = None) -> DataFrame:
+    """(id, action, mem_id, superseded_id, topic) of each new statement, as merged_by_links() has it.
+
+    Where no new row is without a project, projects don't meet: each of up to at_once rows (new and stored; by default five waves) is folded by
+    one task, against the memories that are active when a row arrives, so that no pairs are made. Larger projects go by links, in waves.
+    """
+    at_once = 5 * wave if at_once is None else at_once
+    if not at_once or _looser(rows):
+        return merged_by_links(rows, related, duplicate, wave)
+    sizes = cut(rows.groupBy("project").agg(F.count("*").alias("rows")))
+    large = sizes.where(F.col("rows") > at_once)
+    if large.isEmpty():
+        return _in_projects(rows, related, duplicate)
+    same = F.col("r.project").eqNullSafe(F.col("s.project"))
+    small = rows.alias("r").join(large.alias("s"), same, "left_anti")
+    return _in_projects(small, related, duplicate).unionByName(merged_by_links(rows.alias("r").join(large.alias("s"), same, "left_semi"), related, duplicate, wave))
+
+
+def merged_by_links(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, wave: int = WAVE) -> DataFrame:
     """(id, action, mem_id, superseded_id, topic) of each new statement.
 
     rows: id (order of arrival; stored rows come first), stored (whether it is an active memory already), project, kind, ts,

@@ -15,7 +15,8 @@ from ..functions.text import let, query_terms
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """Token counts hashed into dims places, of length 1; all zeros without tokens. A stand-in where no model's vectors are joined."""
     places = F.transform(query_terms(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
-    counts = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double")))
+    # a place's count is what goes with it: no lambda for every place and token
+    counts = let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(ps) - F.size(F.array_remove(ps, i))).cast("double")))
     unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
     return let(counts, unit)
 
@@ -109,10 +110,11 @@ def _above(x: pd.DataFrame, y: pd.DataFrame, least: float, ordered: bool = True)
     return pd.concat(out)
 
 
-def pairs_between(earlier: DataFrame, later: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:
-    """(a, b, cos) of rows (id, scope, vec), a of the first and b of the second table, that have one scope and a cosine of `least` and more."""
+def pairs_between(earlier: DataFrame, later: DataFrame, least: float, block_rows: int = 4096, ordered: bool = True) -> DataFrame:
+    """(a, b, cos) of rows (id, scope, vec), a of the first and b of the second table, that have one scope and a cosine of `least` and more.
+    ordered: and a < b; else ids say nothing about the order."""
     met = _met(earlier, later, block_rows).groupBy("scope", "i", "j")
-    return met.applyInPandas(lambda f: _above(f[f["left"]], f[~f["left"]], least, ordered=False), "a long, b long, cos double")
+    return met.applyInPandas(lambda f: _above(f[f["left"]], f[~f["left"]], least, ordered), "a long, b long, cos double")
 
 
 def similar_pairs(rows: DataFrame, least: float, block_rows: int = 4096) -> DataFrame:

@@ -345,9 +345,7 @@ def conflict_pairs(spark, sf_dir):
            CASE WHEN b_ts >= a_ts THEN b_source ELSE a_source END AS active_source, greatest(a_ts, b_ts) AS active_ts, least(a_ts, b_ts) AS superseded_ts FROM n WHERE k = 1""")
 def contradiction_log(spark, sf_dir):
     rows = d.statements(spark, sf_dir)
-    pairs = merge.conflicts(d.with_vectors(rows))
-    best = merge.Window.partitionBy("b").orderBy(F.desc(F.round("cos", 9)), "a")
-    first = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")
+    first = merge.nearest_conflicts(d.with_vectors(rows))
     ts = rows.select("id", "ts")
     first = first.join(ts.select(F.col("id").alias("a"), F.col("ts").alias("a_ts")), "a").join(ts.select(F.col("id").alias("b"), F.col("ts").alias("b_ts")), "b")
     newer = F.col("b_ts") >= F.col("a_ts")

@@ -452,17 +452,18 @@ _VECTOR = _BM25 + f""", qv AS (SELECT x.qid, e.embedding AS qvec FROM ({_QV}) x
     ve AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM dist)"""
 
 
-def _searchable(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _searchable(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, memories, and the memories' vectors (id, vec)."""
     e = d.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     n = e.count()
     queries = _queries(spark, sf_dir).join(e, F.col("qid") % n == F.col("vec_id")).drop("vec_id")
-    return queries, d.memories(spark, sf_dir).join(e.withColumnRenamed("vec_id", "id"), "id", "left")
+    return queries, d.memories(spark, sf_dir), e.where("vec is not null").withColumnRenamed("vec_id", "id")
 
 
 @query(_VECTOR + " SELECT qid, id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM ve WHERE rank <= 32")
 def vector_topk(spark, sf_dir):
-    queries, rows = _searchable(spark, sf_dir)
-    found = retrieve.vector_ranks(queries, rows.where("vec is not null"), 32)
+    queries, rows, vectors = _searchable(spark, sf_dir)
+    found = retrieve.vector_ranks(queries, vectors.join(rows.select("id"), "id", "left_semi"), 32)
     return found.select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
@@ -475,14 +476,15 @@ def _sql_search(limit: int, where: str = "status = 'active'") -> str:
 
 
 def _search(spark, sf_dir, limit: int) -> DataFrame:
-    queries, rows = _searchable(spark, sf_dir)
-    return retrieve.search(queries, rows, d.NOW, limit)
+    queries, rows, vectors = _searchable(spark, sf_dir)
+    return retrieve.search(queries, rows, d.NOW, limit, vectors=vectors)
 
 
 @query(_sql_search(8) + " SELECT qid, id, round(p, 6) AS rrf, round(dd, 6) + 0 AS distance FROM (SELECT qid, id, rrf AS p, distance AS dd FROM fu)")
 def rank_fusion(spark, sf_dir):
-    queries, rows = _searchable(spark, sf_dir)
-    both = retrieve.fused(retrieve.vector_ranks(queries, rows.where("vec is not null"), 32), retrieve.keyword_ranks(queries, rows.select("id", "text"), 32))
+    queries, rows, vectors = _searchable(spark, sf_dir)
+    near = vectors.join(rows.select("id"), "id", "left_semi")
+    both = retrieve.fused(retrieve.vector_ranks(queries, near, 32), retrieve.keyword_ranks(queries, rows.select("id", "text"), 32))
     return both.select("qid", "id", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
@@ -534,8 +536,8 @@ def search_packed(spark, sf_dir):
 @query(_sql_search(20) + f""", l AS (SELECT *, {_LINE} AS line FROM top), k AS ({_s_packed('l', 'qid')}), b AS (SELECT qid, string_agg(line, chr(10) ORDER BY rank) AS body FROM k GROUP BY qid)
     SELECT q.qid, md5(coalesce('Memories for "' || query || '":' || chr(10) || body, 'Nothing is remembered about "' || query || '".')) AS block_md5 FROM q LEFT JOIN b USING (qid) WHERE q.qid IN (SELECT qid FROM qv)""")
 def rendered_search(spark, sf_dir):
-    queries, rows = _searchable(spark, sf_dir)
-    return retrieve.searched(queries, rows, d.NOW).select("qid", F.md5("block").alias("block_md5"))
+    queries, rows, vectors = _searchable(spark, sf_dir)
+    return retrieve.searched(queries, rows, d.NOW, vectors=vectors).select("qid", F.md5("block").alias("block_md5"))
 
 
 @query(f"SELECT project, id, CAST(rank AS INTEGER) AS rank FROM (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY last_seen DESC, id) AS rank FROM ({d.SQL_MEMORIES}) WHERE status = 'active') WHERE rank <= 10")

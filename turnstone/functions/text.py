@@ -39,9 +39,14 @@ def trim(s: Column) -> Column:
     return F.regexp_replace(s, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.length(s)
+
+
 def length(s: Column) -> Column:
-    """Length in UTF-16 units."""
-    return F.length(s) + F.length(F.regexp_replace(s, r"[^\x{10000}-\x{10FFFF}]", ""))
+    """Length in UTF-16 units. Where all characters are single bytes, none takes two units."""
+    more = F.length(F.regexp_replace(s, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.length(s) + F.when(_ascii(s), F.lit(0)).otherwise(more)
 
 
 def collapse(s: Column) -> Column:
@@ -54,7 +59,7 @@ def word_count(s: Column) -> Column:
 
 
 def emoji_count(s: Column) -> Column:
-    return F.size(F.regexp_extract_all(s, F.lit(EMOJI), 0))
+    return F.when(_ascii(s), F.lit(0)).otherwise(F.size(F.regexp_extract_all(s, F.lit(EMOJI), 0)))
 
 
 def alnum_length(s: Column) -> Column:

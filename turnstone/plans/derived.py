@@ -60,8 +60,11 @@ _KIND = "CASE p_partkey % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'preference' WHEN
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements with markers, from parts: id, project, ts, kind, text, source."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey id", "concat('p', p_partkey % 97) project", f"{BASE} + (p_partkey * 7919 % 1000003) * 1000 ts", f"{_KIND} kind", f"{_STATEMENT} text", "concat('src', p_size % 5) source")
+    """Statements with markers, from parts: id, project, ts, kind, text, source. A million parts are a file of few megabytes, which one task would read:
+    they are dealt out, since what is done with their texts takes far longer than the shuffle."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return dealt.selectExpr("p_partkey id", "concat('p', p_partkey % 97) project", f"{BASE} + (p_partkey * 7919 % 1000003) * 1000 ts", f"{_KIND} kind", f"{_STATEMENT} text", "concat('src', p_size % 5) source")
 
 
 SQL_STATEMENTS = f"SELECT p_partkey AS id, 'p' || (p_partkey % 97) AS project, {BASE} + (p_partkey * 7919 % 1000003) * 1000 AS ts, {_KIND} AS kind, {_STATEMENT} AS text, 'src' || (p_size % 5) AS source FROM part"

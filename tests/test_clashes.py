@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from turnstone.functions import features
@@ -57,6 +58,25 @@ def test_rows_given_twice_make_each_pair_once(spark):
     assert n and merge.conflicts(rows.unionByName(rows)).count() == 4 * n
 
 
+def test_cosines_at_the_threshold_are_those_of_sql(spark):
+    """A cosine of 0.4 that SQL, which doesn't round products, has just below 0.4, though the sum of rounded products is 0.4: in pairs and folds alike."""
+    import duckdb
+
+    texts = ["The team prefers Brand#8 over MEDIUM for hot gear.", "For the hot gizmo we decided to use Brand#13 instead of SMALL."]
+    rows = spark.createDataFrame([(i, "p", "decision", NOW + i, t, False) for i, t in enumerate(texts)], "id long, project string, kind string, ts long, text string, stored boolean")
+    rows = rows.withColumn("vec", similarity.hashed_vector(F.col("text")))
+    a, b = (r.vec for r in rows.orderBy("id").collect())
+    cos = duckdb.connect().execute("SELECT list_dot_product(?::DOUBLE[], ?::DOUBLE[])", [a, b]).fetchall()[0][0]
+    assert round(cos, 12) == merge.RELATED
+    n = int(cos >= merge.RELATED)
+    assert merge.conflicts(rows.drop("stored")).count() == merge.nearest_conflicts(rows.drop("stored")).count() == similarity.similar_pairs(rows, merge.RELATED).count() == n
+    assert merge.merged(rows).where("action = 'superseded'").count() == n
+    numbers = random.Random(2)
+    x, y = ([[numbers.random() for _ in range(64)] for _ in range(50)] for _ in range(2))
+    got = similarity.exact(np.array(x) / 8, np.array(y) / 8, np.arange(50), np.arange(50))
+    assert [duckdb.connect().execute("SELECT list_dot_product(?::DOUBLE[], ?::DOUBLE[])", [[u / 8 for u in p], [v / 8 for v in q]]).fetchall()[0][0] for p, q in zip(x, y)] == got.tolist()
+
+
 def test_projects_at_once_as_by_links(spark):
     """Stored rows, copies and late ones: the same outcomes, whether one task folds a project or links are made first; a large project beside small ones."""
     rows = statements(spark, 400, ("p", "p", "q", "r"))

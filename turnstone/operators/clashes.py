@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features
-from .similarity import _matrix
+from .similarity import _matrix, exact
 
 _WORDS = {w: i for i, w in enumerate(sorted({w for pair in features.ANTONYMS for w in pair}))}
 _OPPOSED = np.zeros((len(_WORDS) + 1, len(_WORDS) + 1), bool)
@@ -84,11 +84,6 @@ def _first_shared(x: Side, y: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of the pairs of rows, added up in order, as SQL does."""
-    return np.clip(np.cumsum(x * y, axis=1)[:, -1], -1, 1)
-
-
 def clashes(x: Side, y: Side, many: int, related: float, duplicate: float, ordered: bool, step: int = 256):
     """(first row of x, cosines, whether they clash) for parts of x against all of y; many: how many words have numbers.
 
@@ -117,7 +112,7 @@ def clashes(x: Side, y: Side, many: int, related: float, duplicate: float, order
         edge = ok & ((np.abs(c - related) < 2e-9) | (np.abs(c - duplicate) < 2e-9))
         if edge.any():
             i, j = np.nonzero(edge)
-            c[i, j] = exact(x.vec[i + lo], y.vec[j])
+            c[i, j] = exact(x.vec[s], y.vec, i, j)
             ok[i, j] = (c[i, j] >= related) & (c[i, j] < duplicate)
         yield lo, c, ok
 
@@ -154,6 +149,8 @@ def _nearest(f: pd.DataFrame, related: float, duplicate: float) -> pd.DataFrame:
         more = r[k, every] > best
         best[more], at[more], cos[more] = r[k, every][more], k[more] + lo, c[k, every][more]
     j = np.nonzero(best > -np.inf)[0]
+    if not len(j):
+        return _empty()
     return pd.DataFrame({"a": x.ids[at[j]], "b": y.ids[j], "cos": cos[j], "topic": _named(words, _first_shared(x, y, at[j], j))})
 
 

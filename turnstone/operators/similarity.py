@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,20 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.array(frame["vec"].tolist(), float).reshape(len(frame), -1)
 
 
+def exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the rows i of x with the rows j of y as SQL has them to the last bit: added up in order, products not rounded before they are added.
+    For pairs at a threshold, which the order of a sum decides; equal pairs are worked out once."""
+    code = lambda m: pd.factorize(np.array([r.tobytes() for r in m], object))[0]
+    a, b = code(x), code(y)
+    _, first, which = np.unique(a[i] * (b.max() + 1) + b[j], return_index=True, return_inverse=True)
+    p, q = x[i[first]], y[j[first]]
+    row, k = np.nonzero((p != 0) & (q != 0))
+    sums = [0.0] * len(p)
+    for r, u, v in zip(row.tolist(), p[row, k].tolist(), q[row, k].tolist()):
+        sums[r] = math.fma(u, v, sums[r])
+    return np.clip(np.array(sums)[which], -1, 1)
+
+
 def best_in_blocks(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """(qid, id, dot) of at least the k rows with the greatest inner products for each query, by matrix products of blocks.
 
@@ -102,11 +117,17 @@ def _above(x: pd.DataFrame, y: pd.DataFrame, least: float, ordered: bool = True)
     """(a, b, cos) of the rows of x and y with a cosine of `least` and more (ordered: and a < b), by products of bounded size."""
     out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cos": pd.Series(dtype=float)})]
     if len(x) and len(y):
-        right, a, b = _matrix(y).T, x["id"].to_numpy(), y["id"].to_numpy()
+        right, a, b = _matrix(y), x["id"].to_numpy(), y["id"].to_numpy()
         for lo in range(0, len(x), 256):
-            c = np.clip(_matrix(x.iloc[lo : lo + 256]) @ right, -1, 1)
-            i, j = np.nonzero((c >= least) & (a[lo : lo + 256, None] < b[None, :] if ordered else a[lo : lo + 256, None] != b[None, :]))
-            out.append(pd.DataFrame({"a": a[lo + i], "b": b[j], "cos": c[i, j]}))
+            part = _matrix(x.iloc[lo : lo + 256])
+            c = np.clip(part @ right.T, -1, 1)
+            i, j = np.nonzero((c >= least - 1e-9) & (a[lo : lo + 256, None] < b[None, :] if ordered else a[lo : lo + 256, None] != b[None, :]))
+            cos = c[i, j]
+            edge = np.nonzero(np.abs(cos - least) < 2e-9)[0]
+            if len(edge):
+                cos[edge] = exact(part, right, i[edge], j[edge])
+            ok = cos >= least
+            out.append(pd.DataFrame({"a": a[lo + i[ok]], "b": b[j[ok]], "cos": cos[ok]}))
     return pd.concat(out)
 
 

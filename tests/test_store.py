@@ -61,6 +61,24 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path, monkeypatch):
     assert store.index().agg(F.max(F.size("posts"))).first()[0] <= 16
 
 
+def test_index_is_built_and_searched_in_bounded_tasks(spark, monkeypatch):
+    """Tasks grow in number with texts and postings, not in size; no posting is shuffled, neither to build blocks nor to score them."""
+    monkeypatch.setattr(inverted, "TASK_TEXTS", 100)
+    monkeypatch.setattr(inverted, "HELD_TERMS", 50)
+    texts = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(1000)], "id long, text string")
+    index = inverted.blocks(texts, 300)
+    assert index.rdd.getNumPartitions() == 10 and inverted.words_of(index).first().words == 3000
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    heads = {(r.term, r.block): (r.n, r.m, r.d) for r in index.where("term = 'a'").groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("m"), F.min("min_dl").alias("d")).collect()}
+    assert heads == {("a", b): (300 if b < 3 else 100, 1, 3) for b in range(4)}
+    total = spark.createDataFrame([(1000, 3000)], "docs long, words long")
+    monkeypatch.setattr(inverted, "TASK_POSTINGS", 200)
+    queries = spark.createDataFrame([(1, "a b3"), (2, "c17 b3 b3")], "qid long, query string")
+    rows = lambda d: sorted((r.qid, r["rank"], r.id, round(r.bm25, 9)) for r in d.collect())
+    assert rows(inverted.bounded_search(queries, index, total, 5)[0]) == rows(retrieve.keyword_ranks(queries, texts, 5))
+
+
 @pytest.mark.parametrize("indexed", [True, False])
 def test_delete_and_vacuum(spark, tmp_path, indexed):
     store = Store(spark, str(tmp_path / "s"))

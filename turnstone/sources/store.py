@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.graph import cut
-from ..operators.inverted import BLOCK, TOTALS, blocks, postings_of, totals, without_ids
+from ..operators.inverted import BLOCK, TOTALS, blocks, postings_of, without_ids, words_of
 from ..operators.maintain import reclassified, without
 from ..schemas import CONTRADICTION, MEMORY
 
@@ -127,14 +127,17 @@ class Store:
         """A new snapshot after batch `number`. vectors and texts (id, text: what can be searched for) are those of all memories, or, if not whole, of the
         ones that are new; texts never change, so that what is stored stays. No texts are given for encrypted ones: nothing is indexed."""
         texts = self.spark.createDataFrame([], "id bigint, text string") if texts is None else texts
-        self._write(memories, vectors, blocks(texts), totals(texts), number, whole)
+        self._write(memories, vectors, blocks(texts), texts.agg(F.count("*").alias("docs")), number, whole)
 
-    def _write(self, memories: DataFrame, vectors: DataFrame, index: DataFrame, sums: DataFrame, number: int, whole: bool) -> None:
+    def _write(self, memories: DataFrame, vectors: DataFrame, index: DataFrame, docs: DataFrame, number: int, whole: bool) -> None:
+        """docs: one row, how many texts the index is of; how many terms they have is read from it."""
         at = self._current()
         generation = uuid.uuid4().hex if whole or at is None else at.generation
-        for name, rows in (("vectors", vectors), ("totals", sums)):
-            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{generation}/batch={number}")
-        index.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{generation}/batch={number}")
+        at_batch = lambda name: f"{self.folder}/{name}/{generation}/batch={number}"
+        vectors.write.mode("overwrite").parquet(at_batch("vectors"))
+        index.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(at_batch("postings"))
+        words = words_of(self.spark.read.schema(BLOCK).parquet(at_batch("postings")))
+        docs.join(words, F.lit(True)).select("docs", "words").write.mode("overwrite").parquet(at_batch("totals"))
         self._use(memories, number, generation)
 
     def _use(self, memories: DataFrame, number: int, generation: str) -> None:
@@ -160,10 +163,9 @@ class Store:
         ids = cut(ids.select("id").where("id is not null").distinct())
         memories = self.memories()
         indexed = not self.index().isEmpty()
-        gone = totals(memories.join(ids, "id", "left_semi").select("id", "text"))
-        less = gone.select((-F.col("docs")).alias("docs"), (-F.col("words")).alias("words")) if indexed else gone.limit(0)
-        sums = self.totals().unionByName(less).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
-        self._write(without(memories, ids), without(self.vectors(), ids), without_ids(self.index(), ids), sums, at.number, whole=True)
+        gone = memories.join(ids, "id", "left_semi").agg(F.count("*").alias("gone")) if indexed else self.spark.range(1).select(F.lit(0).alias("gone"))
+        docs = self.totals().agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).join(gone, F.lit(True)).select((F.col("docs") - F.col("gone")).alias("docs"))
+        self._write(without(memories, ids), without(self.vectors(), ids), without_ids(self.index(), ids), docs, at.number, whole=True)
 
     def reclassify(self, kinds: DataFrame) -> None:
         """The kinds of a table (id, kind) set, and importance anew; vectors and postings stay."""

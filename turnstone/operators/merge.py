@@ -15,7 +15,7 @@ from ..functions.score import base_importance
 from ..schemas import CONFLICTABLE, PROVENANCE
 from . import clashes
 from .graph import components, cut
-from .similarity import dot, exact, hashed_vector, pairs_between, similar_pairs
+from .similarity import dot, exact_with, hashed_vector, pairs_between, similar_pairs
 
 #: Cosines of a duplicate, and of statements that may contradict each other (fixed values).
 DUPLICATE, RELATED = 0.92, 0.4
@@ -203,7 +203,7 @@ def _fold_project(frame: pd.DataFrame, related: float, duplicate: float) -> pd.D
             c = c[at]
             edge = np.nonzero((np.abs(c - related) < 2e-9) | (np.abs(c - duplicate) < 2e-9))[0]
             if len(edge):
-                c[edge] = exact(vec[at[edge]], x.vec[i : i + 1], np.arange(len(edge)), np.zeros(len(edge), np.int64))
+                c[edge] = exact_with(vec[at[edge]], x.vec[i])
             order = np.lexsort((active[at], -np.rint(c * 1e9)))
             at, c = at[order], c[order]
             same = np.nonzero(c >= duplicate)[0]

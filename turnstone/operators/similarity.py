@@ -71,6 +71,18 @@ def exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return np.clip(np.array(sums)[which], -1, 1)
 
 
+def exact_with(rows: np.ndarray, v: np.ndarray) -> list[float]:
+    """exact() of some rows with one vector."""
+    places = np.nonzero(v)[0]
+    own, out = v[places].tolist(), []
+    for row in rows[:, places].tolist():
+        s = 0.0
+        for p, q in zip(row, own):
+            s = math.fma(p, q, s)
+        out.append(max(-1.0, min(1.0, s)))
+    return out
+
+
 def best_in_blocks(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """(qid, id, dot) of at least the k rows with the greatest inner products for each query, by matrix products of blocks.
 

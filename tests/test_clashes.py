@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from turnstone.functions import features
@@ -58,6 +59,43 @@ def test_rows_given_twice_make_each_pair_once(spark):
     assert n and merge.conflicts(rows.unionByName(rows)).count() == 4 * n
 
 
+def test_blocks_are_dealt_out_and_statements_not_sent(spark, tmp_path):
+    """By the size of their files, Spark sent all statements to all tasks, and one task made the pairs of all projects."""
+    statements(spark, 300, tuple("pqrstuvw")).drop("stored").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = merge.conflicts(rows)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    for found in (found, merge.nearest_conflicts(rows)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+        sent = [below for line, below in zip(plan, plan[1:]) if "BroadcastExchange" in line]
+        assert sent and not any("vec#" in below for below in sent)
+
+
+def test_equal_statements_are_gathered(spark, monkeypatch):
+    """Copies meet once, and their pairs leave a task in batches of bounded size, as rows of few ids."""
+    texts = ["For the old gear we decided to use Redis instead of Kafka.", "For the old gear we decided to use Kafka instead of Redis now.", "The team prefers Postgres over Redis for the old gear."]
+    rows = spark.range(600).withColumn("project", F.lit("p")).withColumn("kind", F.lit("decision")).withColumn("text", F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 3 + 1).cast("int")))
+    monkeypatch.setattr(clashes, "IDS", 16)
+    monkeypatch.setattr(clashes, "BATCH", 500)
+    classes = clashes.equal(rows, most=100).withColumn("vec", similarity.hashed_vector(F.col("text")))
+    got = classes.collect()
+    assert sorted(i for r in got for i in r.ids) == list(range(600)) and len(got) < 600 / 10
+    assert all(r.ids == sorted(r.ids) and len(r.ids) <= 16 and r.id == r.ids[0] and {texts[i % 3] for i in r.ids} == {r.text} for r in got)
+    want = plain_pairs(rows.withColumn("vec", similarity.hashed_vector(F.col("text"))))
+    assert len(want) > 50_000
+    for of in (classes, rows.withColumn("vec", similarity.hashed_vector(F.col("text")))):
+        assert {(r.a, r.b): (round(r.cos, 9), r.topic) for r in merge.conflicts(of).collect()} == want
+    ((a, b),) = merge._sides(classes)
+    both = a.withColumn("left", F.lit(True)).unionByName(b.withColumn("left", F.lit(False))).withColumn("last", F.element_at("ids", -1)).toPandas()
+    both["row"], ids = np.arange(len(both)), pa.array(both["ids"].tolist(), pa.list_(pa.int64()))
+    batches = list(clashes._sets(both.drop(columns="ids"), ids, merge.RELATED, merge.DUPLICATE, True))
+    pairs = [(i, j) for x in batches for r in x.to_pylist() for i in r["first"] for j in r["second"] if i < j]
+    assert len(pairs) == len(want) and set(pairs) == set(want)
+    assert all(len(r["first"]) <= 16 and len(r["second"]) <= 32 for x in batches for r in x.to_pylist())
+    assert len(batches) > 5 and max(sum(len(r["first"]) + len(r["second"]) for r in x.to_pylist()) for x in batches) <= 500 + 48
+
+
 def test_cosines_at_the_threshold_are_those_of_sql(spark):
     """A cosine of 0.4 that SQL, which doesn't round products, has just below 0.4, though the sum of rounded products is 0.4: in pairs and folds alike."""
     import duckdb

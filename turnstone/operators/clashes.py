@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,11 @@ for _x, _y in features.ANTONYMS:
 #: Places of the product that tells which statements may share a subject; above that many subjects in a block, pairs are looked at again.
 PLACES = 512
 PAIR = "a long, b long, cos double, topic string"
+SETS = "first array<long>, second array<long>, cos double, topic string"
+#: Ids in one row of equal statements, and about as many that it meets at once: Spark makes their pairs from one row, and holds these at once.
+IDS = 256
+#: Ids that a task passes on at once.
+BATCH = 1 << 17
 #: What a statement's features become for the tasks.
 FEATURES = ("choice", "same_choice", "alts", "subjects", "pred", "same_pred", "negated")
 
@@ -27,6 +35,25 @@ def flat_features(rows: DataFrame) -> DataFrame:
     return out.withColumn("same_choice", features.norm(F.col("choice"))).withColumn("same_pred", features.norm(F.col("pred")))
 
 
+def _shared_out(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with equal `by` in one task, in as many tasks as there are shuffle partitions: what is done with them has little to do with their bytes, by which Spark would put them together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def equal(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """rows (id, and project, kind, stored, text or vec) that are equal but for their id as one, with ids: theirs in order, or up to IDS of them, where there are more.
+
+    Of texts that a project has more than `most` times (at most a `most`-th of the rows, so that they go to all tasks), the ids are gathered in parts.
+    """
+    by, key = [c for c in ("project", "kind", "stored", "text", "vec") if c in rows.columns], F.xxhash64("project", "text")
+    rows = rows.where("id is not null")
+    often = rows.groupBy(key.alias("key")).agg(F.ceil(F.count("*") / most).cast("int").alias("n")).where("n > 1")
+    dealt = rows.withColumn("key", key).join(F.broadcast(often), "key", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
+    gathered = _shared_out(dealt, *by, "salt").groupBy(*by, "salt").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    parts = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(IDS)), lambda at: F.slice("ids", at + 1, F.lit(IDS)))
+    return gathered.select(*by, F.explode(parts).alias("ids")).withColumn("id", F.col("ids")[0])
+
+
 def _codes(of: dict, values) -> np.ndarray:
     return np.array([-1 if v is None or v != v else of.setdefault(v, len(of)) for v in values], np.int64)
 
@@ -40,10 +67,11 @@ def _padded(of: dict, lists) -> np.ndarray:
 
 
 class Side:
-    """The statements of a block as arrays; of: the words' numbers, which two sides that meet share."""
+    """The statements of a block as arrays; of: the words' numbers, which two sides that meet share. last: the greatest id, where a row stands for several."""
 
     def __init__(self, frame: pd.DataFrame, of: dict):
         self.ids, self.vec = frame["id"].to_numpy(np.int64), _matrix(frame)
+        self.last = frame["last"].to_numpy(np.int64) if "last" in frame else self.ids
         self.choice, self.same_choice, self.same_pred = (_codes(of, frame[c]) for c in ("choice", "same_choice", "same_pred"))
         self.opposed = np.array([_WORDS.get(p, len(_WORDS)) for p in frame["pred"]], np.int64)
         self.negated = np.array([x is not None and x == x and bool(x) for x in frame["negated"]], bool)
@@ -87,7 +115,7 @@ def _first_shared(x: Side, y: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def clashes(x: Side, y: Side, many: int, related: float, duplicate: float, ordered: bool, step: int = 256):
     """(first row of x, cosines, whether they clash) for parts of x against all of y; many: how many words have numbers.
 
-    ordered: only where the id in x is the smaller one; else wherever ids differ.
+    ordered: only where an id in x is smaller than one in y; else wherever some differ.
     """
     n = min(max(many, 1), PLACES)
     theirs = y.places(n).T
@@ -95,7 +123,7 @@ def clashes(x: Side, y: Side, many: int, related: float, duplicate: float, order
         s = slice(lo, lo + step)
         c = np.clip(x.vec[s] @ y.vec.T, -1, 1)
         ok = (c >= related - 1e-9) & (c < duplicate + 1e-9)
-        ok &= x.ids[s, None] < y.ids[None, :] if ordered else x.ids[s, None] != y.ids[None, :]
+        ok &= x.ids[s, None] < y.last[None, :] if ordered else (x.ids[s, None] != y.last[None, :]) | (x.last[s, None] != y.ids[None, :])
         both = (x.choice[s, None] >= 0) & (y.choice[None, :] >= 0)
         shared = x.places(n, s) @ theirs > 0
         said = (x.same_pred[s, None] == y.same_pred[None, :]) & (x.negated[s, None] != y.negated[None, :])
@@ -126,15 +154,32 @@ def _named(words: dict, topic: np.ndarray) -> list:
     return [names[t] if t >= 0 else None for t in topic]
 
 
-def _all(f: pd.DataFrame, related: float, duplicate: float, ordered: bool) -> list[pd.DataFrame]:
-    out = [_empty()]
-    if 0 < f["left"].sum() < len(f):
-        words: dict = {}
-        x, y = Side(f[f["left"]], words), Side(f[~f["left"]], words)
-        for lo, c, ok in clashes(x, y, len(words), related, duplicate, ordered):
-            i, j = np.nonzero(ok)
-            out.append(pd.DataFrame({"a": x.ids[i + lo], "b": y.ids[j], "cos": c[i, j], "topic": _named(words, _first_shared(x, y, i + lo, j))}))
-    return out
+def _sets(f: pd.DataFrame, ids: pa.Array, related: float, duplicate: float, ordered: bool) -> Iterator[pa.RecordBatch]:
+    """SETS of the clashing rows of f, every id of the first with every one of the second, in batches of about BATCH ids; ids: those of each row, at its place (row)."""
+    if not 0 < f["left"].sum() < len(f):
+        return
+    words: dict = {}
+    left, right = f[f["left"]], f[~f["left"]]
+    x, y = Side(left, words), Side(right, words)
+    names, sizes, of_x, of_y = pa.array(words, pa.string()), ids.value_lengths().to_numpy(), left["row"].to_numpy(), right["row"].to_numpy()
+    for lo, c, ok in clashes(x, y, len(words), related, duplicate, ordered):
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        # a row of x with all those that it clashes with at one cosine about one subject, or with the next IDS of their ids
+        topic, cos = _first_shared(x, y, i + lo, j), c[i, j]
+        order = np.lexsort((cos, topic, i))
+        i, j, topic, cos = i[order] + lo, j[order], topic[order], cos[order]
+        size = sizes[of_y[j]]
+        new = [np.diff(k, prepend=k[0] - 1) != 0 for k in (i, topic, cos, np.cumsum(size) // IDS)]
+        starts = np.flatnonzero(np.logical_or.reduce(new))
+        held = np.add.reduceat(size, starts)
+        ends = np.flatnonzero(np.diff(np.cumsum(held + sizes[of_x[i[starts]]]) // BATCH, append=-1)) + 1
+        for u, v in zip([0, *ends[:-1]], ends):
+            at, rows = starts[u:v], slice(starts[u], starts[v] if v < len(starts) else len(j))
+            second = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *held[u:v]]), pa.int32()), ids.take(pa.array(of_y[j[rows]])).flatten())
+            about = names.take(pa.array(topic[at], mask=topic[at] < 0))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of_x[i[at]])), second, pa.array(cos[at]), about], ["first", "second", "cos", "topic"])
 
 
 def _nearest(f: pd.DataFrame, related: float, duplicate: float) -> pd.DataFrame:
@@ -155,15 +200,18 @@ def _nearest(f: pd.DataFrame, related: float, duplicate: float) -> pd.DataFrame:
 
 
 def _dealt(a: DataFrame, b: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of both sides dealt into blocks of a scope (and part: choices meet choices, assertions assertions) that meet once."""
-    cols = ["scope", "part", "id", "vec", *FEATURES]
+    """Rows of both sides dealt into blocks of a scope (and part: choices meet choices, assertions assertions) that meet once.
+
+    Their numbers, a row for each scope, go to all tasks: by the size of the files that the statements come from, Spark would rather send the statements.
+    """
+    cols = [c for c in ("scope", "part", "id", "ids", "last", "vec", *FEATURES) if c in a.columns]
     count = lambda d, n: d.groupBy("scope", "part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
-    sizes = count(a, "ni").join(count(b, "nj"), ["scope", "part"])
+    sizes = F.broadcast(count(a, "ni").join(count(b, "nj"), ["scope", "part"]))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = a.select(cols).join(sizes, ["scope", "part"]).withColumn("i", place("ni")).withColumn("j", every("nj"))
     right = b.select(cols).join(sizes, ["scope", "part"]).withColumn("j", place("nj")).withColumn("i", every("ni"))
-    return left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))).drop("ni", "nj")
+    return _shared_out(left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))).drop("ni", "nj"), "scope", "part", "i", "j")
 
 
 def parted(rows: DataFrame) -> DataFrame:
@@ -181,13 +229,24 @@ def _meeting(f: pd.DataFrame) -> list[pd.DataFrame]:
     return [pd.concat([f[f["left"] & u], f[~f["left"] & v]]) for u, v in ((~chooses, ~chooses), (~chooses, chooses), (chooses, ~chooses))]
 
 
-def pairs(a: DataFrame, b: DataFrame, related: float, duplicate: float, ordered: bool, block_rows: int = 8192) -> DataFrame:
-    """(a, b, cos, topic) of clashing rows (id, scope, vec, FEATURES), a of the first and b of the second table, in one scope."""
+def pairs(a: DataFrame, b: DataFrame, related: float, duplicate: float, ordered: bool, block_rows: int = 4096, digits: int | None = None) -> DataFrame:
+    """(a, b, cos, topic) of clashing rows (id, scope, vec, FEATURES), a of the first and b of the second table, in one scope; digits: of cos.
 
-    def product(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([p for g in _meeting(f) for p in _all(g, related, duplicate, ordered)])
-
-    return _dealt(parted(a), parted(b), block_rows).groupBy("scope", "part", "i", "j").applyInPandas(product, PAIR)
+    A row may have ids, in order, and stand for them all, as equal() makes it. Tasks pass on the rows that clash in batches of bounded size, and
+    Spark makes the pairs of their ids one after another, so that no task holds the pairs of a block.
+    """
+    sets = lambda d: parted(d if "ids" in d.columns else d.withColumn("ids", F.array("id"))).withColumn("id", F.col("ids")[0]).withColumn("last", F.element_at("ids", -1))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        f, ids = table.drop_columns(["ids"]).to_pandas().assign(row=np.arange(len(table))), table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
+        for g in _meeting(f):
+            yield from _sets(g, ids, related, duplicate, ordered)
+
+    met = _dealt(sets(a), sets(b), block_rows).groupBy("scope", "part", "i", "j").applyInArrow(product, SETS)
+    met = met if digits is None else met.withColumn("cos", F.round("cos", digits))
+    each = met.select(F.explode("first").alias("a"), "second", "cos", "topic").select("a", F.explode("second").alias("b"), "cos", "topic")
+    return each.where("a < b" if ordered else "a <> b")
 
 
 def nearest(a: DataFrame, b: DataFrame, related: float, duplicate: float, block_rows: int = 8192) -> DataFrame:

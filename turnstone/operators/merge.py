@@ -74,10 +74,10 @@ def _looser(rows: DataFrame) -> bool:
 
 
 def _sides(rows: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """The rows (id, scope, vec, text, FEATURES) that may contradict each other: earlier and later ones of a project, and those of all projects and later
+    """The rows (id, and ids where there are, scope, vec, text, FEATURES) that may contradict each other: earlier and later ones of a project, and those of all projects and later
     ones without. rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out."""
     rows = rows if "stored" in rows.columns else rows.withColumn("stored", F.lit(False))
-    feats = cut(clashes.flat_features(rows.where(F.col("kind").isin(*CONFLICTABLE))).select("id", "project", "stored", "text", "vec", *clashes.FEATURES))
+    feats = cut(clashes.flat_features(rows.where(F.col("kind").isin(*CONFLICTABLE))).select("id", *(c for c in ["ids"] if c in rows.columns), "project", "stored", "text", "vec", *clashes.FEATURES))
     own = feats.withColumn("scope", F.coalesce("project", F.lit(_NONE)))
     sides = [(own, own.where("not stored"))]
     if _looser(feats):
@@ -86,15 +86,17 @@ def _sides(rows: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return sides
 
 
-def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, both_ways: bool = False) -> DataFrame:
-    """(a, b, cos, topic) of contradicting statements, a the one with the smaller id; topic as the later one (b) names it.
+def conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE, both_ways: bool = False, digits: int | None = None) -> DataFrame:
+    """(a, b, cos, topic) of contradicting statements, a the one with the smaller id; topic as the later one (b) names it; digits: of cos.
     both_ways: ids say nothing about the order, so a pair comes in either role that it may have.
 
     rows: id, project, kind, text, vec, and optionally stored: pairs of stored rows are left out. A row meets the earlier ones of its
-    project, and one without a project those of all projects. Features are worked out once and written; blocks of statements meet in
-    matrix products, and pairs that pass leave the task: there may be as many as the square of a project's rows.
+    project, and one without a project those of all projects. Equal statements are gathered (clashes.equal; rows that have ids are so already), and
+    their features worked out once and written; blocks of them meet in matrix products, and the pairs of those that pass are made as they
+    leave the task: there may be as many as the square of a project's rows.
     """
-    return reduce(DataFrame.unionAll, (clashes.pairs(a, b, related, duplicate, not both_ways) for a, b in _sides(rows)))
+    rows = rows if "ids" in rows.columns else clashes.equal(rows)
+    return reduce(DataFrame.unionAll, (clashes.pairs(a, b, related, duplicate, not both_ways, digits=digits) for a, b in _sides(rows)))
 
 
 def nearest_conflicts(rows: DataFrame, related: float = RELATED, duplicate: float = DUPLICATE) -> DataFrame:
@@ -272,7 +274,7 @@ def merged_by_links(rows: DataFrame, related: float = RELATED, duplicate: float
     slim, classes = _classes(rows, duplicate)
     slim = cut(slim)
     same = _duplicate_pairs(classes, duplicate).select("a", "b", "cos", F.lit(True).alias("duplicate"), F.lit(None).cast("string").alias("topic"))
-    other = conflicts(classes, related, duplicate, both_ways=True).select("a", "b", "cos", F.lit(False).alias("duplicate"), "topic")
+    other = conflicts(classes.withColumn("ids", F.array("id")), related, duplicate, both_ways=True).select("a", "b", "cos", F.lit(False).alias("duplicate"), "topic")
     edges = cut(same.unionByName(other))
     roots = components(edges.select("a", "b"))
     touched = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(roots.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -43,9 +43,10 @@ def cosine_of_distance(d: Column, squared: bool = True) -> Column:
 
 
 def _met(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
-    """Rows (id, scope, vec) of both sides (left: whose), dealt into blocks so that every two blocks of a scope meet once, at (scope, i, j)."""
+    """Rows (id, scope, vec) of both sides (left: whose), dealt into blocks so that every two blocks of a scope meet once, at (scope, i, j).
+    The blocks' numbers, a row for each scope, go to all tasks: by the size of the files that the rows come from, Spark might rather send the rows."""
     count = lambda d, n: d.groupBy("scope").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
-    sizes = count(left, "ni").join(count(right, "nj"), "scope")
+    sizes = F.broadcast(count(left, "ni").join(count(right, "nj"), "scope"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.select("id", "scope", "vec").join(sizes, "scope").withColumn("i", place("ni")).withColumn("j", every("nj"))

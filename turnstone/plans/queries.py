@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, features, redact, score, text
-from ..operators import inverted, leaks, maintain, merge, retrieve, similarity, views
+from ..operators import clashes, inverted, leaks, maintain, merge, retrieve, similarity, views
 from ..operators.graph import cut, shared_folder
 from ..sources import captured, exports, replies, store
 from . import derived as d
@@ -336,8 +336,7 @@ _CONFLICT = f"""WITH f AS (SELECT *, {d.s_vector('text')} AS vec FROM {_FEATURES
 
 @query(_CONFLICT + " SELECT a, b, round(cos, 6) AS cos, topic FROM p WHERE cos >= 0.4 AND cos < 0.92")
 def conflict_pairs(spark, sf_dir):
-    found = merge.conflicts(d.with_vectors(d.statements(spark, sf_dir)))
-    return found.select("a", "b", F.round("cos", 6).alias("cos"), "topic")
+    return merge.conflicts(d.with_vectors(clashes.equal(d.statements(spark, sf_dir))), digits=6)
 
 
 @query(_CONFLICT + """, n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(cos, 9) DESC, a) AS k FROM p WHERE cos >= 0.4 AND cos < 0.92)
